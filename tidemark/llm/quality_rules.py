@@ -27,8 +27,8 @@ UPPER_RULES = {
     "odd_characters": ("r_odd", 0.02, 0.05),
     "shout": ("r_shout", None, 0.05),
     "capitals": ("r_caps", 0.12, 0.25),
-    "repeats": ("r_repeat", 0.15, 0.30),
-    "lines": ("r_dup_lines", None, 0.30),
+    "repeats": ("r_repeat", 0.15, 0.45),
+    "lines": ("r_dup_lines", None, 0.40),
 }
 #: name -> (ratio, low, high): abstains inside the band, votes bad outside.
 BAND_RULES = {"word_length": ("r_word_length", 2.5, 10.0), "sentence": ("r_sentence", 1.5, 60.0)}
@@ -107,7 +107,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             _count(rest, "!").alias("n_shout"),
             _count(rest, "\\p{Lu}").alias("n_caps"),
             _count(rest, "[.?!]").alias("n_stops"),
-            _count(rest, "[^\\p{L}.,]").alias("n_odd"),
+            _count(rest, "[^\\p{L}\\p{N}.,]").alias("n_odd"),
         ),
     )
     return df.drop(w, lines, hashes, order, hits, rest)

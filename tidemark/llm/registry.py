@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, quality_rules, url_filter
+from . import common, license_scan, quality_rules, ring_sharding, secret_ledger, url_filter
+
+
+def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = ring_sharding.assign(common.table(spark, sf_dir, "documents"), shards=24)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +23,29 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    found = secret_ledger.findings(docs, secret_ledger.update_ledger(docs))
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    base = [r.kind for r in secret_ledger.BASE_RULES]
+    base_spans = F.filter("spans", lambda s: s["kind"].isin(base))
+    return found.select(
+        "doc_id",
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(secret_ledger.as_text(base_spans).cast("binary"), 256).alias("base_sha256"),
+        secret_ledger.as_text(F.col("spans")).alias("spans"),
+    )
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan(docs).select(
+        "doc_id", "licence", "dice",
+        F.array_join(F.array_sort(F.array_distinct(F.transform("licence_units", lambda u: u["licence"]))), ",").alias("licences"),
+        F.size("licence_units").cast("long").alias("n_matches"),
+    )
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filter.classify(pages, url_filter.rules_table(spark))
@@ -43,5 +73,11 @@ FROM split LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts
 GROUP BY page_id, host, path
 """
 
-QUERIES = {"op4_quality_rules": op4_quality_rules, "op10_url_filter": op10_url_filter}
+QUERIES = {
+    "op2_ring_sharding": op2_ring_sharding,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_secret_ledger": op5_secret_ledger,
+    "op9_license_scan": op9_license_scan,
+    "op10_url_filter": op10_url_filter,
+}
 ORACLE_SQL = {"op10_url_filter": OP10_SQL}
