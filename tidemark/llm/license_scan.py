@@ -85,8 +85,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, text: str =
         *[F.struct(F.lit(n).alias("licence"), F.array(*map(F.lit, s)).alias("grams")) for n, s in bigram_sets.items()]
     )
 
-    def bigrams(unit: Column) -> Column:
-        w = F.split(normalise(unit), " ")
+    def bigrams(w: Column) -> Column:
         return F.array_distinct(
             F.when(
                 F.size(w) >= 2, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
@@ -96,8 +95,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, text: str =
     def dice(a: Column, b: Column) -> Column:
         return 2 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
 
+    # Words first, as values: an expression inside a lambda is worked out anew for every element.
+    split = F.transform(pieces, lambda u: F.struct(u.alias("unit"), F.split(normalise(u), " ").alias("w")))
     cells = F.filter(
-        F.transform(pieces, lambda u: F.struct(u.alias("unit"), bigrams(u).alias("grams"))),
+        F.transform(split, lambda x: F.struct(x["unit"].alias("unit"), bigrams(x["w"]).alias("grams"))),
         lambda x: F.size(x["grams"]).between(math.ceil(low - 1e-9), math.floor(high + 1e-9)),
     )
     near = lambda x, t: (F.size(x["grams"]) >= F.size(t["grams"]) * (least / (2 - least)) - 1e-9) & (

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, license_scan, quality_rules, ring_sharding, secret_ledger, url_filter
+from . import (
+    cgk_decontam,
+    common,
+    license_scan,
+    quality_rules,
+    ring_sharding,
+    secret_ledger,
+    sentencepiece_viterbi,
+    simhash,
+    url_filter,
+)
 
 
 def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +50,30 @@ def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
+
+
+#: A parameter: where the public SentencePiece model lies on the driver.
+MODEL_PATH = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
+    model = Path(model_path).read_bytes()
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(docs, model), model)
+    return made.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (common.table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return cgk_decontam.contaminated(docs, benchmark)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan.scan(docs).select(
@@ -77,6 +114,9 @@ QUERIES = {
     "op2_ring_sharding": op2_ring_sharding,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_ledger": op5_secret_ledger,
+    "op6_simhash": op6_simhash,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_url_filter": op10_url_filter,
 }
