@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 LEAST = 0.8
+COMMON, RARE = 0.1, 2
 CHUNK_BYTES = 1 << 21
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -43,9 +44,9 @@ _INV = pow(_P, -1, 1 << 64)
 class Plan:
     """The random choices of a run, from one seed."""
 
-    walks: int = 2
+    walks: int = 3
     steps: int = 16
-    samples: int = 4
+    samples: int = 6
     coordinates: int = 6
     stride: int = 4
     seed: int = 20240
@@ -83,21 +84,27 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return h * np.uint64(0xBF58476D1CE4E5B9) ^ (ends - starts).astype(np.uint64), starts
 
 
-def signatures(h: np.ndarray, starts: np.ndarray, plan: Plan) -> Iterator[tuple[int, np.ndarray]]:
-    """(sample number, signature of the window at each start); h ends with padding of over plan.steps."""
+def signatures(h: np.ndarray, starts: np.ndarray, plan: Plan, rare: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(sample number, signature of the window at each start, rare words among its samples).
+
+    h ends with padding of over plan.steps words. rare marks words; without it the count is left out.
+    """
     for walk, draws in enumerate(plan.draws()):
         at = starts.copy()
         sums = [np.zeros(len(starts), np.uint64) for _ in draws]
-        last = max(int(d[-1]) for d in draws)
-        for step in range(last + 1):
+        counts, seen = [np.zeros(len(starts), np.int64) for _ in draws], [at - 1 for _ in draws]
+        for step in range(max(int(d[-1]) for d in draws) + 1):
             word = h[at]
             for k, d in enumerate(draws):
                 if step in d:
                     sums[k] = (sums[k] ^ word) * np.uint64(0x9E3779B97F4A7C15)
+                    if rare is not None:
+                        counts[k] += rare[at] & (at != seen[k])
+                        seen[k] = at.copy()
             coin = (word * np.uint64((0xD6E8FEB86659FD93 + 2 * (walk * 1000 + step) * 0x9E3779B97F4A7C15) & (1 << 64) - 1)) >> np.uint64(63)
             at += coin.astype(at.dtype)
         for k, s in enumerate(sums):
-            yield walk * plan.samples + k, s ^ (s >> np.uint64(31))
+            yield walk * plan.samples + k, s ^ (s >> np.uint64(31)), counts[k]
 
 
 def grams(h: np.ndarray, m: int) -> np.ndarray:
@@ -138,12 +145,21 @@ class Items:
             flat += [h, pad]
             at += len(h) + len(pad)
         self.entry = np.array(entry, np.int64).reshape(-1, 2)
+        # A word of many items (COMMON of them) says little: samples of such words alone would meet most
+        # windows, so a sample is kept only with RARE other words; the further samples make up for it.
+        every, use = np.unique(np.concatenate([np.unique(h) for h in self.words] or [np.zeros(0, np.uint64)]), return_counts=True)
+        self.common = every[use > max(2, COMMON * len(self.words))]
         self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if entry:
-            for _, sig in signatures(np.concatenate(flat), np.array(starts, np.int64), plan):
-                order = np.argsort(sig, kind="stable")
+            joined = np.concatenate(flat)
+            rare = ~np.isin(joined, self.common) & (joined != 0)
+            for _, sig, n in signatures(joined, np.array(starts, np.int64), plan, rare):
+                most = np.zeros(len(self.words), np.int64)
+                np.maximum.at(most, self.entry[:, 0], n)
+                kept = np.flatnonzero(n >= np.minimum(RARE, most[self.entry[:, 0]]))
+                order = kept[np.argsort(sig[kept], kind="stable")]
                 bits = np.zeros(1 << 16, bool)
-                bits[(sig >> np.uint64(48)).astype(np.int64)] = True
+                bits[(sig[kept] >> np.uint64(48)).astype(np.int64)] = True
                 self.tables.append((sig[order], order, bits))
         # A walk may leave a short item, so short items are cut into one segment more than the edits they
         # may hold: one segment is whole in any match, and equal segments make candidates without loss.
@@ -160,14 +176,16 @@ class Items:
             bits[(keys >> np.uint64(48)).astype(np.int64)] = True
             self.segments[m] = keys, np.array([r[1:] for r in rows], np.int64), bits
 
-        # A stretch within the allowed edits holds all but `slack` of the item's words. The table knows
-        # (item, word) pairs by a short hash: it may count a word too many, never one too few.
+        # A stretch within the allowed edits holds all but `slack` of the item's distinct rare words. The
+        # table knows (item, word) pairs by a short hash: it may count a word too many, never one too few.
         self.size = np.array([len(h) for h in self.words], np.int64)
         self.slack = ((1 - least) * self.size + 1e-9).astype(np.int64)
+        own = [np.setdiff1d(h, self.common) for h in self.words]
+        self.needed = np.array([len(o) for o in own], np.int64) - self.slack
         bits = max(16, int(self.size.sum() * 64).bit_length())
         self.shift, self.holds = np.uint64(64 - bits), np.zeros(1 << bits, bool)
-        for i, h in enumerate(self.words):
-            self.holds[self._slot(np.uint64(i), h)] = True
+        for i, o in enumerate(own):
+            self.holds[self._slot(np.uint64(i), o)] = True
 
     def _slot(self, item, word):
         with np.errstate(over="ignore"):
@@ -185,14 +203,14 @@ class Items:
                 part = rows[own[at : at + 4096]]
                 where = np.clip((part[:, 0] - part[:, 2])[:, None] + span, 0, len(h) - 1)
                 held = self.holds[self._slot(part[:, 1].astype(np.uint64)[:, None], h[where])]
-                keep[own[at : at + 4096]] = held.sum(1) >= n - slack
+                keep[own[at : at + 4096]] = held.sum(1) >= self.needed[part[:, 1]]
         return rows[keep]
 
     def candidates(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """(position in h, item, word of the item there) rows."""
         found = []
         if self.tables:
-            for n, sig in signatures(h, starts, self.plan):
+            for n, sig, _ in signatures(h, starts, self.plan):
                 keys, order, bits = self.tables[n]
                 near = np.flatnonzero(bits[(sig >> np.uint64(48)).astype(np.int64)])
                 if not len(near):

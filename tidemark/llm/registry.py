@@ -12,6 +12,7 @@ from . import (
     cgk_decontam,
     common,
     license_scan,
+    pfp_dedup,
     quality_rules,
     ring_sharding,
     secret_ledger,
@@ -28,6 +29,14 @@ def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pfp_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pfp_dedup.dedup(common.table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id", F.col("n_bytes").cast("long").alias("n_bytes"), (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.assess(common.table(spark, sf_dir, "documents"))
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -112,6 +121,7 @@ GROUP BY page_id, host, path
 
 QUERIES = {
     "op2_ring_sharding": op2_ring_sharding,
+    "op3_pfp_dedup": op3_pfp_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_ledger": op5_secret_ledger,
     "op6_simhash": op6_simhash,
