@@ -15,6 +15,7 @@ from . import (
     pfp_dedup,
     quality_rules,
     ring_sharding,
+    rule_ensemble,
     secret_ledger,
     sentencepiece_viterbi,
     simhash,
@@ -22,6 +23,11 @@ from . import (
 )
 
 
+def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return rule_ensemble.classify(docs, rule_ensemble.fit(docs, labels))
+
+
 def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = ring_sharding.assign(common.table(spark, sf_dir, "documents"), shards=24)
     return placed.select(
@@ -120,6 +126,7 @@ GROUP BY page_id, host, path
 """
 
 QUERIES = {
+    "op1_rule_ensemble": op1_rule_ensemble,
     "op2_ring_sharding": op2_ring_sharding,
     "op3_pfp_dedup": op3_pfp_dedup,
     "op4_quality_rules": op4_quality_rules,

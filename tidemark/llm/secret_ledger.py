@@ -158,3 +158,15 @@ def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(
         F.aggregate(spans, empty, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
     )
+
+
+def mask(docs: DataFrame, rules=RULES, text: str = "text", ledger: DataFrame | None = None) -> DataFrame:
+    """docs, its own columns, with the spans of every text masked.
+
+    Each blob is scanned once; only its spans travel back to the rows that hold it.
+    """
+    blob, spans = common.free_name(docs, "blob"), common.free_name(docs, "spans")
+    found = update_ledger(docs, ledger, rules, text).where(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    joined = docs.withColumn(blob, blob_id(F.col(text))).join(found, blob, "left")
+    masked = F.when(F.col(spans).isNotNull(), redact(F.col(text), F.col(spans))).otherwise(F.col(text))
+    return joined.withColumn(text, masked).select(*docs.columns)
