@@ -61,7 +61,7 @@ YEARS = f"""{RUN}, y AS (SELECT symbol, CAST(year(date) AS INTEGER) AS year, cou
 FROM trades GROUP BY 1, 2 HAVING count(*) >= 20)"""
 register("by_year", q.select(["symbol", "year", "n"], ["ret", "sharpe", "hit"], (YEARS, "y")))(lambda s, d: shown(backtest.by_year(trades(s, d)), ["symbol", "year", "n"], ["ret", "sharpe", "hit"]))
 PORT = f"{RUN}, p AS (SELECT date, avg(net) AS net, count(*) AS k FROM trades GROUP BY date), e AS (SELECT *, product(1 + net) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS equity FROM p)"
-register("portfolio", q.select(["date", "k"], ["net", "equity"], (PORT, "e")))(lambda s, d: shown(backtest.portfolio(trades(s, d)), ["date", "k"], ["net", "equity"]))
+register("portfolio", q.select(["date", "k"], ["net", "equity"], (PORT, "e"), 3))(lambda s, d: shown(backtest.portfolio(trades(s, d)), ["date", "k"], ["net", "equity"], 3))
 PAIRS = f"{RUN}, c AS (SELECT x.symbol AS a, y.symbol AS b, count(*) AS n, corr(x.net, y.net) AS corr FROM trades x JOIN trades y ON x.date = y.date AND x.symbol < y.symbol GROUP BY 1, 2)"
 register("pair_correlations", q.select(["a", "b", "n"], ["corr"], (PAIRS, "c")))(lambda s, d: shown(backtest.pair_correlations(trades(s, d)), ["a", "b", "n"], ["corr"]))
 register("anchor_stress")(lambda s, d: backtest.anchor_stress(trades(s, d), 0.002))
