@@ -96,18 +96,20 @@ class Model:
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], np.array(list(usable.values()), np.int32)[order]
         assert len(np.unique(keys)) == len(keys), "two pieces share a hash"
+        self.heads = np.zeros(1 << 20, bool)
+        self.heads[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         self.score = np.array(self.scores, np.float32)
         self.floor = np.float32(min(self.scores[i] for i in self.ids.values())) - np.float32(10)
         inner = sorted({c for p in self.ids if len(p) > 1 for c in p} - {SPACE})
         many = "[" + "".join(map(re.escape, inner)) + "]+"
         self.words = re.compile(f"{SPACE}*{many}|{SPACE}+|.", re.S)
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.forget_pairs()
         self.reset()
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
-        self.offset, self.length, self.used = [], [], 0
+        self.offset, self.length, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
     @staticmethod
     def _hash(text: str) -> int:
@@ -132,22 +134,31 @@ class Model:
 
     def stable_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether each pair of pieces stays as it is; -1 is a character outside the vocabulary."""
-        code = (left.astype(np.int64) + 1) * (len(self.pieces) + 1) + right + 1
-        pairs, back = np.unique(code, return_inverse=True)
-        out = np.ones(len(pairs), bool)
-        if len(self.stable) > PAIRS_KEPT:
-            self.stable.clear()
-        for n, c in enumerate(pairs.tolist()):
-            a, b = c // (len(self.pieces) + 1) - 1, c % (len(self.pieces) + 1) - 1
-            if a >= 0 and b >= 0:
-                if (a, b) not in self.stable:
+        base = len(self.pieces) + 1
+        code = (left.astype(np.int64) + 1) * base + right + 1
+        at = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
+        fresh = np.unique(code[self.pair_codes[at] != code])
+        if len(fresh):
+            if len(self.pair_codes) > PAIRS_KEPT:
+                self.forget_pairs()
+                fresh = np.unique(code)
+            flags = np.ones(len(fresh), bool)
+            for n, c in enumerate(fresh.tolist()):
+                a, b = c // base - 1, c % base - 1
+                if a >= 0 and b >= 0:
                     x, y = self.pieces[a], self.pieces[b]
-                    self.stable[a, b] = self.merged(x + y) == [x, y]
-                out[n] = self.stable[a, b]
-        return out[back]
-
-    def segment(self, words: list[str]) -> list[list[int]]:
-        """Token ids of words of one length, all advancing together."""
+                    flags[n] = self.merged(x + y) == [x, y]
+            codes = np.concatenate([self.pair_codes, fresh])
+            order = np.argsort(codes, kind="stable")
+            self.pair_codes, self.pair_flags = codes[order], np.concatenate([self.pair_flags, flags])[order]
+            at = np.searchsorted(self.pair_codes, code)
+        return self.pair_flags[at]
+
+    def forget_pairs(self) -> None:
+        self.pair_codes, self.pair_flags = np.array([-1], np.int64), np.ones(1, bool)
+
+    def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(token ids one word after the other, how many each word has) of words of one length, all advancing together."""
         n, w = len(words[0]), len(words)
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(w, n).astype(np.uint64)
         prefix = np.zeros((w, n + 1), np.uint64)
@@ -161,42 +172,58 @@ class Model:
         for j in range(1, n + 1):
             starts = np.arange(max(0, j - self.longest), j)
             h = prefix[:, j, None] - prefix[:, starts] * power[j - starts]
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            hit = self.keys[at] == h
-            ids = self.key_ids[at]
+            # A bit table of the hashes' heads spares most substrings the search.
+            rows, cols = np.nonzero(self.heads[(h >> np.uint64(44)).astype(np.int64)])
+            probe = h[rows, cols]
+            at = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
+            hit = self.keys[at] == probe
+            rows, cols, found = rows[hit], cols[hit], self.key_ids[at[hit]]
+            ids, value = np.full(h.shape, -1, np.int32), np.full(h.shape, -np.inf, np.float32)
+            ids[rows, cols] = found
+            none = ids[:, -1] < 0
             if self.kind == UNIGRAM:
-                value = np.where(hit, self.score[ids] + best[:, starts], np.float32(-np.inf))
+                value[rows, cols] = self.score[found] + best[rows, starts[cols]]
             else:
-                rows, cols = np.nonzero(hit)
-                ok = np.ones(len(rows), bool)
-                later = starts[cols] > 0
-                ok[later] = self.stable_pairs(token[rows[later], starts[cols[later]]], ids[rows[later], cols[later]])
-                value = np.full(hit.shape, -np.inf, np.float32)
+                ok, later = np.ones(len(rows), bool), starts[cols] > 0
+                ok[later] = self.stable_pairs(token[rows[later], starts[cols[later]]], found[later])
                 value[rows[ok], cols[ok]] = 0
-            none = ~hit[:, -1]
             if none.any():
                 value[none, -1] = best[none, j - 1] + self.floor if self.kind == UNIGRAM else -1
             k = value.argmax(1)
             every = np.arange(w)
             best[:, j] = value[every, k]
             step[:, j] = j - starts[k]
-            token[:, j] = np.where((k == len(starts) - 1) & none, -1, ids[every, k])
-        out = []
-        for r, word in enumerate(words):
-            j, got = n, []
-            while j:
-                got.append((j, int(token[r, j])))
-                j -= int(step[r, j])
-            ids = []
-            for end, t in reversed(got):
-                if t >= 0:
-                    ids.append(t)
-                elif self.byte:
-                    ids.extend(self.byte[b] for b in word[end - 1].encode("utf-8", "replace"))
-                elif not ids or ids[-1] != self.unknown:
-                    ids.append(self.unknown)
-            out.append(ids)
-        return out
+            token[:, j] = ids[every, k]
+        # Backpointers, all words together: END marks words that have reached their start.
+        end, at, every, columns = -2, np.full(w, n), np.arange(w), []
+        while at.any():
+            live = at > 0
+            columns.append(np.where(live, token[every, at], end))
+            at = at - np.where(live, step[every, at], 0)
+        table = np.stack(columns[::-1], axis=1)
+        used = table != end
+        ids, count = table[used], used.sum(1)
+        if (ids == -1).any():
+            parts = np.split(ids, np.cumsum(count)[:-1])
+            for r in np.flatnonzero((table == -1).any(1)).tolist():
+                parts[r] = self._spelled(words[r], parts[r].tolist())
+            ids, count = np.concatenate(parts), np.array([len(p) for p in parts])
+        return ids.astype(np.int32), count
+
+    def _spelled(self, word: str, tokens: list[int]) -> np.ndarray:
+        """Tokens with characters outside the vocabulary (-1) as bytes, or one unknown id for a run of them."""
+        ids, at = [], 0
+        for t in tokens:
+            if t >= 0:
+                ids.append(t)
+                at += len(self.pieces[t])
+                continue
+            if self.byte:
+                ids.extend(self.byte[b] for b in word[at].encode("utf-8", "replace"))
+            elif not ids or ids[-1] != self.unknown:
+                ids.append(self.unknown)
+            at += 1
+        return np.array(ids, np.int32)
 
     def learn(self, words: set[str]) -> None:
         """Segment words not met before and append their ids to the flat store."""
@@ -207,17 +234,17 @@ class Model:
             if word not in self.known:
                 by_length.setdefault(len(word), []).append(word)
         for n, group in by_length.items():
-            most = max(1, (1 << 20) // n)
+            most = max(1, (1 << 19) // n)
             for at in range(0, len(group), most):
                 part = group[at : at + most]
-                for word, ids in zip(part, self.segment(part)):
-                    while self.used + len(ids) > len(self.flat):
-                        self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                    self.flat[self.used : self.used + len(ids)] = ids
-                    self.known[word] = len(self.offset)
-                    self.offset.append(self.used)
-                    self.length.append(len(ids))
-                    self.used += len(ids)
+                ids, count = self.segment(part)
+                while self.used + len(ids) > len(self.flat):
+                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+                self.flat[self.used : self.used + len(ids)] = ids
+                self.known.update(zip(part, range(len(self.offset), len(self.offset) + len(part))))
+                self.offset = np.concatenate([self.offset, self.used + np.cumsum(count) - count])
+                self.length = np.concatenate([self.length, count])
+                self.used += len(ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         lead = SPACE if self.prefix else ""
@@ -229,8 +256,7 @@ class Model:
         self.learn(fresh)
         known = self.known
         index = np.fromiter((known[w] for ws in cut for w in ws), np.int64)
-        length = np.array(self.length, np.int64)[index] if len(index) else np.zeros(0, np.int64)
-        offset = np.array(self.offset, np.int64)[index] if len(index) else np.zeros(0, np.int64)
+        length, offset = self.length[index], self.offset[index]
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.arange(total) + np.repeat(offset - (ends - length), length)]
