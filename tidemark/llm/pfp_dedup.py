@@ -28,10 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
-LENGTH, KGRAM = 100, 32
+LENGTH, KGRAM = 100, 28
 _P = 0x100000001B3
 _POWERS: list[np.ndarray] = []
 
@@ -95,7 +96,12 @@ def _phrases(length: int):
         size = 0
 
         def made() -> pa.RecordBatch:
+            """The distinct phrases of a stretch of text, each with its first place."""
             trigger, content, doc, first = (np.concatenate([h[k] for h in held]) for k in range(4))
+            order = np.lexsort((first, doc, trigger, content))
+            new = np.ones(len(order), bool)
+            new[1:] = (content[order][1:] != content[order][:-1]) | (trigger[order][1:] != trigger[order][:-1])
+            trigger, content, doc, first = (x[order[new]] for x in (trigger, content, doc, first))
             return _batch({
                 "trigger": trigger.astype(np.uint32).view(np.int32), "content": content.view(np.int64), "doc": doc, "first": first.astype(np.int32),
             })
@@ -114,6 +120,21 @@ def _phrases(length: int):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = pa.array([press.compress(x.as_py() or b"") for x in batch.column(1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["doc", "raw"])
+
+
+def _unpacked(value: pa.Scalar) -> bytes:
+    import zstandard
+
+    return zstandard.decompress(value.as_py())
+
+
 def _windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows of the phrases listed in column 2, as (trigger, content, doc, first)."""
@@ -121,7 +142,7 @@ def _windows(length: int):
             held = []
             for k in range(batch.num_rows):
                 wanted = batch.column(2)[k].values
-                p = Parse(batch.column(1)[k].as_py() or b"", length)
+                p = Parse(_unpacked(batch.column(1)[k]), length)
                 own = np.flatnonzero(np.isin(p.first, wanted.to_numpy()))
                 n = p.last[own] - p.first[own] + 1
                 at = np.arange(int(n.sum())) + np.repeat(p.first[own] - (np.cumsum(n) - n), n)
@@ -167,7 +188,7 @@ def _finish(length: int):
         for batch in batches:
             out_runs, out_kept = [], []
             for k in range(batch.num_rows):
-                raw = batch.column(1)[k].as_py() or b""
+                raw = _unpacked(batch.column(1)[k])
                 lists = [batch.column(c)[k] for c in (2, 3)]
                 settled, new = (x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in lists)
                 runs = repeated_runs(raw, settled, new, length).tolist()
@@ -205,17 +226,21 @@ def _numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(key, n_bytes, spans array<struct<start, stop>>, kept binary) for every row of docs."""
     rows, names = _numbered(docs, key, text)
-    phrases = rows.mapInArrow(_phrases(length), ROWS)
+    # One exchange by trigger serves both the dictionary and the count of a trigger's phrases; the tasks
+    # before it send each phrase once for a stretch of text, however often it is copied there.
+    phrases = rows.mapInArrow(_phrases(length), ROWS).repartition("trigger")
     place = F.struct("doc", "first")
     dictionary = phrases.groupBy("trigger", "content").agg(F.min(place).alias("at")).select("trigger", "at.doc", "at.first")
-    several = dictionary.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").select("trigger", F.lit(True).alias("several"))
-    marked = dictionary.join(several, "trigger", "left")
+    several = F.count("*").over(Window.partitionBy("trigger")) > 1
+    marked = dictionary.withColumn("several", several)
     lists = common.cut(
         marked.groupBy("doc").agg(
-            F.collect_list(F.when(F.col("several").isNull(), F.col("first"))).alias("settled"),
+            F.collect_list(F.when(~F.col("several"), F.col("first"))).alias("settled"),
             F.collect_list(F.when(F.col("several"), F.col("first"))).alias("unsure"),
         )
     )
+    # Texts move once, compressed: both joins below read the same exchange by document.
+    rows = rows.where("doc IS NOT NULL").mapInArrow(_packed, "doc long, raw binary")
     unsure = lists.where(F.size("unsure") > 0).select("doc", "unsure")
     windows = rows.join(unsure, "doc").select("doc", "raw", "unsure").mapInArrow(_windows(length), ROWS)
     firsts = windows.groupBy("trigger", "content").agg(F.min(place).alias("at")).select("at.doc", "at.first")
