@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
 from ..functions import windows as w
-from ..operators import backtest, features, journal, labels, trust
+from ..operators import backtest, features, journal, labels, models, trust
 from ..sources import bars as src
 from . import sql as q
 from .price_queries import DAY, shown
@@ -269,3 +269,21 @@ t1 AS (SELECT *, pos * y_ret - abs(pos - coalesce({q.lag('pos')}, 0.0)) * 0.0004
 register("cont_pnl", q.select(DAY, ["net"], (CP, "t1")))(
     lambda s, d: shown(backtest.continuous_pnl(src.daily(s, d).withColumn("position", F.coalesce(F.signum(w.ratio(col("open"), w.lag(col("close"))) - 1), F.lit(0.0)))), DAY, ["net"])
 )
+
+
+@register("har_coefficients")
+def har_coefficients(spark, sf_dir):
+    """(symbol, term, value): the HAR regression of each symbol."""
+    found = models.har_ols(trust.har(src.daily(spark, sf_dir)))
+    rows = [(s, t, v) for s, values in sorted(found.items()) for t, v in zip(("const", "day", "week", "month"), values)]
+    return spark.createDataFrame(rows, "symbol string, term string, value double")
+
+
+@register("walk_forward_model")
+def walk_forward_model(spark, sf_dir):
+    """Out-of-sample probabilities of two model families blended, over the first and last fold."""
+    bars = ind.momentum(labels.build(src.daily(spark, sf_dir)))
+    rows = labels.weights(features.shift_base(bars, MOM).where("valid"))
+    joined = labels.membership(rows, labels.splits(rows, least_train=200)).persist()
+    folds = [r["fold"] for r in joined.select("fold").distinct().orderBy("fold").collect()]
+    return models.walk_forward(joined, MOM, sorted({folds[0], folds[-1]}))
