@@ -121,3 +121,34 @@ def prune_correlated(rows: DataFrame, names: list[str], most: float = 0.95) -> l
         if all(frozenset((name, k)) not in near for k in kept):
             kept.append(name)
     return kept
+
+
+def term_structure(bars: DataFrame, context: DataFrame, short: str, long: str) -> DataFrame:
+    """Ratio of two context series on the bars' calendar, its z-score and change, and whether it is above one.
+
+    The flag of a missing ratio is 0.
+    """
+    rows = with_context(bars, context, short).withColumnRenamed("ctx_close", "__a")
+    rows = with_context(rows, context, long).withColumnRenamed("ctx_close", "__b").withColumn("vs_term", w.ratio(col("__a"), col("__b")))
+    return rows.withColumns(
+        {"vs_term_z": w.zscore(col("vs_term"), 252), "vs_backwardation": F.coalesce((col("vs_term") > 1).cast("double"), F.lit(0.0)), "vs_term_chg": col("vs_term") - w.lag(col("vs_term")), "vs_chg_5": w.change(col("__a"), 5)}
+    ).drop("__a", "__b")
+
+
+def sequences(rows: DataFrame, names: list[str], length: int = 20) -> DataFrame:
+    """rows plus steps: the last `length` feature vectors, the first repeated on the left where there are fewer."""
+    got = F.collect_list(F.array(*map(col, names))).over(w.over(length))
+    return rows.withColumn("__s", got).withColumn("steps", F.concat(F.array_repeat(F.get("__s", F.lit(0)), length - F.size("__s")), col("__s"))).drop("__s")
+
+
+def winsorised(rows: DataFrame, names: list[str], sigmas: float = 6.0) -> DataFrame:
+    """Values within `sigmas` population deviations of the median of their column; nulls stay."""
+    stats = rows.agg(*[F.struct(F.median(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in names]).first()
+    bound = lambda c: w.clip(col(c), stats[c]["m"] - sigmas * stats[c]["s"], stats[c]["m"] + sigmas * stats[c]["s"])
+    return rows.withColumns({c: bound(c) for c in names if stats[c]["m"] is not None})
+
+
+def covered(rows: DataFrame, names: list[str], share: float = 0.7) -> DataFrame:
+    """Rows with at least `share` of the features present."""
+    present = F.size(F.filter(F.array(*[col(c).cast("double") for c in names]), lambda x: x.isNotNull()))
+    return rows.where(present >= share * len(names))

@@ -145,7 +145,7 @@ def bar_variances(bars: DataFrame) -> DataFrame:
     rs = F.ln(h / c) * F.ln(h / o) + F.ln(l / c) * F.ln(l / o)
     gk = 0.5 * F.pow(F.ln(h / l), 2) - (2 * math.log(2) - 1) * F.pow(F.ln(c / o), 2)
     gap = F.pow(F.ln(w.ratio(o, w.lag(c))), 2)
-    return bars.withColumns({"vol_parkinson": root(parkinson_bar()), "vol_garman_klass": root(gk), "vol_rogers_satchell": root(rs), "vol_yang_zhang": root(gap + rs)})
+    return bars.withColumns({"vol_parkinson": root(parkinson_bar()), "vol_garman_klass": root(gk), "vol_rogers_satchell": root(rs), "vol_yang_zhang": root((gap + F.pow(F.ln(c / o), 2) + rs) / 3)})
 
 
 def forecast_scores(rows: DataFrame, y: str, p: str, benchmark: str, keys: list[str]) -> DataFrame:
@@ -188,3 +188,34 @@ def drift(rows: DataFrame, names: list[str], cut: float = 0.8) -> DataFrame:
     late = long.where("not __early").join(F.broadcast(span), ["symbol", "feature"])
     outside = F.when(col("value").isNotNull(), (~col("value").between(col("lo"), col("hi"))).cast("double"))
     return late.groupBy("feature").agg(F.avg(outside).alias("share_outside"), F.avg(col("value").isNull().cast("double")).alias("share_null"))
+
+
+def yang_zhang(bars: DataFrame, n: int = 21) -> DataFrame:
+    """Rolling Yang-Zhang volatility: overnight and open-to-close variances and mean Rogers-Satchell."""
+    o, h, l, c = (col(x) for x in ("open", "high", "low", "close"))  # noqa: E741
+    rows = bars.withColumns(
+        {"__on": F.ln(w.ratio(o, w.lag(c))), "__oc": F.ln(w.ratio(c, o)), "__rs": F.ln(h / c) * F.ln(h / o) + F.ln(l / c) * F.ln(l / o)}
+    )
+    k = 0.34 / (1.34 + (n + 1) / (n - 1))
+    frame = w.over(n)
+    var = lambda x: w.observed(max(2, n // 2), col(x), frame, F.var_samp(x).over(frame))
+    total = var("__on") + k * var("__oc") + (1 - k) * w.mean(col("__rs"), n)
+    return rows.withColumn("__v", total).withColumn(f"yz_{n}", F.when(col("__v").isNotNull(), F.sqrt(F.greatest(col("__v"), F.lit(0.0))))).drop("__on", "__oc", "__rs", "__v")
+
+
+def permutation_test(rows: DataFrame, sims: int = 60, block: int = 20, seed: int = 1) -> DataFrame:
+    """(symbol, observed, p_value): mean of position times y_ret against block-permuted labels; sims are a dimension."""
+    live = rows.where("y_ret IS NOT NULL AND position IS NOT NULL").withColumn("__rn", F.row_number().over(w.series()) - 1).withColumn("__b", F.floor(col("__rn") / block))
+    sim = rows.sparkSession.range(sims).select(col("id").alias("sim"))
+    # A null draw turns each block of labels over by a coin of (symbol, block, sim): memory inside blocks stays.
+    coin = F.when(F.pmod(F.xxhash64("symbol", "__b", "sim", F.lit(seed)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    blocks = live.groupBy("symbol", "__b").agg(F.sum(col("position") * col("y_ret")).alias("s"), F.count("*").alias("n"))
+    null = blocks.crossJoin(F.broadcast(sim)).groupBy("symbol", "sim").agg((F.sum(col("s") * coin) / F.sum("n")).alias("x"))
+    observed = blocks.groupBy("symbol").agg((F.sum("s") / F.sum("n")).alias("observed"))
+    return null.join(observed, "symbol").groupBy("symbol", "observed").agg(((F.count_if(col("x") >= col("observed")) + 1) / (F.count("*") + 1)).alias("p_value"))
+
+
+def footprint(rows: DataFrame, names: list[str], cuts: int = 11) -> DataFrame:
+    """(feature, quantiles): the deciles of each feature, kept with a model to judge later rows by."""
+    at = F.array(*[F.lit(k / (cuts - 1)) for k in range(cuts)])
+    return rows.unpivot(["symbol", "date"], names, "feature", "value").groupBy("feature").agg(F.percentile("value", at).alias("quantiles"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
 from ..functions import windows as w
-from ..operators import backtest, features, journal, labels, models, trust
+from ..operators import anchoring, backtest, features, journal, labels, models, trust
 from ..sources import bars as src
+from ..sources import files
 from . import sql as q
 from .price_queries import DAY, shown
 
@@ -150,7 +151,7 @@ VOLS = ["vol_parkinson", "vol_garman_klass", "vol_rogers_satchell", "vol_yang_zh
 RS = "ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open)"
 register("vol_estimators", q.select(DAY, VOLS, q.staged({"rs": RS, "gap": f"pow(ln({q.ratio('open', q.lag('close'))}), 2)"}, {
     "vol_parkinson": "sqrt(pow(ln(high / low), 2) / (4 * ln(2)))", "vol_garman_klass": "sqrt(greatest(0.5 * pow(ln(high / low), 2) - (2 * ln(2) - 1) * pow(ln(close / open), 2), 0))",
-    "vol_rogers_satchell": "sqrt(greatest(rs, 0))", "vol_yang_zhang": "CASE WHEN gap IS NOT NULL THEN sqrt(greatest(gap + rs, 0)) END"})))(
+    "vol_rogers_satchell": "sqrt(greatest(rs, 0))", "vol_yang_zhang": "CASE WHEN gap IS NOT NULL THEN sqrt(greatest((gap + pow(ln(close / open), 2) + rs) / 3, 0)) END"})))(
     lambda s, d: shown(trust.bar_variances(src.daily(s, d)), DAY, VOLS)
 )
 
@@ -287,3 +288,59 @@ def walk_forward_model(spark, sf_dir):
     joined = labels.membership(rows, labels.splits(rows, least_train=200)).persist()
     folds = [r["fold"] for r in joined.select("fold").distinct().orderBy("fold").collect()]
     return models.walk_forward(joined, MOM, sorted({folds[0], folds[-1]}))
+
+
+TERM = f"""WITH {q.BARS}, {q.CONTEXT}, own AS (SELECT b.symbol, b.date, x.close AS sa, y.close AS sb FROM bars b LEFT JOIN ctx x ON x.symbol = '1-URGENT' AND x.date = b.date LEFT JOIN ctx y ON y.symbol = '2-HIGH' AND y.date = b.date),
+f AS (SELECT *, last_value(sa IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS a, last_value(sb IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS b FROM own),
+r AS (SELECT *, {q.ratio('a', 'b')} AS vs_term FROM f),
+o AS (SELECT *, {q.zscore('vs_term', 252)} AS vs_term_z, coalesce(CAST(vs_term > 1 AS DOUBLE), 0.0) AS vs_backwardation, vs_term - {q.lag('vs_term')} AS vs_term_chg, {q.change('a', 5)} AS vs_chg_5 FROM r)"""
+VS = ["vs_term", "vs_term_z", "vs_backwardation", "vs_term_chg", "vs_chg_5"]
+register("term_structure", q.select(DAY, VS, (TERM, "o")))(lambda s, d: shown(features.term_structure(src.daily(s, d), src.context(s, d), "1-URGENT", "2-HIGH"), DAY, VS))
+YZK = 0.34 / (1.34 + 22 / 20)
+register("yang_zhang_21", q.select(DAY, ["yz_21"], q.staged(
+    {"gap": f"ln({q.ratio('open', q.lag('close'))})", "oc": "ln(close / open)", "rs": RS},
+    {"v": f"{q.rolled('var_samp', 'gap', 21, 10)} + {YZK} * {q.rolled('var_samp', 'oc', 21, 10)} + {1 - YZK} * {q.rolled('avg', 'rs', 21, 10)}"}, {"yz_21": "CASE WHEN v IS NOT NULL THEN sqrt(greatest(v, 0)) END"})))(
+    lambda s, d: shown(trust.yang_zhang(src.daily(s, d)), DAY, ["yz_21"])
+)
+register("permutation_test")(lambda s, d: trust.permutation_test(backtest.rule_signals(src.daily(s, d))))
+FOOT = f"""{q.staged({f"roc_{n}": q.change("close", n) for n in (1, 5, 21)})[0]}, u AS (SELECT * FROM s0 UNPIVOT (value FOR feature IN (roc_1, roc_5, roc_21))),
+o AS (SELECT feature, quantile_cont(value, 0.1) AS d10, quantile_cont(value, 0.5) AS d50, quantile_cont(value, 0.9) AS d90 FROM u GROUP BY 1)"""
+register("footprint", q.select(["feature"], ["d10", "d50", "d90"], (FOOT, "o")))(
+    lambda s, d: shown(trust.footprint(ind.momentum(src.daily(s, d)), MOM[:3]).select("feature", *[col("quantiles")[k].alias(f"d{10 * k}") for k in (1, 5, 9)]), ["feature"], ["d10", "d50", "d90"])
+)
+RESC = f"""WITH {q.BARS}, a AS (SELECT symbol, date, open / 0.984 AS anchor, close / 0.984 AS sc FROM bars WHERE day(date) % 3 <> 0),
+j AS (SELECT b.*, a.anchor AS a, {q.ratio('b.close', 'a.sc')} AS f0 FROM bars b LEFT JOIN a USING (symbol, date)),
+f AS (SELECT *, coalesce(last_value(f0 IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING), first_value(f0 IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS f FROM j),
+o AS (SELECT symbol, date, a IS NOT NULL AS is_real, CASE WHEN a IS NOT NULL THEN a * f ELSE close END AS anchor FROM f)"""
+
+
+@register("anchor_rescaled", q.select([*DAY, "is_real"], ["anchor"], (RESC, "o"), 9))
+def anchor_rescaled(spark, sf_dir):
+    """Anchors from a series on another scale, on two of three days."""
+    bars = src.daily(spark, sf_dir)
+    other = bars.where(F.day("date") % 3 != 0).select(*DAY, (col("open") / 0.984).alias("anchor"), (col("close") / 0.984).alias("session_close"))
+    return shown(anchoring.rescaled(bars, other), [*DAY, "is_real"], ["anchor"], 9)
+
+
+BACK = f"WITH {q.BARS}, o AS (SELECT *, max(date) OVER (PARTITION BY symbol) AS m FROM bars)"
+register("look_back_730", f"{BACK} SELECT symbol, date, close FROM o WHERE date_diff('day', date, m) <= 730")(lambda s, d: files.look_back(src.daily(s, d), 730).select(*DAY, "close"))
+SEQ = f"""{q.staged({"r": q.change("close")}, {"x": "coalesce(r, 0.0)"})[0]}, o AS (SELECT symbol, date, list(x) OVER {q.win(5)} AS l, count(*) OVER {q.win(5)} AS k FROM s1)
+SELECT symbol, date, round(l[1], 6) + 0.0 AS oldest, round(l[k], 6) + 0.0 AS newest, 5 AS n_steps FROM o"""
+
+
+@register("sequence_windows", SEQ)
+def sequence_windows(spark, sf_dir):
+    rows = ind.returns(src.daily(spark, sf_dir)).withColumn("x", F.coalesce("ret", F.lit(0.0)))
+    made = features.sequences(rows, ["x"], 5)
+    return shown(made.select(*DAY, F.size("steps").alias("n_steps"), col("steps")[0][0].alias("oldest"), col("steps")[4][0].alias("newest")), [*DAY, "n_steps"], ["oldest", "newest"])
+
+
+ROLL = f"""{YEARS}, r AS (SELECT year, count(*) AS n, avg(sharpe) AS mean_sharpe, count_if(sharpe > 0)::BIGINT AS n_positive, string_agg(symbol, ',' ORDER BY symbol) FILTER (WHERE sharpe > 0) AS symbols FROM y GROUP BY 1)"""
+register("rollup_by_year", q.select(["year", "n", "n_positive", "symbols"], ["mean_sharpe"], (ROLL, "r")))(
+    lambda s, d: shown(
+        backtest.by_year(trades(s, d)).groupBy("year").agg(
+            F.count("*").alias("n"), F.avg("sharpe").alias("mean_sharpe"), F.count_if(col("sharpe") > 0).alias("n_positive"),
+            F.nullif(F.array_join(F.array_sort(F.collect_list(F.when(col("sharpe") > 0, col("symbol")))), ","), F.lit("")).alias("symbols"),
+        ), ["year", "n", "n_positive", "symbols"], ["mean_sharpe"],
+    )
+)
