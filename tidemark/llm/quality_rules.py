@@ -44,8 +44,8 @@ def _count(column: str, pattern: str) -> Column:
     return F.regexp_count(F.col(column), F.lit(pattern)).cast("long")
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs plus a struct column `q` with the statistics of every whole text.
+def statistics(docs: DataFrame, text: str = "text", q: str = "q") -> DataFrame:
+    """docs plus a struct column, `q` unless named otherwise, with the statistics of every whole text.
 
     word_chars, n_symbols, n_words, n_dup_lines, n_repeat_words as longs and the ratios rules use.
     n_repeat_words: positions inside 3-word windows that occur at least twice; windows are compared by
@@ -96,7 +96,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     # Lower-case letters and white space are the bulk of a text; what is left is short to count in.
     df = df.withColumn(rest, F.regexp_replace(body, "[\\p{Ll}\\s]+", ""))
     df = df.withColumn(
-        "q",
+        q,
         F.struct(
             n.cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
@@ -235,7 +235,10 @@ def assess(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 def filter_kept(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows of docs that are kept, with docs' own columns."""
-    columns = docs.columns
-    stats = statistics(docs.select(text), text).select("q")
-    model = fit_on(stats)
-    return judge(statistics(docs, text), model).where("kept").select(*columns)
+    columns, name = docs.columns, common.free_name(docs, "q")
+    # Stored once: the fit and the filter both read the statistics, and a filter on them must not be
+    # rewritten into the expressions that make them.
+    known = common.stored(statistics(docs, text, name))
+    model = fit_on(known.select(F.col(name).alias("q")))
+    q = F.col(name)
+    return known.where(~base_failed(q) & (model.log_odds(votes(q)) >= 0)).select(*columns)
