@@ -117,8 +117,9 @@ def shown(df):
     return sorted((tuple(r) for r in made.collect()), key=str)
 
 
-@pytest.mark.parametrize("length", [12, 100])
-def test_repeated_strings(spark, docs, length):
+@pytest.mark.parametrize("length, few", [(12, 64), (12, 3), (100, 64), (100, 1)])
+def test_repeated_strings(spark, docs, length, few, monkeypatch):
+    monkeypatch.setattr(pfp_dedup, "FEW", few)
     rng = random.Random(length)
     pool = ["".join(rng.choice("ab ") for _ in range(rng.randint(5, 300))) for _ in range(30)]
     made = [(k, "".join(rng.choices(pool, k=rng.randint(0, 4))) + "é" * rng.randint(0, 130)) for k in range(60)] + [(100, None), (101, ""), (102, "ab" * 900)]

@@ -8,12 +8,13 @@ matter to the order of suffixes to depth `length`.
 
 The dictionary is the table of distinct phrases with the first place of each. Phrases whose trigger has
 one phrase only are settled: windows of a first phrase are new, windows of its copies are repeats. For
-triggers with several distinct phrases the suffixes (windows) of the dictionary's phrases, not those of
-the corpus, are grouped by content and the first place of each group is kept. Copies, however many, cost
-one row each in a map-side aggregate; no group is gathered in a task.
+triggers with several distinct phrases the dictionary's phrases, not the corpus, are opened into suffixes
+(windows): with at most FEW phrases a trigger's suffixes are sorted to depth `length` in one task, a suffix
+array in which equal neighbours give way to the first place; with more they are dealt out by content
+and aggregated, so no task gathers them. Copies, however many, cost a row for each stretch of text.
 
-What is carried to documents is the list of *first* places; everything else repeats. Hashes are 96 bits
-(trigger 32, content 64).
+What is carried to documents is the list of *first* phrases and, for opened ones, which windows repeat (few)
+or are first (many); everything else repeats. Hashes are 96 bits (trigger 32, content 64).
 
 Defined results: null text is empty; documents shorter than `length` bytes keep every byte; rows that
 share an id are ordered by a hash of their text, and rows that share id and text are one document; null
@@ -32,7 +33,7 @@ from pyspark.sql.window import Window
 
 from . import common
 
-LENGTH, KGRAM = 100, 28
+LENGTH, KGRAM, FEW = 100, 28, 64
 _P = 0x100000001B3
 _POWERS: list[np.ndarray] = []
 
@@ -161,13 +162,70 @@ def _windows(length: int):
 
 
 ROWS = "trigger int, content long, doc long, first int"
+OPENED = "trigger int, doc long, first int, place int, phrase binary"
 
 
-def repeated_runs(raw: bytes, settled: np.ndarray, new: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def _opened(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes of the phrases listed in column 2, with the trigger's place in them."""
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                raw, doc = _unpacked(batch.column(1)[k]), batch.column(0)[k].as_py()
+                p = Parse(raw, length)
+                for i in np.flatnonzero(np.isin(p.first, batch.column(2)[k].values.to_numpy())).tolist():
+                    a = int(p.first[i])
+                    trigger = int(p.trigger[i])
+                    out.append((trigger - (1 << 32) if trigger >> 31 else trigger, doc, a, int(p.place[i]) - a, raw[a : int(p.last[i]) + length]))
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["trigger", "doc", "first", "place", "phrase"])
+
+    return run
+
+
+def repeated_suffixes(phrases: list[tuple[int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
+    """(doc, start, stop) runs of windows that also start earlier, among (doc, first, bytes) phrases of one trigger."""
+    suffixes = sorted((text[k : k + length], doc, first + k) for doc, first, text in phrases for k in range(len(text) - length + 1))
+    again = sorted((doc, at) for (text, doc, at), before in zip(suffixes[1:], suffixes) if text == before[0])
+    out: list[list[int]] = []
+    for doc, at in again:
+        if out and out[-1][0] == doc and out[-1][2] == at:
+            out[-1][2] = at + 1
+        else:
+            out.append([doc, at, at + 1])
+    return [tuple(r) for r in out]
+
+
+def _sorted_suffixes(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by trigger; a trigger has at most FEW of them and may span batches."""
+        held, name, out = [], None, []
+
+        def made() -> pa.RecordBatch:
+            columns = [pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+            return pa.RecordBatch.from_arrays(columns, names=["doc", "start", "stop"])
+
+        for batch in batches:
+            for trigger, doc, first, phrase in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4))):
+                if trigger != name:
+                    out += repeated_suffixes(held, length)
+                    held, name = [], trigger
+                held.append((doc, first, phrase))
+            if len(out) > 50_000:
+                yield made()
+                out = []
+        out += repeated_suffixes(held, length)
+        if out:
+            yield made()
+
+    return run
+
+
+def repeated_runs(raw: bytes, settled: np.ndarray, again: np.ndarray, new: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """(start, stop) of the maximal removed runs of one document.
 
-    settled: starts of phrases that are first and whose windows are all new; new: the windows that are first
-    among those grouped one by one. All other windows repeat.
+    settled: starts of first phrases whose windows are new but for the (start, stop) runs in `again`; new: single
+    windows that are first. All other windows repeat.
     """
     p = Parse(raw, length)
     if not p.windows:
@@ -175,6 +233,8 @@ def repeated_runs(raw: bytes, settled: np.ndarray, new: np.ndarray, length: int
     repeats = np.ones(len(p.first), bool)
     repeats[np.isin(p.first, settled)] = False
     window = np.repeat(repeats, p.last - p.first + 1)
+    for a, b in again.tolist():
+        window[a:b] = True
     window[new] = False
     at = np.flatnonzero(window)
     if not len(at):
@@ -189,9 +249,9 @@ def _finish(length: int):
             out_runs, out_kept = [], []
             for k in range(batch.num_rows):
                 raw = _unpacked(batch.column(1)[k])
-                lists = [batch.column(c)[k] for c in (2, 3)]
-                settled, new = (x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in lists)
-                runs = repeated_runs(raw, settled, new, length).tolist()
+                lists = [batch.column(c)[k] for c in (2, 3, 4, 5)]
+                settled, start, stop, new = (x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in lists)
+                runs = repeated_runs(raw, settled, np.column_stack((start, stop)), new, length).tolist()
                 kept, at = [], 0
                 for a, b in runs:
                     kept.append(raw[at:a])
@@ -231,21 +291,25 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     phrases = rows.mapInArrow(_phrases(length), ROWS).repartition("trigger")
     place = F.struct("doc", "first")
     dictionary = phrases.groupBy("trigger", "content").agg(F.min(place).alias("at")).select("trigger", "at.doc", "at.first")
-    several = F.count("*").over(Window.partitionBy("trigger")) > 1
-    marked = dictionary.withColumn("several", several)
+    marked = dictionary.withColumn("n", F.count("*").over(Window.partitionBy("trigger")))
+    listed = lambda condition: F.collect_list(F.when(condition, F.col("first")))
     lists = common.cut(
         marked.groupBy("doc").agg(
-            F.collect_list(F.when(~F.col("several"), F.col("first"))).alias("settled"),
-            F.collect_list(F.when(F.col("several"), F.col("first"))).alias("unsure"),
+            listed(F.col("n") <= FEW).alias("settled"), listed(F.col("n").between(2, FEW)).alias("few"), listed(F.col("n") > FEW).alias("many")
         )
     )
     # Texts move once, compressed: both joins below read the same exchange by document.
     rows = rows.where("doc IS NOT NULL").mapInArrow(_packed, "doc long, raw binary")
-    unsure = lists.where(F.size("unsure") > 0).select("doc", "unsure")
-    windows = rows.join(unsure, "doc").select("doc", "raw", "unsure").mapInArrow(_windows(length), ROWS)
+    some = lambda c: rows.join(lists.where(F.size(c) > 0).select("doc", c), "doc").select("doc", "raw", c)
+    opened = some("few").mapInArrow(_opened(length), OPENED).repartition("trigger").sortWithinPartitions("trigger")
+    runs = opened.mapInArrow(_sorted_suffixes(length), "doc long, start int, stop int")
+    again = runs.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("again"))
+    again = again.select("doc", F.col("again.start").alias("start"), F.col("again.stop").alias("stop"))
+    windows = some("many").mapInArrow(_windows(length), ROWS)
     firsts = windows.groupBy("trigger", "content").agg(F.min(place).alias("at")).select("at.doc", "at.first")
     new = firsts.groupBy("doc").agg(F.collect_list("first").alias("new"))
-    joined = rows.join(lists.select("doc", "settled"), "doc", "left").join(new, "doc", "left").select("doc", "raw", "settled", "new")
+    joined = rows.join(lists.select("doc", "settled"), "doc", "left").join(again, "doc", "left").join(new, "doc", "left")
+    joined = joined.select("doc", "raw", "settled", "start", "stop", "new")
     done = joined.mapInArrow(_finish(length), "doc long, spans array<struct<start:bigint,stop:bigint>>, kept binary")
     sized = done.withColumn(
         "n_bytes",
