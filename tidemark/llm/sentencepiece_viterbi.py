@@ -31,7 +31,7 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BASE, MIX = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F
-CHUNK_CHARS, WORDS_KEPT, PAIRS_KEPT = 1 << 21, 300_000, 1_000_000
+CHUNK_CHARS, WORDS_KEPT, PAIRS_KEPT, SLOT_BITS = 1 << 21, 300_000, 1_000_000, 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -136,11 +136,24 @@ class Model:
         """Whether each pair of pieces stays as it is; -1 is a character outside the vocabulary."""
         base = len(self.pieces) + 1
         code = (left.astype(np.int64) + 1) * base + right + 1
+        # One probe of a direct table answers most pairs; the sorted list knows all of them.
+        slot = ((code.view(np.uint64) * np.uint64(BASE)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        out = self.slot_flags[slot]
+        missed = np.flatnonzero(self.slot_codes[slot] != code)
+        if len(missed):
+            out[missed] = self._listed_pairs(code[missed], base)
+            self.slot_codes[slot[missed]] = code[missed]
+            # Pairs of one slot may have met here: the flag must be that of the code the slot now holds.
+            held = self.slot_codes[slot[missed]] == code[missed]
+            self.slot_flags[slot[missed][held]] = out[missed][held]
+        return out
+
+    def _listed_pairs(self, code: np.ndarray, base: int) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
         fresh = np.unique(code[self.pair_codes[at] != code])
         if len(fresh):
             if len(self.pair_codes) > PAIRS_KEPT:
-                self.forget_pairs()
+                self.pair_codes, self.pair_flags = self.pair_codes[:1], self.pair_flags[:1]
                 fresh = np.unique(code)
             flags = np.ones(len(fresh), bool)
             for n, c in enumerate(fresh.tolist()):
@@ -156,6 +169,7 @@ class Model:
 
     def forget_pairs(self) -> None:
         self.pair_codes, self.pair_flags = np.array([-1], np.int64), np.ones(1, bool)
+        self.slot_codes, self.slot_flags = np.full(1 << SLOT_BITS, -1, np.int64), np.ones(1 << SLOT_BITS, bool)
 
     def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(token ids one word after the other, how many each word has) of words of one length, all advancing together."""
