@@ -162,6 +162,33 @@ def test_decontamination(spark, docs):
         assert cgk_decontam.best_stretch(a, b)[0] == d <= 0.2 * len(a)
 
 
+@pytest.mark.parametrize("size", [5, 16, 17, 20, 21, 24, 28, 40, 59])
+def test_decontamination_at_full_damage(size):
+    """Every passage with exactly the allowed edits is found: edits at the head, evenly spaced and anywhere."""
+    rng, slack = random.Random(size), size // 5
+    names = [[f"i{k}w{j}" if j % 3 else f"c{j}" for j in range(size)] for k in range(6)]
+    ready = cgk_decontam.Items([(k, " ".join(x)) for k, x in enumerate(names)], cgk_decontam.Plan())
+    texts, want = [], set()
+    for k in range(120):
+        passage = list(names[k % 6])
+        at = range(slack) if k % 3 == 0 else [(j * size + size // 2) // slack for j in range(slack)] if k % 3 == 1 else sorted(rng.sample(range(size), slack))
+        for j in sorted(at, reverse=True):
+            passage[j : j + 1] = [[f"x{j}"], [], [f"x{j}", passage[j]]][0 if k % 3 < 2 else rng.randrange(3)]
+        texts.append(" ".join([f"n{j}" for j in range(30)] + passage + [f"m{j}" for j in range(30)]))
+        want.add((k, k % 6))
+    got = {(n, i): d for n, i, d, _ in cgk_decontam.matches(ready, texts, cgk_decontam.LEAST)}
+    assert want == set(got) and max(got.values()) <= slack
+
+
+def test_decontamination_of_common_words():
+    """Items of words that most items share match as well."""
+    words = [f"c{j}" for j in range(30)]
+    items = [(k, " ".join(words[k:] + words[:k])) for k in range(0, 30, 3)]
+    texts = [" ".join([w if j % 5 else f"x{j}" for j, w in enumerate(t.split())]) for _, t in items]
+    got = {(n, i) for n, i, _, _ in cgk_decontam.matches(cgk_decontam.Items(items, cgk_decontam.Plan()), texts, cgk_decontam.LEAST)}
+    assert {(n, i) for n, (i, _) in enumerate(items)} <= got
+
+
 def test_decontamination_odd(spark, odd):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (4, " ".join(f"W{k}" for k in range(60)))], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in cgk_decontam.contaminated(odd, bench).collect()}

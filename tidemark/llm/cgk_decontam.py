@@ -6,16 +6,17 @@ near in edit distance give embeddings near in Hamming distance. An embedding of
 window's start alone as long as the walk stays inside it, so one walk serves windows of every item's
 size. Each of `walks` embeddings is sampled `samples` times at `coordinates` steps (bit sampling), and a
 window that shares a sample with an item is a candidate of that item. Items are also entered from inner
-starts (every `stride` words), so that damage at an item's head costs no recall. Candidates are verified
-exactly: the least edit distance, in words, between the item and any stretch of the document around the
-candidate place, must be at most (1 - least) of the item's words.
+starts (every `stride` words). Walks are a matter of chance and read only part of an item, so they miss
+some matches. So every item is also cut into one segment more than the edits it may hold: at least one
+segment is whole in any match, so equal segments lose no match, at the head or elsewhere, and candidates
+are complete. Candidates are verified exactly: the least edit distance, in words, between the item and any
+stretch of the document around the candidate place, must be at most (1 - least) of the item's words.
 
 Items go to the tasks in blocks of at most `block` items, so what is sent has a fixed bound; each block is
 one pass over the documents.
 
-Defined results: null or empty texts and items match nothing; items of at most `steps`
-words, which a walk may leave, are found by whole segments instead, without loss; repeated rows each get their rows; an empty table gives an empty result; extra
-columns are not read.
+Defined results: null or empty texts and items match nothing; repeated rows each get their rows; an empty
+table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 LEAST = 0.8
 COMMON, RARE = 0.1, 2
 CHUNK_BYTES = 1 << 21
+#: Candidates made at a time; more of them wait, so that a segment of many items has a bound in memory.
+PAIRS = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -161,15 +164,13 @@ class Items:
                 bits = np.zeros(1 << 16, bool)
                 bits[(sig[kept] >> np.uint64(48)).astype(np.int64)] = True
                 self.tables.append((sig[order], order, bits))
-        # A walk may leave a short item, so short items are cut into one segment more than the edits they
-        # may hold: one segment is whole in any match, and equal segments make candidates without loss.
+        # One segment more than the edits an item may hold: one is whole in any match.
         self.segments: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         cuts: dict[int, list[tuple[int, int, int]]] = {}
         for i, h in enumerate(self.words):
-            if len(h) <= plan.steps:
-                edge = np.linspace(0, len(h), int((1 - least) * len(h) + 1e-9) + 2).astype(int).tolist()
-                for s, e in zip(edge, edge[1:]):
-                    cuts.setdefault(e - s, []).append((int(grams(h[s:e], e - s)[0]), i, s))
+            edge = np.linspace(0, len(h), int((1 - least) * len(h) + 1e-9) + 2).astype(int).tolist()
+            for s, e in zip(edge, edge[1:]):
+                cuts.setdefault(e - s, []).append((int(grams(h[s:e], e - s)[0]), i, s))
         for m, rows in cuts.items():
             rows.sort()
             keys, bits = np.array([r[0] for r in rows], np.uint64), np.zeros(1 << 16, bool)
@@ -216,13 +217,20 @@ class Items:
                 if not len(near):
                     continue
                 lo, hi = np.searchsorted(keys, sig[near], "left"), np.searchsorted(keys, sig[near], "right")
-                found.append(_pairs(starts[near], lo, hi, self.entry[order]))
+                found += self._likely(h, starts[near], lo, hi, self.entry[order])
         for m, (keys, at, bits) in self.segments.items():
             h_m = grams(h, m)[starts]
             near = np.flatnonzero(bits[(h_m >> np.uint64(48)).astype(np.int64)])
             lo, hi = np.searchsorted(keys, h_m[near], "left"), np.searchsorted(keys, h_m[near], "right")
-            found.append(_pairs(starts[near], lo, hi, at))
-        return self.plausible(h, np.concatenate(found)) if found else np.zeros((0, 3), np.int64)
+            found += self._likely(h, starts[near], lo, hi, at)
+        return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+
+    def _likely(self, h: np.ndarray, starts: np.ndarray, lo: np.ndarray, hi: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
+        """The plausible ones of _pairs, worked out about PAIRS at a time."""
+        part = np.cumsum(hi - lo) // PAIRS
+        for k in np.unique(part[hi > lo]):
+            some = part == k
+            yield self.plausible(h, _pairs(starts[some], lo[some], hi[some], rows))
 
 
 def best_stretch(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
