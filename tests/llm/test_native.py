@@ -213,3 +213,37 @@ def test_url_filter_odd_urls(spark):
         (7, "example.net", "/de/8", "example.net/de/8", "block"), (8, "é.org", "", "-", "allow"),
     ]
     assert url_filter.classify(df.limit(0), url_filter.rules_table(spark)).count() == 0
+
+
+def best_stretch_of(text, template):
+    """Largest dice of any stretch of words of up to 1.5 times the template's, by trying them all."""
+    grams = lambda w: {f"{x} {y}" for x, y in zip(w, w[1:])}
+    w, t = (re.sub(r"[\W_]+", " ", x.lower()).strip().split(" ") for x in (text, template))
+    most = int((len(t) - 1) * 1.5 + 1e-9) + 1
+    pairs = ((grams(w[a:b]), grams(t)) for a in range(len(w)) for b in range(a + 2, min(len(w), a + most) + 1))
+    return max((2 * len(x & y) / (len(x) + len(y)) for x, y in pairs), default=0)
+
+
+def test_wrapped_and_whole_licences(spark):
+    """Notices over line ends, inside other text or reworded, and whole licences, as best stretches of the text."""
+    mit = next(t for n, t in license_scan.TEMPLATES if n == "MIT" and "THE SOFTWARE IS PROVIDED" in t)
+    bsd = next(t for n, t in license_scan.TEMPLATES if n == "BSD-3-Clause" and len(t) > 200)
+    apache = next(t for n, t in license_scan.TEMPLATES if n == "Apache-2.0" and len(t) > 200)
+    wrap = lambda t, k: "\n".join(" ".join(t.split()[i : i + k]) for i in range(0, len(t.split()), k))
+    made = [
+        ("Some words before. This work is licensed under the GNU General\nPublic License, version 3. And after\nit more words of the text.", "GPL-3.0"),
+        ("# Tool\nCopyright 2020 A. Person\n\n" + wrap(mit, 9) + "\n\nint main() { return 0; }", "MIT"),
+        ("start of it\n" + wrap(bsd, 11).replace("binary", "compiled") + "\nthe end", "BSD-3-Clause"),
+        (" * " + wrap(apache, 7).replace("\n", "\n * ") + "\n", "Apache-2.0"),
+        ("Read on. This project is licensed under\nthe MIT License - see the file for details", "MIT"),
+        ("one two. the mit license the mit license released under the mit license the mit license", "MIT"),
+        ("Redistribution and use of the source are welcome, and the software is provided to any person.", None),
+        ("software license", None),
+    ]
+    got = {r["text"]: r for r in license_scan.scan(spark.createDataFrame([(t,) for t, _ in made], "text string")).collect()}
+    for t, name in made:
+        stretch = max(((round(max(best_stretch_of(t, x), dice_of(t, x)), 9), n) for n, x in license_scan.TEMPLATES if len(x) < 200), default=None)
+        assert got[t]["licence"] == name, t
+        if name and len(t) < 300:
+            assert round(got[t]["dice"], 9) == stretch[0]
+        assert name or not got[t]["licence_units"]
