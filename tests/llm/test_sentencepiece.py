@@ -78,3 +78,44 @@ def test_odd_tables(spark, data):
     model = sp.Model(data)
     model.learn({"▁a"})
     assert np.array_equal(model.encode(["a", "a"])[0], model.encode(["a"])[0])
+
+
+def without_bytes(data: bytes) -> bytes:
+    """The same model without its byte pieces and without the setting that uses them."""
+    out = b""
+    for number, value in sp._fields(data):
+        if number == 1 and dict(sp._fields(value)).get(3) == sp.BYTE:
+            continue
+        if number == 2:
+            spec = b""
+            for k, v in sp._fields(value):
+                if k == 35:  # byte_fallback
+                    continue
+                spec += varint(k << 3 | (2 if isinstance(v, bytes) and k not in FIXED else 0 if isinstance(v, int) else 5)) + (varint(len(v)) + v if isinstance(v, bytes) and k not in FIXED else varint(v) if isinstance(v, int) else v)
+            value = spec
+        out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+def test_unknown_runs(data):
+    proto = without_bytes(data)
+    library, model = sentencepiece.SentencePieceProcessor(model_proto=proto), sp.Model(proto)
+    texts = ["ab \U0001f600\U0001f601\U0001f602 c", "\U0001f600", "\U0001f600 \U0001f601", "x\U00010348\U0001f600\U00010349y", "\U0001f600\U0001f601"]
+    assert not model.byte
+    assert [g.tolist() for g in model.encode(texts)] == library.encode(texts)
+    assert [model.decode(g) for g in model.encode(texts)] == [library.decode(g.tolist()) for g in model.encode(texts)]
+
+
+def test_one_pass_equals_two(spark, data, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "", "x" * 100_000])], "doc_id long, text string")
+    one = {r["doc_id"]: (r["ids"], r["decoded"]) for r in sp.encode_and_decode(df, data).collect()}
+    two = {r["doc_id"]: (r["ids"], r["decoded"]) for r in sp.decode(sp.encode(df, data), data).collect()}
+    assert one == two and one[len(texts)] == (None, None)
+    assert all(one[i][1] == t for i, t in enumerate(texts))
+
+
+def test_broken_bytes(data):
+    model = sp.Model(data)
+    ids = np.array([model.byte[0xE6], model.byte[0x97]], np.int32)
+    got = model.decode_flat(np.concatenate((ids, [model.byte[0xA5]])), np.array([2, 1]), np.zeros(2, bool)).to_pylist()
+    assert got == [b"\xe6\x97".decode("utf-8", "replace"), b"\xa5".decode("utf-8", "replace")]

@@ -77,7 +77,7 @@ MODEL_PATH = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32
 def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
     model = Path(model_path).read_bytes()
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    made = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(docs, model), model)
+    made = sentencepiece_viterbi.encode_and_decode(docs, model)
     return made.select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),

@@ -10,8 +10,9 @@ back), so a candidate counts only if its piece is stable after the last piece of
 one candidate does. Stability of a pair is worked out once per worker and remembered.
 
 Defined results: null text has null ids; empty text has none; a character outside the vocabulary becomes
-its UTF-8 byte pieces, or the unknown id where the model has none; decoding gives the text back, but for
-the model's own space mark, which reads as a space. Repeated rows are encoded alike; an empty table gives
+its UTF-8 byte pieces, or, where the model has none, a run of such characters becomes one unknown id,
+which reads as a mark; but for that, decoding gives the text back, and the model's own space mark reads as
+a space. Very long texts are encoded whole, one text a step. Repeated rows are encoded alike; an empty table gives
 an empty result; other columns pass through.
 """
 
@@ -20,18 +21,22 @@ from __future__ import annotations
 import re
 import struct
 from functools import lru_cache
+from itertools import chain
 from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SPACE = "▁"
+#: What the unknown id reads as.
+UNKNOWN_TEXT = " \u2047 "
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BASE, MIX = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F
-CHUNK_CHARS, WORDS_KEPT, PAIRS_KEPT, SLOT_BITS = 1 << 21, 300_000, 1_000_000, 20
+CHUNK_UNITS, WORDS_KEPT, PAIRS_KEPT, SLOT_BITS = 1 << 21, 300_000, 1_000_000, 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -84,9 +89,11 @@ class Model:
             raise ValueError("only models without text normalisation and user-defined pieces are supported")
         self.unknown = kinds.index(UNKNOWN)
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, kinds)) if k == BYTE}
-        self.raw = [b"" if k in (CONTROL,) else p.encode() for p, k in zip(self.pieces, kinds)]
+        raw = [b"" if k == CONTROL else UNKNOWN_TEXT.encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, kinds)]
         for b, i in self.byte.items():
-            self.raw[i] = bytes([b])
+            raw[i] = bytes([b])
+        self.raw_length = np.array([len(r) for r in raw], np.int64)
+        self.raw_offset, self.raw_bytes = np.cumsum(self.raw_length) - self.raw_length, np.frombuffer(b"".join(raw), np.uint8)
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds)) if k in (NORMAL, UNUSED)}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece goes on after an inner space: words can't be cut at spaces")
@@ -260,28 +267,64 @@ class Model:
                 self.length = np.concatenate([self.length, count])
                 self.used += len(ids)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(token ids of all texts one after the other, how many each text has)."""
         lead = SPACE if self.prefix else ""
         cut = [self.words.findall(lead + t.replace(" ", SPACE)) if t else [] for t in texts]
         fresh = set().union(*cut)
         if len(fresh) > WORDS_KEPT and len(texts) > 1:
             half = len(texts) // 2
-            return self.encode(texts[:half]) + self.encode(texts[half:])
+            parts = [self.encode_flat(some) for some in (texts[:half], texts[half:])]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         self.learn(fresh)
-        known = self.known
-        index = np.fromiter((known[w] for ws in cut for w in ws), np.int64)
-        length, offset = self.length[index], self.offset[index]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(offset - (ends - length), length)]
-        words_to = np.cumsum([len(ws) for ws in cut])
-        ids_to = np.concatenate(([0], ends))[words_to]
-        return np.split(ids, ids_to[:-1])
+        sizes = np.array([len(ws) for ws in cut], np.int64)
+        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+        length = self.length[index]
+        ids = self.flat[_runs(self.offset[index], length)]
+        to = np.concatenate(([0], np.cumsum(length)))[np.concatenate(([0], np.cumsum(sizes)))]
+        if not self.byte:
+            # Characters outside the vocabulary in a row are one unknown id, over the ends of words too.
+            again = np.zeros(len(ids), bool)
+            again[1:] = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+            again[to[:-1][to[:-1] < len(ids)]] = False
+            to = to - np.concatenate(([0], np.cumsum(again)))[to]
+            ids = ids[~again]
+        return ids, np.diff(to)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        ids, count = self.encode_flat(texts)
+        return np.split(ids, np.cumsum(count)[:-1])
+
+    def decode_flat(self, ids: np.ndarray, count: np.ndarray, null: np.ndarray) -> pa.StringArray:
+        """The texts of token ids that lie one after the other, `count` of them for each text."""
+        length = self.raw_length[ids]
+        data = self.raw_bytes[_runs(self.raw_offset[ids], length)]
+        to = np.concatenate(([0], np.cumsum(length)))[np.concatenate(([0], np.cumsum(count)))]
+        if self.prefix and len(data):
+            led = to[:-1][(np.diff(to) > 0)]
+            led = led[data[led] == 32]
+            data = np.delete(data, led)
+            to = to - np.searchsorted(led, to, "left")
+        starts = to[:-1][to[:-1] < len(data)]
+        try:
+            if (data[starts] & 0xC0 == 0x80).any():
+                raise ValueError("a text starts inside a character")
+            data.tobytes().decode("utf-8")
+        except ValueError:
+            raw = data.tobytes()
+            return pa.array([None if n else raw[a:b].decode("utf-8", "replace") for a, b, n in zip(to, to[1:], null)], pa.string())
+        valid = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
+        return pa.StringArray.from_buffers(len(count), pa.py_buffer(to.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()), valid, int(null.sum()))
 
     def decode(self, ids: np.ndarray) -> str:
-        raw = self.raw
-        text = b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        ids = np.asarray(ids, np.int64)
+        return self.decode_flat(ids, np.array([len(ids)]), np.zeros(1, bool))[0].as_py()
+
+
+def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[k], start[k] + 1, ... length[k] places of each, one after the other."""
+    ends = np.cumsum(length)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - length), length)
 
 
 @lru_cache(maxsize=2)
@@ -289,41 +332,48 @@ def model_of(data: bytes) -> Model:
     return Model(data)
 
 
-def _chunks(texts: pa.Array) -> Iterator[tuple[int, list]]:
-    """(first row, texts) slices of bounded size."""
-    at, held, size = 0, [], 0
-    for i in range(len(texts)):
-        text = texts[i].as_py()
-        held.append(text)
-        size += len(text or "") + 1
-        if size >= CHUNK_CHARS:
-            yield at, held
-            at, held, size = i + 1, [], 0
-    if held:
-        yield at, held
+def _chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first row, rows) slices of about CHUNK_UNITS units each; a longer row is a slice of its own."""
+    part = np.cumsum(sizes) // CHUNK_UNITS
+    edge = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(sizes)]))
+    yield from ((int(a), int(b - a)) for a, b in zip(edge, edge[1:]) if b > a)
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs plus an array<int> column of token ids; a column of that name gives way."""
-    kept = [c for c in docs.columns if c != ids]
-    names = [*kept, ids]
+def _lists(ids: np.ndarray, count: np.ndarray, null: np.ndarray) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+    offsets = pa.array(ends, pa.int32(), mask=np.concatenate((null, [False])))
+    return pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
+
+
+def _encoded(docs: DataFrame, model: bytes, text: str, ids: str, decoded: str | None) -> DataFrame:
+    kept = [c for c in docs.columns if c not in (ids, decoded)]
+    made = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
+    names = [*kept, *[f.name for f in made]]
     where = kept.index(text)
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(model)
         for batch in batches:
-            for at, texts in _chunks(batch.column(where)):
-                made = m.encode([t or "" for t in texts])
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in made]))).astype(np.int32)
-                null = np.array([t is None for t in texts])
-                flat = np.concatenate(made) if made else np.zeros(0, np.int32)
-                offsets = pa.array(ends, pa.int32(), mask=np.concatenate((null, [False])))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))
-                part = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=names)
+            column = batch.column(where)
+            for at, n in _chunks(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False) + 1):
+                part = batch.slice(at, n)
+                texts = part.column(where)
+                null = texts.is_null().to_numpy(zero_copy_only=False)
+                flat, count = m.encode_flat(texts.fill_null("").to_pylist())
+                out = [_lists(flat, count, null)] + ([m.decode_flat(flat, count, null)] if decoded else [])
+                yield pa.RecordBatch.from_arrays([*part.columns, *out], names=names)
+
+    return docs.select(*kept).mapInArrow(run, T.StructType([*[docs.schema[c] for c in kept], *made]))
+
+
+def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids") -> DataFrame:
+    """docs plus an array<int> column of token ids; a column of that name gives way."""
+    return _encoded(docs, model, text, ids, None)
+
 
-    return docs.select(*kept).mapInArrow(run, schema)
+def encode_and_decode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """encode, and decode of its ids, in one pass over the rows: what `decode(encode(docs))` returns."""
+    return _encoded(docs, model, text, ids, decoded)
 
 
 def decode(tokens: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -336,9 +386,13 @@ def decode(tokens: DataFrame, model: bytes, ids: str = "ids", text: str = "decod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out = [None if not x.is_valid else m.decode(x.values.to_numpy()) for x in part.column(where)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=names)
+            counts = pc.list_value_length(batch.column(where)).fill_null(0).to_numpy(zero_copy_only=False)
+            for at, n in _chunks(counts + 1):
+                part = batch.slice(at, n)
+                lists = part.column(where)
+                out = m.decode_flat(
+                    lists.flatten().to_numpy(zero_copy_only=False), counts[at : at + n].astype(np.int64), lists.is_null().to_numpy(zero_copy_only=False)
+                )
+                yield pa.RecordBatch.from_arrays([*part.columns, out], names=names)
 
     return tokens.select(*kept).mapInArrow(run, schema)
