@@ -11,6 +11,8 @@ import corpus_pipeline
 from tidemark.llm import cgk_decontam, quality_rules, secret_ledger
 from tidemark.llm.registry import MODEL_PATH
 
+from test_native import em
+
 SF = "/root/testdata/sf0.001"
 sentencepiece = pytest.importorskip("sentencepiece")
 regex = pytest.importorskip("regex")
@@ -35,19 +37,16 @@ def measures(text):
 
 def vote(r, n):
     out = []
-    for ratio, good, bad in quality_rules.UPPER_RULES.values():
-        out.append(-1 if r[ratio] >= bad else 1 if good is not None and r[ratio] <= good else 0)
-    for ratio, low, high in quality_rules.BAND_RULES.values():
-        out.append(0 if low <= r[ratio] <= high else -1)
+    for ratio, good, fair in quality_rules.BANDS.values():
+        out.append(-1 if not fair[0] <= r[ratio] <= fair[1] else 1 if good[0] <= r[ratio] <= good[1] else 0)
     return tuple(out) if n else (-1,) * len(out)
 
 
 def quality(docs):
     seen = {k: measures(t) for k, t in docs.items()}
-    patterns = collections.Counter(vote(r, n) for r, _, n in seen.values())
-    model = quality_rules.fit(sorted(patterns.items()), quality_rules.RULES)
-    odds = lambda v: np.log(model.prior / (1 - model.prior)) + sum(model.log_ratio[x][y] for x, y in zip(quality_rules.RULES, v))
-    return {k: t for k, t in docs.items() if not seen[k][1] and odds(vote(seen[k][0], seen[k][2])) >= 0}
+    patterns = sorted(collections.Counter(vote(r, n) for r, failed, n in seen.values() if not failed).items())
+    posterior = dict(zip((p for p, _ in patterns), em(patterns)[2]))
+    return {k: t for k, t in docs.items() if not seen[k][1] and posterior[vote(seen[k][0], seen[k][2])] >= 0.5}
 
 
 def near_dedup(docs):
