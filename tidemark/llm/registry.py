@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,13 +53,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    found = secret_ledger.findings(docs, secret_ledger.update_ledger(docs))
+    """Two scans: the base rules, then all rules against the stored ledger, which leaves only the added ones to apply."""
+    rows = common.stored(secret_ledger.addressed(common.table(spark, sf_dir, "documents")))
+    folder = f"{common.shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    first = secret_ledger.update(rows, None, secret_ledger.BASE_RULES, 1).write(f"{folder}/1")
+    second = secret_ledger.update(rows, first, secret_ledger.RULES, 2).write(f"{folder}/2")
+    found = secret_ledger.findings(rows, second)
     of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
     base = [r.kind for r in secret_ledger.BASE_RULES]
     base_spans = F.filter("spans", lambda s: s["kind"].isin(base))
     return found.select(
-        "doc_id",
+        F.col("path").alias("doc_id"),
         *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in base],
         F.sha2(secret_ledger.as_text(base_spans).cast("binary"), 256).alias("base_sha256"),
         secret_ledger.as_text(F.col("spans")).alias("spans"),

@@ -1,23 +1,37 @@
 """Secret scan over an incremental blob ledger (DataFrame functions only).
 
-A text is content-addressed by SHA-256. The ledger keeps one row per blob: the rule versions already
-applied to it and the spans they found. A scan takes each distinct blob once, applies to it only the
-rules whose version the ledger does not list for it, and joins findings back to every path (row) that
-holds the blob. A changed rule has a new version, so only that rule runs again.
+A text is content-addressed by SHA-256: a blob. The ledger has two tables that only grow:
+
+    blobs  one row for each blob ever seen: the rule versions applied to it, the spans they found, how many
+           rows of the last table held it, and how many versions were applied to it then
+    paths  one row for each (path, blob) ever seen and the scan in which it first was: every historical
+           version of every path
+
+A scan takes the distinct blobs of a table, applies to each only the rule versions that the ledger does not list
+for it, and joins findings back to the paths: those of the table, or all of history. A changed rule has a
+new version, so only that rule runs again.
+
+Texts in which no rule's gate (a literal or short pattern without which the rule can't match) is open are
+addressed, but not moved: their findings are known to be none. The other texts, once each, meet the ledger by
+blob; a blob that a large share of all rows hold is dealt over several tasks where paths meet findings.
 
 Matches are leftmost and non-overlapping per rule; a match whose measured group is too short is dropped
 after matching. Positions count code points, end exclusive.
 
-Defined results: null text is the empty blob, with no findings; repeated rows each get the findings;
-an empty table gives an empty result and an empty ledger; other columns of docs are not read.
+Defined results: null text is the empty blob, with no findings; repeated rows each get the findings, and are
+one path; null keys are a path of their own; very long texts are scanned whole; spans that start together come in
+the order of the rules; an empty table gives an empty result and adds nothing to a ledger; other columns of docs
+are not read, and pass through `mask` whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -88,56 +102,87 @@ def _spans(rule: Rule, order: int, text: Column, whole: Column) -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rules=RULES) -> DataFrame:
-    """blobs(blob, text, seen array<string>) -> (blob, versions, spans): unseen rule versions only."""
+    """blobs(blob, text, seen array<string>, ...) plus spans: those of unseen rule versions only."""
     text, none = F.col("text"), F.array().cast("array<string>")
     seen = F.coalesce(F.col("seen"), none)
     todo = [~F.array_contains(seen, r.version) & _gate(r, text) for r in rules]
     found = blobs.select(
-        "blob", "text", "seen",
-        *[F.when(t, F.regexp_extract_all(text, F.lit(_pattern(r)), F.lit(0))).alias(f"m{i}") for i, (r, t) in enumerate(zip(rules, todo))],
+        "*", *[F.when(t, F.regexp_extract_all(text, F.lit(_pattern(r)), F.lit(0))).alias(f"m{i}") for i, (r, t) in enumerate(zip(rules, todo))]
     )
     parts = [
         F.when(F.coalesce(F.size(f"m{i}"), F.lit(0)) > 0, _spans(r, i, text, F.col(f"m{i}"))).otherwise(F.array().cast(SPAN))
         for i, r in enumerate(rules)
     ]
-    versions = F.array_union(seen, F.array(*[F.lit(r.version) for r in rules]))
-    return found.select("blob", versions.alias("versions"), F.sort_array(F.concat(*parts)).alias("spans"))
+    return found.select(*blobs.columns, F.sort_array(F.concat(*parts)).alias("spans"))
 
 
 def blob_id(text: Column) -> Column:
-    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
-def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES, text: str = "text") -> DataFrame:
-    """The ledger rows of the blobs in docs: known spans plus those of newly applied rule versions.
+def addressed(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(path, blob, text) for every row of docs; text is null where no rule's gate is open."""
+    open_ = F.coalesce(reduce(or_, [_gate(r, F.col(text)) for r in rules]), F.lit(False))
+    return docs.select(F.col(key).alias("path"), blob_id(F.col(text)).alias("blob"), F.when(open_, F.col(text)).alias("text"))
 
-    Blobs that the ledger covers for every rule are dropped before their text is moved.
-    """
-    rows = docs.select(blob_id(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+@dataclass(frozen=True)
+class Ledger:
+    blobs: DataFrame
+    paths: DataFrame
+
+    def write(self, folder: str) -> "Ledger":
+        """Stored as two tables; what is read back is what later scans start from."""
+        self.blobs.write.parquet(f"{folder}/blobs")
+        self.paths.write.parquet(f"{folder}/paths")
+        return Ledger.read(self.blobs.sparkSession, folder)
+
+    @staticmethod
+    def read(spark: SparkSession, folder: str) -> "Ledger":
+        return Ledger(spark.read.parquet(f"{folder}/blobs"), spark.read.parquet(f"{folder}/paths"))
+
+
+def update(rows: DataFrame, ledger: Ledger | None = None, rules=RULES, scan: int = 1) -> Ledger:
+    """The ledger after a scan of rows(path, blob, text), as `addressed` makes them with these rules or more."""
+    none, current = F.array().cast("array<string>"), F.array(*[F.lit(r.version) for r in rules])
+    here = rows.groupBy("blob").agg(F.first("text", ignorenulls=True).alias("text"), F.count("*").alias("copies"))
+    paths = rows.groupBy("path", "blob").agg(F.lit(scan).alias("scan"))
     if ledger is None:
-        blobs = rows.groupBy("blob").agg(F.first("text").alias("text")).withColumn("seen", F.lit(None).cast("array<string>"))
-        return scan_blobs(blobs, rules)
-    current = F.array(*[F.lit(r.version) for r in rules])
-    done = ledger.where(F.size(F.array_except(current, F.col("versions"))) == 0)
-    unseen = rows.join(done.select("blob"), "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
-    known = ledger.select("blob", F.col("versions").alias("seen"), F.col("spans").alias("known"))
-    fresh = scan_blobs(unseen.join(known.drop("known"), "blob", "left"), rules)
-    merged = fresh.join(known.select("blob", "known"), "blob", "left").select(
-        "blob", "versions", F.sort_array(F.concat("spans", F.coalesce("known", F.array().cast(SPAN)))).alias("spans")
+        known = here.withColumns({"seen": none, "known": F.array().cast(SPAN)})
+    else:
+        known = here.join(ledger.blobs.select("blob", F.col("versions").alias("seen"), F.col("spans").alias("known")), "blob", "full_outer")
+        both = paths["path"].eqNullSafe(F.col("p")) & (paths["blob"] == F.col("b"))
+        old = ledger.paths.select(F.col("path").alias("p"), F.col("blob").alias("b"))
+        paths = ledger.paths.unionByName(paths.join(old, both, "left_anti"))
+    found = scan_blobs(known, rules)
+    fresh = F.when(F.col("copies").isNotNull(), F.array_except(current, F.coalesce("seen", none))).otherwise(none)
+    blobs = found.select(
+        "blob", F.array_union(F.coalesce("seen", none), fresh).alias("versions"),
+        F.sort_array(F.concat(F.coalesce("known", F.array().cast(SPAN)), "spans")).alias("spans"),
+        F.coalesce("copies", F.lit(0)).cast("long").alias("copies"), F.size(fresh).alias("applied"),
     )
-    here = rows.select("blob").distinct()
-    return merged.unionByName(done.join(here, "blob", "left_semi").select("blob", "versions", "spans"))
+    return Ledger(blobs, paths)
 
 
-def findings(docs: DataFrame, ledger: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, spans) for every row of docs, from a ledger that covers its blobs; empty array: none.
-
-    Only spans of the current rule versions count. The join carries the blobs that have spans.
-    """
+def _hits(ledger: Ledger, rules) -> DataFrame:
+    """(blob, spans, copies) of the blobs that have spans of the current rule versions."""
     current = F.array(*[F.lit(r.version) for r in rules])
-    hits = ledger.select("blob", F.filter("spans", lambda s: F.array_contains(current, s["version"])).alias("spans")).where(F.size("spans") > 0)
-    paths = docs.select(F.col(key).alias(key), blob_id(F.col(text)).alias("blob"))
-    return paths.join(hits, "blob", "left").select(key, F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    return ledger.blobs.select("blob", F.filter("spans", lambda s: F.array_contains(current, s["version"])).alias("spans"), "copies").where(F.size("spans") > 0)
+
+
+def findings(rows: DataFrame, ledger: Ledger, rules=RULES) -> DataFrame:
+    """(path, spans) for each of the rows that the ledger was last updated with; empty array: none."""
+    hits = _hits(ledger, rules)
+    hot = common.hot_keys(hits, "blob", "copies")
+    joined = common.salted_join(rows.select("path", "blob"), hits.drop("copies"), "blob", hot)
+    return joined.select("path", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+
+
+def history(ledger: Ledger, rules=RULES) -> DataFrame:
+    """(path, blob, scan, spans) for every version of every path that has findings."""
+    hits = _hits(ledger, rules).drop("copies")
+    hot = common.hot_keys(ledger.paths.groupBy("blob").agg(F.count("*").alias("n")), "blob")
+    return common.salted_join(ledger.paths, hits, "blob", hot, "inner").select("path", "blob", "scan", "spans")
 
 
 def as_text(spans: Column) -> Column:
@@ -160,13 +205,19 @@ def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     )
 
 
-def mask(docs: DataFrame, rules=RULES, text: str = "text", ledger: DataFrame | None = None) -> DataFrame:
+def mask(docs: DataFrame, rules=RULES, text: str = "text", ledger: Ledger | None = None) -> DataFrame:
     """docs, its own columns, with the spans of every text masked.
 
-    Each blob is scanned once; only its spans travel back to the rows that hold it.
+    Only texts with an open gate are moved; the others pass by. Each blob is scanned once; its spans travel back
+    to the rows that hold it.
     """
     blob, spans = common.free_name(docs, "blob"), common.free_name(docs, "spans")
-    found = update_ledger(docs, ledger, rules, text).where(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
-    joined = docs.withColumn(blob, blob_id(F.col(text))).join(found, blob, "left")
-    masked = F.when(F.col(spans).isNotNull(), redact(F.col(text), F.col(spans))).otherwise(F.col(text))
-    return joined.withColumn(text, masked).select(*docs.columns)
+    open_ = F.coalesce(reduce(or_, [_gate(r, F.col(text)) for r in rules]), F.lit(False))
+    likely = docs.where(open_)
+    rows = likely.select(F.lit(None).cast("int").alias("path"), blob_id(F.col(text)).alias("blob"), F.col(text).alias("text"))
+    found = common.cut(_hits(update(rows, ledger, rules), rules))
+    hot = common.hot_keys(found, "blob", "copies").select(F.col("blob").alias(blob))
+    hits = found.select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    joined = common.salted_join(likely.withColumn(blob, blob_id(F.col(text))), hits, blob, hot)
+    masked = joined.withColumn(text, F.when(F.col(spans).isNotNull(), redact(F.col(text), F.col(spans))).otherwise(F.col(text)))
+    return masked.select(*docs.columns).unionByName(docs.where(~open_))
