@@ -1,7 +1,9 @@
-"""Indicators that rest on recursive smoothing: RSI, MACD, ATR, ADX."""
+"""Indicators that rest on recursive smoothing: RSI, MACD, ATR, ADX; each is one pass over a symbol's rows."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,19 +13,35 @@ from . import windows as w
 col = F.col
 
 
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return (a / b).where(b.abs() > w.EPS)
+
+
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
     """50 where there is no loss to divide by, warm-up included."""
-    step = col("close") - w.lag(col("close"))
-    rows = bars.withColumns({"__up": F.when(step.isNotNull(), F.greatest(step, F.lit(0.0))), "__dn": F.when(step.isNotNull(), F.greatest(-step, F.lit(0.0)))})
-    rows = recursive.smooth(rows, {"__a": ("__up", 1 / n, n), "__b": ("__dn", 1 / n, n)})
-    value = w.clip(100 - 100 / (1 + w.ratio(col("__a"), col("__b"))), 0.0, 100.0)
-    return rows.withColumn(f"rsi_{n}", F.coalesce(value, F.lit(50.0))).drop("__up", "__dn", "__a", "__b")
+    move = col("close") - w.lag(col("close"))
+    rows = bars.withColumns({"__up": F.greatest(move, F.lit(0.0)), "__dn": F.greatest(-move, F.lit(0.0))})
+    rows = rows.withColumns({c: F.when(move.isNotNull(), col(c)) for c in ("__up", "__dn")})
+    return recursive.smooth(
+        rows,
+        {
+            "__a": ("__up", 1 / n, n), "__b": ("__dn", 1 / n, n),
+            f"rsi_{n}": lambda r: (100 - 100 / (1 + _ratio(r["__a"], r["__b"]))).clip(0, 100).fillna(50.0),
+        },
+    )
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    rows = recursive.ema(bars, "close", (fast, slow)).withColumn("macd", col(f"ema_{fast}") - col(f"ema_{slow}"))
-    rows = recursive.smooth(rows, {"macd_signal": ("macd", 2 / (signal + 1), max(2, signal // 2))})
-    return rows.withColumn("macd_hist", col("macd") - col("macd_signal")).drop(f"ema_{fast}", f"ema_{slow}")
+    """The line of two means, its own mean over `signal` rows of which all must be seen, and their difference."""
+    span = lambda x, n, least: (x, recursive.span(n), least)
+    return recursive.smooth(
+        bars,
+        {
+            "__fast": span("close", fast, max(2, fast // 2)), "__slow": span("close", slow, max(2, slow // 2)),
+            "macd": lambda r: r["__fast"] - r["__slow"], "macd_signal": span("macd", signal, signal),
+            "macd_hist": lambda r: r["macd"] - r["macd_signal"],
+        },
+    )
 
 
 def true_range(bars: DataFrame) -> DataFrame:
@@ -32,15 +50,20 @@ def true_range(bars: DataFrame) -> DataFrame:
 
 
 def atr(bars: DataFrame, n: int = 14) -> DataFrame:
-    return recursive.smooth(true_range(bars), {f"atr_{n}": ("true_range", 1 / n, n)}).drop("true_range")
+    return recursive.smooth(true_range(bars).withColumnRenamed("true_range", "__tr"), {f"atr_{n}": ("__tr", 1 / n, n)})
 
 
 def adx(bars: DataFrame, n: int = 14) -> DataFrame:
     up, down = col("high") - w.lag(col("high")), w.lag(col("low")) - col("low")
     move = lambda a, b: F.coalesce(F.when((a > b) & (a > 0), a), F.lit(0.0))
-    rows = true_range(bars).withColumns({"__p": move(up, down), "__m": move(down, up)})
-    rows = recursive.smooth(rows, {"__tr": ("true_range", 1 / n, n), "__ps": ("__p", 1 / n, n), "__ms": ("__m", 1 / n, n)})
-    rows = rows.withColumns({"__pdi": 100 * w.ratio(col("__ps"), col("__tr")), "__mdi": 100 * w.ratio(col("__ms"), col("__tr"))})
-    rows = rows.withColumn("__dx", 100 * w.ratio(F.abs(col("__pdi") - col("__mdi")), col("__pdi") + col("__mdi")))
-    rows = recursive.smooth(rows, {"__adx": ("__dx", 1 / n, n)})
-    return rows.withColumns({f"{a}_{n}": w.clip(col(f"__{a}"), 0.0, 100.0) for a in ("adx", "pdi", "mdi")}).select(*bars.columns, f"adx_{n}", f"pdi_{n}", f"mdi_{n}")
+    rows = true_range(bars).withColumnRenamed("true_range", "__tr").withColumns({"__p": move(up, down), "__m": move(down, up)})
+    index = lambda c: lambda r: 100 * _ratio(r[c], r["__trn"])
+    bounded = lambda c: lambda r: r[c].clip(0, 100)
+    return recursive.smooth(
+        rows,
+        {
+            "__trn": ("__tr", 1 / n, n), "__ps": ("__p", 1 / n, n), "__ms": ("__m", 1 / n, n), "__pdi": index("__ps"), "__mdi": index("__ms"),
+            "__dx": lambda r: 100 * _ratio((r["__pdi"] - r["__mdi"]).abs(), r["__pdi"] + r["__mdi"]).replace([np.inf, -np.inf], np.nan),
+            "__adx": ("__dx", 1 / n, n), f"adx_{n}": bounded("__adx"), f"pdi_{n}": bounded("__pdi"), f"mdi_{n}": bounded("__mdi"),
+        },
+    )

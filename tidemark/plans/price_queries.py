@@ -167,11 +167,33 @@ over_bars(
      "cal_turn_of_month": "CAST(day(date) <= 3 OR day(date) >= 28 AS INTEGER)", "cal_dom_norm": "day(date) / 31.0",
      "cal_quarter_end": "CAST(last_day(date) = date AND month(date) % 3 = 0 AS INTEGER)", "cal_week_of_year": "week(date) / 53.0"},
 )
-over_bars("ema", ["ema_12", "ema_26"], lambda b: recursive.ema(b, "close", (12, 26)))
-over_bars("rsi_14", ["rsi_14"], osc.rsi)
-over_bars("macd", ["macd", "macd_signal", "macd_hist"], osc.macd)
-over_bars("atr_14", ["atr_14"], osc.atr)
-over_bars("adx_14", ["adx_14", "pdi_14", "mdi_14"], osc.adx)
+
+
+def over_smoothed(name: str, inputs: list[str], values: list[str], build, made: tuple[str, str], digits: int = 6) -> None:
+    """Register build(the input columns of daily bars) with SQL that smooths by a recursive query."""
+    register(name, q.select(DAY, values, made, digits))(
+        lambda spark, sf_dir: shown(build(src.daily(spark, sf_dir).select(*DAY, *inputs)), DAY, values, digits)
+    )
+
+
+PLAIN = (f"WITH {q.BARS}", "bars")
+EMAS = {f"ema_{n}": ("close", recursive.span(n), max(2, n // 2)) for n in (12, 26)}
+over_smoothed("ema", ["close"], list(EMAS), lambda b: recursive.ema(b, "close", (12, 26)), q.smoothed(PLAIN, EMAS, "e"))
+MOVES = q.then(q.then(PLAIN, {"move": f"close - {q.lag('close')}"}, "m0"), {"up": "CASE WHEN move IS NOT NULL THEN greatest(move, 0.0) END", "dn": "CASE WHEN move IS NOT NULL THEN greatest(-move, 0.0) END"}, "m1")
+over_smoothed("rsi_14", ["close"], ["rsi_14"], osc.rsi, q.then(
+    q.smoothed(MOVES, {"a": ("up", 1 / 14, 14), "b": ("dn", 1 / 14, 14)}, "e"), {"rsi_14": f"coalesce({q.clip('100 - 100 / (1 + ' + q.ratio('a', 'b') + ')', 0.0, 100.0)}, 50.0)"}, "o"))
+LINE = q.then(q.smoothed(PLAIN, EMAS, "e"), {"macd": "ema_12 - ema_26"}, "l")
+over_smoothed("macd", ["close"], ["macd", "macd_signal", "macd_hist"], osc.macd, q.then(
+    q.smoothed(LINE, {"macd_signal": ("macd", recursive.span(9), 9)}, "g"), {"macd_hist": "macd - macd_signal"}, "o"))
+TRUE = q.then(PLAIN, {"tr": f"greatest(high - low, abs(high - {q.lag('close')}), abs(low - {q.lag('close')}))"}, "t")
+over_smoothed("atr_14", ["high", "low", "close"], ["atr_14"], osc.atr, q.smoothed(TRUE, {"atr_14": ("tr", 1 / 14, 14)}, "e"))
+STEPS = q.then(TRUE, {"u": f"high - {q.lag('high')}", "d": f"{q.lag('low')} - low"}, "t1")
+STEPS = q.then(STEPS, {"p": "CASE WHEN u > d AND u > 0 THEN u ELSE 0.0 END", "m": "CASE WHEN d > u AND d > 0 THEN d ELSE 0.0 END"}, "t2")
+DI = q.smoothed(STEPS, {"trn": ("tr", 1 / 14, 14), "ps": ("p", 1 / 14, 14), "ms": ("m", 1 / 14, 14)}, "e")
+DI = q.then(DI, {"pd": f"100 * {q.ratio('ps', 'trn')}", "md": f"100 * {q.ratio('ms', 'trn')}"}, "t3")
+DI = q.then(DI, {"dx": f"100 * {q.ratio('abs(pd - md)', 'pd + md')}"}, "t4")
+over_smoothed("adx_14", ["high", "low", "close"], ["adx_14", "pdi_14", "mdi_14"], osc.adx, q.then(
+    q.smoothed(DI, {"ax": ("dx", 1 / 14, 14)}, "g"), {"adx_14": q.clip("ax", 0.0, 100.0), "pdi_14": q.clip("pd", 0.0, 100.0), "mdi_14": q.clip("md", 0.0, 100.0)}, "o"))
 
 TODAY = ["tdy_gap", "tdy_anchor_ret", "tdy_anchor_vs_open", "tdy_anchor_dist_sma20", "tdy_anchor_rangepos21", "tdy_anchor_ret_sigma"]
 over_bars(

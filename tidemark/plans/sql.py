@@ -70,3 +70,28 @@ def staged(*stages: dict[str, str], base: str = "bars", head: str = BARS) -> tup
 def select(keys: list[str], values: list[str], made: tuple[str, str], digits: int = 6) -> str:
     shown = ", ".join([*keys, *[f"round(CAST({v} AS DOUBLE), {digits}) + 0.0 AS {v}" for v in values]])
     return f"{made[0]} SELECT {shown} FROM {made[1]}"
+
+
+def smoothed(made: tuple[str, str], specs: dict[str, tuple[str, float, int]], name: str) -> tuple[str, str]:
+    """made plus recursively smoothed columns: out -> (input, alpha, least), as a recursive query over row numbers."""
+    keys = list(specs)
+    xs = ", ".join(f"CAST({x} AS DOUBLE) AS x{k}" for k, (x, _, _) in enumerate(specs.values()))
+    start = ", ".join(f"x{k} AS y{k}, CAST(1 AS DOUBLE) AS w{k}" for k in range(len(keys)))
+    step = []
+    for k, (_, a, _) in enumerate(specs.values()):
+        old = f"(r.w{k} * {1 - a!r})"
+        step.append(f"CASE WHEN b.x{k} IS NULL THEN r.y{k} WHEN r.y{k} IS NULL THEN b.x{k} ELSE ({old} * r.y{k} + {a!r} * b.x{k}) / ({old} + {a!r}) END")
+        step.append(f"CASE WHEN b.x{k} IS NULL AND r.y{k} IS NOT NULL THEN {old} ELSE CAST(1 AS DOUBLE) END")
+    shown = ", ".join(f"CASE WHEN count({x}) OVER (PARTITION BY s.symbol ORDER BY s.date) >= {least} THEN y{k} END AS {out}" for k, (out, (x, _, least)) in enumerate(specs.items()))
+    head = made[0].replace("WITH ", "WITH RECURSIVE ", 1) if "WITH RECURSIVE" not in made[0] else made[0]
+    return (
+        f"{head}, {name}b AS MATERIALIZED (SELECT symbol, date, row_number() OVER {SERIES} AS rn, {xs} FROM {made[1]}), "
+        f"{name}r AS (SELECT symbol, rn, {start} FROM {name}b WHERE rn = 1 UNION ALL SELECT b.symbol, b.rn, {', '.join(step)} FROM {name}r r JOIN {name}b b ON b.symbol = r.symbol AND b.rn = r.rn + 1), "
+        f"{name} AS (SELECT s.*, {shown} FROM {made[1]} s JOIN {name}b USING (symbol, date) JOIN {name}r USING (symbol, rn))",
+        name,
+    )
+
+
+def then(made: tuple[str, str], columns: dict[str, str], name: str) -> tuple[str, str]:
+    """made plus columns."""
+    return f"{made[0]}, {name} AS (SELECT *, " + ", ".join(f"{x} AS {c}" for c, x in columns.items()) + f" FROM {made[1]})", name
