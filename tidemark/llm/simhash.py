@@ -5,17 +5,20 @@ if it is set in over half of them. Links: at most `radius` differing bits.
 
 Only distinct fingerprints are compared. The 64 bits are cut into `blocks` blocks; two fingerprints at
 distance `radius` or less agree on at least blocks - radius of them, so each choice of that many blocks
-is one table, and every link falls into some bucket of equal chosen blocks. Spark deals the buckets out;
+is one table, and every link falls into some bucket of equal chosen blocks. The number of blocks follows from the
+count of fingerprints (5 up to some 7 million, 8 at 10^11), so that buckets stay small. Spark deals the buckets out;
 within a task each bucket is a Gray-order hierarchical index: fingerprints sorted by Gray rank, runs of
 LEAF neighbours as leaves, runs of leaves as upper nodes, each node holding the bit pattern its members
 share and the mask of where they share it. Two nodes whose shared patterns already differ in more than
 `radius` commonly masked bits are left out with all their members; what remains is compared exactly.
 A bucket of over SPLIT rows is dealt evenly into cells whose pairs are separate buckets, so a hot bucket
-is no single task. A task returns a spanning forest of each bucket's links, not all its pairs.
+is no single task. A task returns a spanning forest of each bucket's links, not all its pairs. Fingerprints, nodes
+and components that a large share of the rows hold are dealt over many tasks where rows meet their group.
 
 Defined results: no words (null, empty, blank): fingerprint zero, linked like any other; fewer than four
 words: the whole sequence is the one shingle; a null id takes part in links, and a component without any
-id has a null component id; repeated rows each get a result; an empty table gives an empty result.
+id has a null component id; repeated rows each get a result; very long texts are read whole; an empty table gives an
+empty result; other columns are not read, and pass through `keep_one` whatever their names.
 """
 
 from __future__ import annotations
@@ -64,11 +67,22 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp): the fingerprint of every row as a signed long."""
+    """(key, fp): the fingerprint of every row as a signed long; the key may be a struct."""
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_fingerprints, f"key {kind}, fp long")
 
 
+def blocks_for(n: int, radius: int) -> int:
+    """The fewest blocks whose buckets hold SPLIT / 2 fingerprints or fewer on average, of n fingerprints.
+
+    Fewer blocks are fewer tables (C(blocks, radius)) with fuller buckets; no choice loses a link.
+    """
+    blocks = radius + 1
+    while n / 2 ** (BITS * (blocks - radius) / blocks) > SPLIT / 2 and blocks < 2 * radius:
+        blocks += 1
+    return blocks
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Rank of each pattern in Gray order: the prefix XOR of its bits."""
     x = x.copy()
@@ -198,8 +212,9 @@ def _tables(blocks: int, radius: int) -> list[int]:
     return [sum(one[k] for k in chosen) for chosen in combinations(range(blocks), blocks - radius)]
 
 
-def near_pairs(distinct: DataFrame, radius: int = 4, blocks: int = 6) -> DataFrame:
+def near_pairs(distinct: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """distinct(fp) without repeats -> (a, b): edges at distance `radius` or less that connect all linked fps."""
+    blocks = blocks_for(distinct.count(), radius) if blocks is None else blocks
     masks = [m - (1 << 64) if m >> 63 else m for m in _tables(blocks, radius)]
     rows = distinct.select(
         "fp", F.posexplode(F.array(*[F.lit(m).cast("bigint").bitwiseAND(F.col("fp")) for m in masks])).alias("table", "bucket")
@@ -221,17 +236,21 @@ def near_pairs(distinct: DataFrame, radius: int = 4, blocks: int = 6) -> DataFra
     return sorted_rows.mapInArrow(_bucket_task(radius), "a long, b long").distinct()
 
 
+def _grouped(marked: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, least) for the fingerprints of marked(key, fp), least being the smallest key of the component, and the hot fps."""
+    distinct = common.cut(marked.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")))
+    roots = components.connected(near_pairs(distinct.select("fp"), radius))
+    labelled = common.cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named = common.cut(labelled.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("n")))
+    by_fp = common.salted_join(labelled.drop("least"), named.drop("n"), "root", common.hot_keys(named, "root"), "inner")
+    return by_fp.select("fp", "least"), common.hot_keys(distinct, "fp")
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
     """(key, fp, component_id) for every row of docs."""
     marked = common.cut(fingerprints(docs, key, text))
-    distinct = common.cut(marked.groupBy("fp").agg(F.min("key").alias("first_key")))
-    roots = components.connected(near_pairs(distinct.select("fp"), radius))
-    labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "first_key", F.coalesce("root", "fp").alias("root")
-    )
-    named = labelled.groupBy("root").agg(F.min("first_key").alias("component_id"))
-    by_fp = labelled.join(named, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp", "left").select(F.col("key").alias(key), "fp", "component_id")
+    by_fp, hot = _grouped(marked, radius)
+    return common.salted_join(marked, by_fp, "fp", hot).select(F.col("key").alias(key), "fp", F.col("least").alias("component_id"))
 
 
 def as_hex(fp):
@@ -239,11 +258,14 @@ def as_hex(fp):
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
-    """One row of docs for each group: the row whose key is the group's smallest, one row for each key.
+    """Exactly one row of docs for each group: that of the smallest key, a null key last.
 
-    Rows with a null key take part in the links, but can't be named by a key, and all stay.
+    Rows are told apart by their place in their file, so repeated rows, shared keys and null keys are rows like any
+    other; among rows of one key the text with the smallest hash stays, then the first in the files.
     """
-    named = groups(docs, key, text, radius)
-    first = named.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    kept = docs.join(first, key, "left_semi").dropDuplicates([key])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    rows, rid = common.with_row_id(docs)
+    order = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.xxhash64(text).alias("text"), F.col(rid).alias("rid"))
+    marked = common.cut(fingerprints(rows.select(order.alias("place"), text), "place", text))
+    by_fp, hot = _grouped(marked, radius)
+    dropped = common.salted_join(marked, by_fp, "fp", hot).where(F.col("key.rid") != F.col("least.rid")).select(F.col("key.rid").alias(rid))
+    return common.without_rows(rows, rid, common.cut(dropped)).select(*docs.columns)
