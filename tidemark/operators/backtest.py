@@ -13,16 +13,33 @@ col = F.col
 YEAR = 252
 
 
-def position(p: Column, sizing: str = "continuous", threshold: float = 0.55, gain: float = 1.0, cap: float = 1.0, least: float = 0.02, short: bool = True) -> Column:
-    """Size from a calibrated probability; null gives zero."""
+def position(
+    p: Column, sizing: str = "continuous", threshold: float = 0.55, gain: float = 1.0, cap: float = 1.0, least: float = 0.02, short: bool = True,
+    leverage: float = 1.0, expected: Column | None = None, sigma: Column | None = None, fraction: float = 0.25,
+) -> Column:
+    """Size from a calibrated probability; null gives zero.
+
+    continuous: in proportion to the distance from a half, nothing below `least`. The others act beyond the threshold:
+    binary with one unit, confidence by the excess over the threshold, kelly by a fraction of expected return over
+    variance. These three are cut off at the smaller of cap and leverage.
+    """
     if sizing == "continuous":
         size = w.clip((p - 0.5) / 0.5 * gain, -cap if short else 0.0, cap)
         return F.coalesce(F.when(F.abs(size) >= least, size), F.lit(0.0))
     up, down = p >= threshold, (p <= 1 - threshold) if short else F.lit(False)
     if sizing == "binary":
-        return F.when(up, cap).when(down, -cap).otherwise(0.0)
-    scale = lambda x: F.least((x - threshold) / (1 - threshold), F.lit(1.0)) * cap
-    return F.when(up, scale(p)).when(down, -scale(1 - p)).otherwise(0.0)
+        raw = F.when(up, 1.0).when(down, -1.0).otherwise(0.0)
+    elif sizing == "confidence":
+        scale = max(1e-6, 1 - threshold)
+        raw = F.when(up, (p - threshold) / scale).when(down, -((1 - threshold) - p) / scale).otherwise(0.0)
+    elif sizing == "kelly":
+        if expected is None or sigma is None:
+            raise ValueError("kelly sizing needs an expected return and a sigma")
+        raw = F.when(up | (p <= 1 - threshold), expected / F.greatest(sigma * sigma, F.lit(1e-8)) * fraction).otherwise(0.0)
+    else:
+        raise ValueError(f"unknown sizing: {sizing}")
+    most = min(cap, leverage)
+    return F.coalesce(w.clip(raw, -most, most), F.lit(0.0))
 
 
 def coherent(pos: Column, median: Column) -> Column:
@@ -99,13 +116,45 @@ def continuous_pnl(bars: DataFrame, price: str = "close", cost_bps: float = 4.0)
     return run(rows, cost_bps)
 
 
-def portfolio(trades: DataFrame) -> DataFrame:
-    """Equal-weight mean of the symbols that trade on each day, with its compounded value."""
+def buy_and_hold(rows: DataFrame, cost_bps: float = 4.0) -> DataFrame:
+    """run() of one unit held on every row."""
+    return run(rows.withColumn("position", F.lit(1.0)), cost_bps)
+
+
+def portfolio(trades: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """Equal-weight mean of the symbols that trade on each day, with its compounded value.
+
+    verdicts(symbol, verdict): symbols that are NO-GO are left out, those without a verdict stay.
+    """
+    if verdicts is not None:
+        trades = trades.join(verdicts.where("verdict = 'NO-GO'").select("symbol"), "symbol", "left_anti")
     days = trades.groupBy("date").agg(F.avg("net").alias("net"), F.count("*").alias("k"))
     one = w.Window.orderBy("date").rowsBetween(w.Window.unboundedPreceding, 0)  # one row a day
     return days.withColumn("equity", F.product(1 + col("net")).over(one))
 
 
+def portfolio_by_year(days: DataFrame, least: int = 30) -> DataFrame:
+    """portfolio() rows by calendar year; years of fewer than `least` days are left out."""
+    sd = F.stddev_samp("net")
+    return days.groupBy(F.year("date").alias("year")).agg(
+        F.count("*").alias("n"), (F.product(1 + col("net")) - 1).alias("ret"), F.when(sd > 1e-12, F.avg("net") / sd * math.sqrt(YEAR)).alias("sharpe")
+    ).where(col("n") >= least)
+
+
+def diversification(trades: DataFrame) -> DataFrame:
+    """(k, mean_corr, mean_sharpe, independent, correlated): the mean correlation of pairs, and the Sharpe that k symbols of
+    the mean Sharpe would have together without it and with it."""
+    sd = F.stddev_samp("net")
+    each = trades.groupBy("symbol").agg(F.when(sd > 1e-12, F.avg("net") / sd * math.sqrt(YEAR)).alias("sharpe"))
+    one = each.agg(F.count("sharpe").alias("k"), F.avg("sharpe").alias("mean_sharpe"))
+    made = one.join(F.broadcast(pair_correlations(trades).agg(F.avg("corr").alias("mean_corr"))))  # one row each
+    k, rho = col("k"), col("mean_corr")
+    return made.select(
+        "k", "mean_corr", "mean_sharpe", (col("mean_sharpe") * F.sqrt(k)).alias("independent"),
+        (col("mean_sharpe") * F.sqrt(k / F.greatest(1 + (k - 1) * F.coalesce(rho, F.lit(0.0)), F.lit(1e-9)))).alias("correlated"),
+    )
+
+
 def pair_correlations(trades: DataFrame) -> DataFrame:
     """(a, b, n, corr) of the daily net returns of each pair of symbols."""
     a = trades.select("date", col("symbol").alias("a"), col("net").alias("x"))

@@ -86,7 +86,7 @@ def long_form(rows: DataFrame, names: list[str]) -> DataFrame:
 
 def feature_quality(rows: DataFrame, names: list[str], share: float = 0.6) -> DataFrame:
     """(feature, coverage, variance) over each symbol's first rows: the later ones are not looked at."""
-    place = rows.withColumns({"__rn": F.row_number().over(w.series()), "__n": F.count("*").over(w.series().rowsBetween(-(2**31), 2**31 - 1))})
+    place = rows.withColumns({"__rn": F.row_number().over(w.series()), "__n": F.count("*").over(Window.partitionBy("symbol"))})
     head = place.where(col("__rn") <= F.greatest(F.lit(250), F.floor(share * col("__n"))))
     return long_form(head, names).groupBy("feature").agg(F.avg(col("value").isNotNull().cast("double")).alias("coverage"), F.var_pop("value").alias("variance"))
 

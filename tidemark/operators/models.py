@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -66,14 +65,20 @@ def walk_forward(rows: DataFrame, names: list[str], folds: list[int], which: tup
     return out
 
 
-def har_ols(rows: DataFrame, y: str = "log_rv_next", xs: tuple[str, ...] = ("har_d", "har_w", "har_m")) -> dict[str, list[float]]:
-    """Ordinary least squares by symbol: one aggregate to the Gram sums, a small solve for each symbol."""
+def har_ols(rows: DataFrame, y: str = "log_rv_next", xs: tuple[str, ...] = ("har_d", "har_w", "har_m"), names: tuple[str, ...] = ("const", "day", "week", "month")) -> DataFrame:
+    """(symbol, one column for each term): ordinary least squares by symbol.
+
+    One aggregate to the sums of the normal equations; they are solved step by step as columns, so that nothing leaves
+    the executors. A symbol whose equations are singular has nulls.
+    """
     live = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in (y, *xs)))
-    cols = [F.lit(1.0), *map(col, xs)]
-    grams = [F.sum(a * b).alias(f"g{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
-    sums = live.groupBy("symbol").agg(*grams, *[F.sum(a * col(y)).alias(f"m{i}") for i, a in enumerate(cols)]).collect()
-    out = {}
-    for r in sums:
-        g = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(len(cols))] for i in range(len(cols))])
-        out[r["symbol"]] = np.linalg.lstsq(g, np.array([r[f"m{i}"] for i in range(len(cols))]), rcond=None)[0].tolist()
-    return out
+    terms = [F.lit(1.0), *map(col, xs)]
+    k = len(terms)
+    made = live.groupBy("symbol").agg(
+        *[F.sum(a * b).alias(f"g{i}_{j}") for i, a in enumerate(terms) for j, b in enumerate(terms)], *[F.sum(a * col(y)).alias(f"g{i}_{k}") for i, a in enumerate(terms)]
+    )
+    for p in range(k):
+        pivot = F.when(F.abs(f"g{p}_{p}") > 1e-12, col(f"g{p}_{p}"))
+        lead = {j: col(f"g{p}_{j}") / pivot for j in range(k + 1)}
+        made = made.select("symbol", *[(lead[j] if i == p else col(f"g{i}_{j}") - col(f"g{i}_{p}") * lead[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k + 1)])
+    return made.select("symbol", *[col(f"g{i}_{k}").alias(n) for i, n in enumerate(names)])

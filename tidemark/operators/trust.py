@@ -15,35 +15,55 @@ from ..functions import windows as w
 col = F.col
 
 
-def calibration(scores: DataFrame, bins: int = 10) -> DataFrame:
-    """(bin, n, mean_p, rate) of scores(y, p) in equal-width bins."""
+def calibration(scores: DataFrame, bins: int = 10, least: int = 5) -> DataFrame:
+    """(bin, n, mean_p, rate) of scores(y, p) in equal-width bins that hold `least` rows or more."""
     b = F.least(F.floor(col("p") * bins), F.lit(bins - 1)).cast("int")
-    return scores.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg(col("y").cast("double")).alias("rate"))
+    return scores.where("y IS NOT NULL AND p IS NOT NULL").groupBy(b.alias("bin")).agg(
+        F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg(col("y").cast("double")).alias("rate")
+    ).where(col("n") >= least)
 
 
-def calibration_summary(scores: DataFrame, bins: int = 10) -> DataFrame:
-    """Brier score, log loss, base rate, skill over the base rate and expected calibration error."""
-    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), col("p")))
-    y = col("y").cast("double")
-    whole = scores.agg(
-        F.count("*").alias("n"), F.avg(F.pow(col("p") - y, 2)).alias("brier"), F.avg(-(y * F.ln(p) + (1 - y) * F.ln(1 - p))).alias("log_loss"), F.avg(y).alias("base_rate")
+def calibration_summary(scores: DataFrame, bins: int = 10, least: int = 20) -> DataFrame:
+    """Brier score, log loss, base rate, skill over the base rate and expected calibration error; null below `least` rows.
+
+    Bins of fewer than five rows add nothing to the error.
+    """
+    live = scores.where("y IS NOT NULL AND p IS NOT NULL").withColumn("p", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), col("p"))))
+    p, y = col("p"), col("y").cast("double")
+    whole = live.agg(
+        F.count("*").alias("n"), F.avg(F.pow(p - y, 2)).alias("brier"), F.avg(-(y * F.ln(p) + (1 - y) * F.ln(1 - p))).alias("log_loss"), F.avg(y).alias("base_rate")
+    )
+    ece = calibration(live, bins).agg(F.sum(col("n") * F.abs(col("mean_p") - col("rate"))).alias("__gap"))
+    made = whole.join(F.broadcast(ece))  # one row each
+    enough = lambda c: F.when(col("n") >= least, c)
+    return made.select(
+        "n", *[enough(col(c)).alias(c) for c in ("brier", "log_loss", "base_rate")],
+        enough(1 - col("brier") / F.nullif(col("base_rate") * (1 - col("base_rate")), F.lit(0.0))).alias("skill"),
+        enough(F.coalesce("__gap", F.lit(0.0)) / col("n")).alias("ece"),
     )
-    ece = calibration(scores, bins).agg((F.sum(col("n") * F.abs(col("mean_p") - col("rate"))) / F.sum("n")).alias("ece"))
-    skill = 1 - col("brier") / F.nullif(col("base_rate") * (1 - col("base_rate")), F.lit(0.0))
-    return whole.crossJoin(ece).withColumn("skill", skill)
 
 
-def auc(scores: DataFrame) -> DataFrame:
-    """Exact area under the ROC curve: Mann-Whitney by counts of each distinct score, ties half.
+def auc(scores: DataFrame, keys: list[str] = []) -> DataFrame:
+    """Exact area under the ROC curve for each group of keys: Mann-Whitney by counts of each distinct score, ties half.
 
-    Scores are counted first, so the ordered pass sees distinct scores, not rows.
+    Scores are counted first. The counts are range-partitioned by score and numbered through; what a partition
+    has below it is the sum of the partitions before, so that no task sees all scores.
     """
-    per = scores.groupBy("p").agg(F.sum(col("y").cast("long")).alias("pos"), F.sum((1 - col("y")).cast("long")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = per.withColumn("__below", below).agg(
-        F.sum(col("pos") * (col("__below") + col("neg") / 2)).alias("__u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")
+    live = scores.where("y IS NOT NULL AND p IS NOT NULL")
+    per = live.groupBy(*keys, "p").agg(F.sum(col("y").cast("long")).alias("pos"), F.sum((1 - col("y")).cast("long")).alias("neg"))
+    placed = per.repartitionByRange(*keys, "p").withColumn("__part", F.spark_partition_id())
+    by = [*keys, "__part"]
+    inside = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = placed.withColumn("__below", inside)
+    # One row for each partition and group that has rows in it: pairs within it, and totals.
+    parts = rows.groupBy(*by).agg(
+        F.sum(col("pos") * (col("__below") + col("neg") / 2)).alias("__u"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )
-    return out.select("n_pos", "n_neg", (col("__u") / F.nullif(col("n_pos") * col("n_neg"), F.lit(0))).alias("auc"))
+    before = F.coalesce(F.sum("neg").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = parts.withColumn("__before", before).groupBy(*keys).agg(
+        F.sum(col("__u") + col("pos") * col("__before")).alias("__u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")
+    )
+    return out.select(*keys, "n_pos", "n_neg", (col("__u") / F.nullif(col("n_pos") * col("n_neg"), F.lit(0))).alias("auc"))
 
 
 def fold_stability(per_fold: DataFrame, x: str) -> DataFrame:
@@ -96,31 +116,60 @@ def pbo(perf: DataFrame, blocks: int = 8) -> DataFrame:
     )
 
 
-def probabilistic_sharpe(sr: float, n: int, skew: float = 0.0, kurt: float = 3.0, benchmark: float = 0.0) -> float:
+def probabilistic_sharpe(sr: float, n: int, skew: float = 0.0, kurt: float = 3.0, benchmark: float = 0.0) -> float | None:
+    """Probability that the true Sharpe ratio (of one row, not of a year) beats the benchmark; null below ten rows."""
+    if sr is None or n < 10 or not math.isfinite(sr):
+        return None
     spread = math.sqrt(max(1e-12, 1 - skew * sr + (kurt - 1) / 4 * sr * sr))
-    return NormalDist().cdf((sr - benchmark) * math.sqrt(max(n - 1, 1)) / spread)
+    return NormalDist().cdf((sr - benchmark) * math.sqrt(n - 1) / spread)
 
 
-def deflated_sharpe(sr: float, n: int, trials: int, trial_variance: float, skew: float = 0.0, kurt: float = 3.0) -> float:
-    """Probability that a Sharpe ratio beats the best that `trials` chance trials would give."""
-    if trials < 2 or trial_variance <= 0:
-        return probabilistic_sharpe(sr, n, skew, kurt)
+def chance_sharpe(trials: int, variance: float | None) -> float:
+    """The Sharpe ratio that the best of `trials` chance trials of this variance is expected to have."""
+    if trials < 2 or variance is None or not math.isfinite(variance) or variance <= 0:
+        return 0.0
     z, gamma = NormalDist().inv_cdf, 0.5772156649015329
-    chance = math.sqrt(trial_variance) * ((1 - gamma) * z(1 - 1 / trials) + gamma * z(1 - 1 / (trials * math.e)))
-    return probabilistic_sharpe(sr, n, skew, kurt, chance)
+    return math.sqrt(variance) * ((1 - gamma) * z(1 - 1 / trials) + gamma * z(1 - 1 / (trials * math.e)))
+
 
+def deflated_sharpe(sr: float, n: int, trials: int, trial_variance: float, skew: float = 0.0, kurt: float = 3.0) -> tuple[float | None, float]:
+    """(probability that a Sharpe ratio beats the best that `trials` chance trials would give, that best)."""
+    chance = chance_sharpe(trials, trial_variance)
+    return probabilistic_sharpe(sr, n, skew, kurt, chance), chance
 
-def permutation_p(null: DataFrame, observed: float) -> DataFrame:
-    return null.agg(((F.count_if(col("x") >= observed) + 1) / (F.count("*") + 1)).alias("p_value"))
 
+def deflated(rows: DataFrame) -> DataFrame:
+    """rows(sr, n, trials, variance, skew, kurt) plus deflated and sr0, one vectorised call a batch: Spark SQL has no normal distribution."""
 
-def block_permute(rows: DataFrame, block: int = 20, seed: int = 1) -> DataFrame:
-    """y of each symbol in blocks of rows dealt anew: order within a block stays, so short memory stays."""
-    placed = rows.withColumn("__rn", F.row_number().over(w.series()) - 1).withColumn("__b", F.floor(col("__rn") / block))
-    order = placed.select("symbol", "__b").distinct().withColumn("__key", F.xxhash64("symbol", "__b", F.lit(seed)))
-    moved = placed.join(order, ["symbol", "__b"]).withColumn("__to", F.row_number().over(Window.partitionBy("symbol").orderBy("__key", "__rn")) - 1)
-    y = moved.select("symbol", col("__to").alias("__rn"), col("y_ret").alias("y_permuted"))
-    return placed.join(y, ["symbol", "__rn"]).drop("__rn", "__b")
+    def run(batches):
+        for b in batches:
+            made = [deflated_sharpe(*r) for r in zip(b["sr"], b["n"], b["trials"], b["variance"], b["skew"], b["kurt"])]
+            yield b.assign(deflated=[m[0] for m in made], sr0=[m[1] for m in made])
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema], "deflated double", "sr0 double"])
+    return rows.mapInPandas(run, schema)
+
+
+def permutation_p(null: DataFrame, observed: str, keys: list[str], higher: bool = True) -> DataFrame:
+    """(keys, observed, n, p_value) of null(keys, x, observed): the share of draws at least as good, the observed one counted in."""
+    hit = (col("x") >= col(observed)) if higher else (col("x") <= col(observed))
+    live = null.where(col("x").isNotNull() & col(observed).isNotNull())
+    return live.groupBy(*keys, observed).agg(F.count("*").alias("n"), ((F.count_if(hit) + 1) / (F.count("*") + 1)).alias("p_value"))
+
+
+def block_permute(rows: DataFrame, block: int = 20, seed: int = 1, values: tuple[str, ...] = ("y_ret",), sims: int = 1) -> DataFrame:
+    """(symbol, sim, __rn, values...): the values of each symbol in blocks of rows dealt anew, `sims` times.
+
+    Order within a block stays, so short memory stays. A block is a quarter of the rows at most. Every
+    draw is a dimension of one window, not a loop.
+    """
+    by = Window.partitionBy("symbol")
+    placed = rows.select("symbol", "date", *values).withColumns({"__rn": F.row_number().over(w.series()) - 1, "__n": F.count("*").over(by)})
+    size = F.greatest(F.lit(1), F.least(F.lit(block), F.when(col("__n") >= 8, F.floor(col("__n") / 4)).otherwise(F.lit(1))))
+    placed = placed.withColumn("__b", F.floor(col("__rn") / size)).withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
+    key = F.xxhash64("symbol", "__b", "sim", F.lit(seed))
+    to = F.row_number().over(Window.partitionBy("symbol", "sim").orderBy(key, "__b", "__rn")) - 1
+    return placed.select("symbol", "sim", to.alias("__rn"), *values)
 
 
 def har(bars: DataFrame, h: int = 1) -> DataFrame:
@@ -160,32 +209,45 @@ def forecast_scores(rows: DataFrame, y: str, p: str, benchmark: str, keys: list[
     )
 
 
-def diebold_mariano(losses: DataFrame) -> DataFrame:
+def diebold_mariano(losses: DataFrame, least: int = 30) -> DataFrame:
     """(symbol, date, d) loss differences -> n, mean and the statistic with Bartlett-weighted autocovariances.
 
-    The number of lags is floor(1.5 n^(1/3)); lags are a dimension of one aggregate over each symbol's ordered differences.
+    The number of lags is floor(1.5 n^(1/3)), one at least; lags are a dimension of one aggregate over each symbol's
+    ordered differences. Below `least` rows the statistic is null. with_normal_p() adds the p-value.
     """
     by = Window.partitionBy("symbol")
     rows = losses.where(col("d").isNotNull()).withColumns({"__n": F.count("*").over(by), "__c": col("d") - F.avg("d").over(by)})
-    sizes = rows.groupBy("symbol").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    most = int(1.5 * sizes ** (1 / 3) + 1e-9)
+    sizes = losses.where(col("d").isNotNull()).groupBy("symbol").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    most = max(1, int(1.5 * sizes ** (1 / 3) + 1e-9))
     terms = {f"__g{k}": col("__c") * (w.lag(col("__c"), k) if k else col("__c")) for k in range(most + 1)}
     lagged = rows.withColumns(terms)
-    lags = F.floor(1.5 * F.pow(F.max("__n"), F.lit(1 / 3)) + 1e-9)
+    lags = F.greatest(F.lit(1), F.floor(1.5 * F.pow(F.max("__n"), F.lit(1 / 3)) + 1e-9))
     n = F.max("__n")
     total = F.sum("__g0") / n
     for k in range(1, most + 1):
         total = total + F.when(lags >= k, 2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(f"__g{k}"), F.lit(0.0)) / n).otherwise(0.0)
     made = lagged.groupBy("symbol").agg(n.alias("n"), F.avg("d").alias("mean_d"), total.alias("long_variance"))
-    return made.withColumn("dm", F.when(col("long_variance") > 0, col("mean_d") / F.sqrt(col("long_variance") / col("n"))))
+    return made.withColumn("dm", F.when(col("n") >= least, col("mean_d") / F.sqrt(F.greatest(col("long_variance"), F.lit(1e-12)) / col("n"))))
+
+
+def with_normal_p(rows: DataFrame, z: str, p: str) -> DataFrame:
+    """rows plus the two-sided p-value of a standard normal statistic; null stays null."""
+
+    def run(batches):
+        for b in batches:
+            yield b.assign(**{p: [None if x is None or x != x else math.erfc(abs(x) / math.sqrt(2)) for x in b[z]]})
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema], f"`{p}` double"])
+    return rows.mapInPandas(run, schema)
 
 
 def drift(rows: DataFrame, names: list[str], cut: float = 0.8) -> DataFrame:
     """(feature, share_outside, share_null): later rows of each symbol against the range of its first share."""
     placed = rows.withColumns({"__rn": F.row_number().over(w.series()), "__n": F.count("*").over(Window.partitionBy("symbol"))})
     long = placed.withColumn("__early", col("__rn") <= F.floor(cut * col("__n"))).unpivot(["symbol", "date", "__early"], names, "feature", "value")
-    span = long.where("__early").groupBy("symbol", "feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    late = long.where("not __early").join(F.broadcast(span), ["symbol", "feature"])
+    early = F.when(col("__early"), col("value"))
+    by = Window.partitionBy("symbol", "feature")
+    late = long.withColumns({"lo": F.min(early).over(by), "hi": F.max(early).over(by)}).where("not __early")
     outside = F.when(col("value").isNotNull(), (~col("value").between(col("lo"), col("hi"))).cast("double"))
     return late.groupBy("feature").agg(F.avg(outside).alias("share_outside"), F.avg(col("value").isNull().cast("double")).alias("share_null"))
 
@@ -204,15 +266,16 @@ def yang_zhang(bars: DataFrame, n: int = 21) -> DataFrame:
 
 
 def permutation_test(rows: DataFrame, sims: int = 60, block: int = 20, seed: int = 1) -> DataFrame:
-    """(symbol, observed, p_value): mean of position times y_ret against block-permuted labels; sims are a dimension."""
-    live = rows.where("y_ret IS NOT NULL AND position IS NOT NULL").withColumn("__rn", F.row_number().over(w.series()) - 1).withColumn("__b", F.floor(col("__rn") / block))
-    sim = rows.sparkSession.range(sims).select(col("id").alias("sim"))
-    # A null draw turns each block of labels over by a coin of (symbol, block, sim): memory inside blocks stays.
-    coin = F.when(F.pmod(F.xxhash64("symbol", "__b", "sim", F.lit(seed)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    blocks = live.groupBy("symbol", "__b").agg(F.sum(col("position") * col("y_ret")).alias("s"), F.count("*").alias("n"))
-    null = blocks.crossJoin(F.broadcast(sim)).groupBy("symbol", "sim").agg((F.sum(col("s") * coin) / F.sum("n")).alias("x"))
-    observed = blocks.groupBy("symbol").agg((F.sum("s") / F.sum("n")).alias("observed"))
-    return null.join(observed, "symbol").groupBy("symbol", "observed").agg(((F.count_if(col("x") >= col("observed")) + 1) / (F.count("*") + 1)).alias("p_value"))
+    """(symbol, observed, n, p_value): mean of position times y_ret against labels permuted in blocks.
+
+    For rules that are not fitted; models.permutation_test refits. Positions stay in place, returns move.
+    """
+    live = rows.where("y_ret IS NOT NULL AND position IS NOT NULL")
+    here = live.select("symbol", "position", "y_ret", (F.row_number().over(w.series()) - 1).alias("__rn"))
+    moved = block_permute(live, block, seed, ("y_ret",), sims).withColumnRenamed("y_ret", "__moved")
+    null = moved.join(here.select("symbol", "__rn", "position"), ["symbol", "__rn"]).groupBy("symbol", "sim").agg(F.avg(col("position") * col("__moved")).alias("x"))
+    observed = here.groupBy("symbol").agg(F.avg(col("position") * col("y_ret")).alias("observed"))
+    return permutation_p(null.join(observed, "symbol"), "observed", ["symbol"])
 
 
 def footprint(rows: DataFrame, names: list[str], cuts: int = 11) -> DataFrame:

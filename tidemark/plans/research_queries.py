@@ -71,17 +71,24 @@ o AS (SELECT * FROM n WHERE (rn - 1) % greatest(1, n // 260) = 0 OR rn = n)"""
 register("curve_thinned", q.select(DAY, ["equity"], (THIN, "o")))(lambda s, d: shown(backtest.thinned(trades(s, d)), DAY, ["equity"]))
 
 
-@register("position_sizing", f"""WITH s AS (SELECT doc_id AS id, (doc_id % 101) / 101.0 AS p FROM labels),
-z AS (SELECT *, CASE WHEN abs((p - 0.5) / 0.5 * 1.5) >= 0.02 THEN greatest(-1.0, least(1.0, (p - 0.5) / 0.5 * 1.5)) ELSE 0.0 END AS continuous,
-  CASE WHEN p >= 0.55 THEN 1.0 WHEN p <= 1 - 0.55 THEN -1.0 ELSE 0.0 END AS sided,
-  CASE WHEN p >= 0.55 THEN least((p - 0.55) / (1 - 0.55), 1.0) WHEN p <= 1 - 0.55 THEN -least((1 - p - 0.55) / (1 - 0.55), 1.0) ELSE 0.0 END AS confidence FROM s)
-SELECT id, round(continuous, 6) + 0.0 AS continuous, round(CAST(sided AS DOUBLE), 6) + 0.0 AS sided, round(confidence, 6) + 0.0 AS confidence FROM z""")
+SIDES = "CASE WHEN p >= 0.55 THEN {up} WHEN p <= 1 - 0.55 THEN {down} ELSE 0.0 END"
+SIZES = ["continuous", "capped", "long_only", "sided", "confidence", "confidence_capped", "kelly"]
+
+
+@register("position_sizing", f"""WITH s AS (SELECT doc_id AS id, (doc_id % 101) / 101.0 AS p, (doc_id % 7 - 3) / 1000.0 AS er, (doc_id % 5) / 100.0 AS sg FROM labels),
+r AS (SELECT *, (p - 0.5) / 0.5 * 1.5 AS c, {SIDES.format(up="(p - 0.55) / (1 - 0.55)", down="-((1 - 0.55) - p) / (1 - 0.55)")} AS f, {SIDES.format(up="1.0", down="-1.0")} AS b,
+  CASE WHEN p >= 0.55 OR p <= 1 - 0.55 THEN er / greatest(sg * sg, 1e-8) * 0.25 ELSE 0.0 END AS k FROM s),
+z AS (SELECT id, CASE WHEN abs({q.clip("c", -1.0, 1.0)}) >= 0.02 THEN {q.clip("c", -1.0, 1.0)} ELSE 0.0 END AS continuous, CASE WHEN abs({q.clip("c", -0.35, 0.35)}) >= 0.02 THEN {q.clip("c", -0.35, 0.35)} ELSE 0.0 END AS capped,
+  CASE WHEN abs({q.clip("c", 0.0, 1.0)}) >= 0.02 THEN {q.clip("c", 0.0, 1.0)} ELSE 0.0 END AS long_only, b AS sided, {q.clip("f", -1.0, 1.0)} AS confidence, {q.clip("f", -0.35, 0.35)} AS confidence_capped, {q.clip("k", -0.5, 0.5)} AS kelly FROM r)
+SELECT id, {", ".join(f"round(CAST({x} AS DOUBLE), 6) + 0.0 AS {x}" for x in SIZES)} FROM z""")
 def position_sizing(spark, sf_dir):
-    p = (col("doc_id") % 101) / F.lit(101.0)
-    rows = src.table(spark, sf_dir, "labels").select(
-        col("doc_id").alias("id"), backtest.position(p, gain=1.5).alias("continuous"), backtest.position(p, "binary").alias("sided"), backtest.position(p, "confidence").alias("confidence")
-    )
-    return shown(rows, ["id"], ["continuous", "sided", "confidence"])
+    p, size = (col("doc_id") % 101) / F.lit(101.0), backtest.position
+    expected, sigma = (col("doc_id") % 7 - 3) / F.lit(1000.0), (col("doc_id") % 5) / F.lit(100.0)
+    made = {
+        "continuous": size(p, gain=1.5), "capped": size(p, gain=1.5, cap=0.35), "long_only": size(p, gain=1.5, short=False), "sided": size(p, "binary"), "confidence": size(p, "confidence"),
+        "confidence_capped": size(p, "confidence", cap=0.35), "kelly": size(p, "kelly", leverage=0.5, expected=expected, sigma=sigma),
+    }
+    return shown(src.table(spark, sf_dir, "labels").select(col("doc_id").alias("id"), *[c.alias(n) for n, c in made.items()]), ["id"], SIZES)
 
 
 def scores(spark, sf_dir):
@@ -90,21 +97,29 @@ def scores(spark, sf_dir):
 
 
 SCORES = "WITH scores AS (SELECT quality AS y, (doc_id % 101) / 101.0 AS p FROM labels)"
-register("calibration_bins", f"""{SCORES} SELECT CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) + 0.0 AS mean_p, round(avg(y), 6) + 0.0 AS rate FROM scores GROUP BY 1""")(
+register("calibration_bins", f"""{SCORES} SELECT CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) + 0.0 AS mean_p, round(avg(y), 6) + 0.0 AS rate FROM scores GROUP BY 1 HAVING count(*) >= 5""")(
     lambda s, d: shown(trust.calibration(scores(s, d)), ["bin", "n"], ["mean_p", "rate"])
 )
 CAL = ["brier", "log_loss", "base_rate", "skill", "ece"]
-register("calibration_summary", f"""{SCORES}, c AS (SELECT *, greatest(1e-6, least(1 - 1e-6, p)) AS pc FROM scores),
-b AS (SELECT count(*) AS n, avg(p) AS mp, avg(y) AS rate FROM scores GROUP BY CAST(least(floor(p * 10), 9) AS INTEGER)),
-e AS (SELECT sum(n * abs(mp - rate)) / sum(n) AS ece FROM b),
-a AS (SELECT count(*) AS n, avg(pow(p - y, 2)) AS brier, avg(-(y * ln(pc) + (1 - y) * ln(1 - pc))) AS log_loss, avg(y) AS base_rate FROM c)
-SELECT n, {", ".join(f"round({x}, 6) + 0.0 AS {x.split()[-1]}" for x in ("brier", "log_loss", "base_rate"))}, round(1 - brier / (base_rate * (1 - base_rate)), 6) + 0.0 AS skill, round(ece, 6) + 0.0 AS ece FROM a, e""")(
+register("calibration_summary", f"""{SCORES}, c AS (SELECT y, greatest(1e-6, least(1 - 1e-6, p)) AS p FROM scores),
+b AS (SELECT count(*) AS n, avg(p) AS mp, avg(y) AS rate FROM c GROUP BY CAST(least(floor(p * 10), 9) AS INTEGER) HAVING count(*) >= 5),
+e AS (SELECT sum(n * abs(mp - rate)) AS gap FROM b),
+a AS (SELECT count(*) AS n, avg(pow(p - y, 2)) AS brier, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS log_loss, avg(y) AS base_rate FROM c)
+SELECT n, {", ".join(f"round({x}, 6) + 0.0 AS {x}" for x in ("brier", "log_loss", "base_rate"))}, round(1 - brier / (base_rate * (1 - base_rate)), 6) + 0.0 AS skill, round(gap / n, 6) + 0.0 AS ece FROM a, e""")(
     lambda s, d: shown(trust.calibration_summary(scores(s, d)), ["n"], CAL)
 )
 register("auc_exact", f"""{SCORES}, p AS (SELECT p FROM scores WHERE y = 1), n AS (SELECT p FROM scores WHERE y = 0)
 SELECT (SELECT count(*) FROM p) AS n_pos, (SELECT count(*) FROM n) AS n_neg, round(avg(CASE WHEN p.p > n.p THEN 1.0 WHEN p.p = n.p THEN 0.5 ELSE 0.0 END), 6) + 0.0 AS auc FROM p, n""")(
     lambda s, d: shown(trust.auc(scores(s, d)), ["n_pos", "n_neg"], ["auc"])
 )
+BY_LANG = "WITH g AS (SELECT d.lang, l.quality AS y, (l.doc_id % 101) / 101.0 AS p FROM labels l JOIN documents d USING (doc_id))"
+register("auc_by_group", f"""{BY_LANG}, a AS (SELECT x.lang, count(*) AS k, avg(CASE WHEN x.p > z.p THEN 1.0 WHEN x.p = z.p THEN 0.5 ELSE 0.0 END) AS auc FROM g x JOIN g z ON x.lang = z.lang AND x.y = 1 AND z.y = 0 GROUP BY 1),
+n AS (SELECT lang, count_if(y = 1)::BIGINT AS n_pos, count_if(y = 0)::BIGINT AS n_neg FROM g GROUP BY 1) SELECT lang, n_pos, n_neg, round(auc, 6) + 0.0 AS auc FROM n LEFT JOIN a USING (lang)""")(
+    lambda s, d: shown(
+        trust.auc(src.table(s, d, "labels").join(src.table(s, d, "documents").select("doc_id", "lang"), "doc_id").select("lang", col("quality").alias("y"), ((col("doc_id") % 101) / F.lit(101.0)).alias("p")), ["lang"]),
+        ["lang", "n_pos", "n_neg"], ["auc"],
+    )
+)
 STABLE = f"""{YEARS}, f AS (SELECT count(sharpe) AS n, avg(sharpe) AS mean, stddev_samp(sharpe) AS sd, avg(CAST(sharpe > 0 AS DOUBLE)) AS share_positive, min(sharpe) AS worst, max(sharpe) AS best,
   avg(sharpe) / (stddev_samp(sharpe) / sqrt(count(sharpe))) AS t_stat FROM y)"""
 STAB = ["mean", "sd", "share_positive", "worst", "best", "t_stat"]
@@ -129,15 +144,23 @@ register("pbo_cscv", q.select(["symbol", "n_combos"], PBO, (PERF, "o"), 5))(lamb
 
 @register("deflated_sharpe")
 def deflated_sharpe(spark, sf_dir):
-    """Probability by symbol that its rule's Sharpe beats the best of as many chance trials as rules."""
+    """Probability by symbol that its best rule's Sharpe beats the best of as many chance trials as there are rules."""
     perf = trust.sma_rules(src.daily(spark, sf_dir))
-    each = perf.groupBy("symbol", "config").agg((F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0.0))).alias("sr"), F.count("*").alias("n"))
-    rows = each.groupBy("symbol").agg(F.max("sr").alias("best"), F.var_samp("sr").alias("var"), F.count("*").alias("trials"), F.max("n").alias("n")).collect()
-    made = [(r["symbol"], r["trials"], r["best"], trust.deflated_sharpe(r["best"], r["n"], r["trials"], r["var"])) for r in rows]
-    return spark.createDataFrame(made, "symbol string, trials long, best_sharpe double, deflated double")
+    sd = F.stddev_samp("ret")
+    each = perf.groupBy("symbol", "config").agg((F.avg("ret") / F.nullif(sd, F.lit(0.0))).alias("sr"), F.count("*").alias("n"), F.skewness("ret").alias("skew"), (F.kurtosis("ret") + 3).alias("kurt"))
+    best = F.max(F.struct("sr", "n", "skew", "kurt")).alias("best")
+    rows = each.groupBy("symbol").agg(best, F.var_samp("sr").alias("variance"), F.count("*").alias("trials"))
+    return trust.deflated(rows.select("symbol", "best.*", "variance", "trials"))
+
+
+@register("block_permutation")
+def block_permutation(spark, sf_dir):
+    """The next-day returns of each symbol, dealt anew in blocks, beside those in order."""
+    rows = labels.build(src.daily(spark, sf_dir))
+    moved = trust.block_permute(rows).withColumnRenamed("y_ret", "y_permuted")
+    return rows.select(*DAY, "y_ret", (F.row_number().over(w.series()) - 1).alias("__rn")).join(moved, ["symbol", "__rn"]).select(*DAY, "y_ret", "y_permuted")
 
 
-register("block_permutation")(lambda s, d: trust.block_permute(labels.build(src.daily(s, d))).select(*DAY, "y_ret", "y_permuted"))
 HAR = f"""{q.staged({"v": f"pow(ln({q.ratio('high', 'low')}), 2) / (4 * ln(2))"}, {"rv": "sqrt(greatest(v, 1e-8))"}, {"log_rv": "ln(rv)"},
     {"har_d": "log_rv", "har_w": q.rolled("avg", "log_rv", 5, 3), "har_m": q.rolled("avg", "log_rv", 22, 10), "log_rv_next": f"lead(log_rv) OVER {q.SERIES}"})[0]}"""
 HARS = ["har_d", "har_w", "har_m", "log_rv_next"]
@@ -158,9 +181,10 @@ register("vol_estimators", q.select(DAY, VOLS, q.staged({"rs": RS, "gap": f"pow(
 
 @register("diebold_mariano", q.select(["symbol", "n"], ["mean_d", "dm"], (f"""{HAR}, z AS (SELECT symbol, date, pow(log_rv_next - har_w, 2) - pow(log_rv_next - har_d, 2) AS d FROM s3),
 k AS (SELECT * , count(*) OVER (PARTITION BY symbol) AS n, d - avg(d) OVER (PARTITION BY symbol) AS c, row_number() OVER {q.SERIES} AS rn FROM z WHERE d IS NOT NULL),
-g AS (SELECT a.symbol, a.n, l.i AS lag, sum(a.c * b.c) / a.n AS g FROM k a JOIN range(60) l(i) ON l.i <= floor(1.5 * pow(a.n, 1 / 3.0) + 1e-9) JOIN k b ON b.symbol = a.symbol AND b.rn = a.rn - l.i GROUP BY 1, 2, 3),
-v AS (SELECT symbol, n, sum(CASE WHEN lag = 0 THEN g ELSE 2 * (1 - lag / (floor(1.5 * pow(n, 1 / 3.0) + 1e-9) + 1)) * g END) AS lv FROM g GROUP BY 1, 2),
-m AS (SELECT symbol, avg(d) AS mean_d FROM k GROUP BY 1), o AS (SELECT v.symbol, n, mean_d, mean_d / sqrt(lv / n) AS dm FROM v JOIN m USING (symbol))""", "o"), 5))
+lg AS (SELECT *, greatest(1, floor(1.5 * pow(n, 1 / 3.0) + 1e-9)) AS most FROM k),
+g AS (SELECT a.symbol, a.n, l.i AS lag, sum(a.c * b.c) / a.n AS g FROM lg a JOIN range(60) l(i) ON l.i <= a.most JOIN lg b ON b.symbol = a.symbol AND b.rn = a.rn - l.i GROUP BY 1, 2, 3),
+v AS (SELECT symbol, n, sum(CASE WHEN lag = 0 THEN g ELSE 2 * (1 - lag / (greatest(1, floor(1.5 * pow(n, 1 / 3.0) + 1e-9)) + 1)) * g END) AS lv FROM g GROUP BY 1, 2),
+m AS (SELECT symbol, avg(d) AS mean_d FROM k GROUP BY 1), o AS (SELECT v.symbol, n, mean_d, CASE WHEN n >= 30 THEN mean_d / sqrt(greatest(lv, 1e-12) / n) END AS dm FROM v JOIN m USING (symbol))""", "o"), 5))
 def diebold_mariano(spark, sf_dir):
     rows = trust.har(src.daily(spark, sf_dir))
     loss = F.pow(col("log_rv_next") - col("har_w"), 2) - F.pow(col("log_rv_next") - col("har_d"), 2)
@@ -179,17 +203,35 @@ def leakage_guard(spark, sf_dir):
     return shown(features.leak_check(rows, [*MOM, "planted"]), ["feature", "n", "leak"], ["corr"])
 
 
-register("feature_quality")(lambda s, d: features.feature_quality(ind.momentum(src.daily(s, d)), MOM))
+FIRST = f"""{q.staged({f"roc_{n}": q.change("close", n) for n in (1, 5, 21)}, {"up": "coalesce(CAST(roc_1 > 0 AS DOUBLE), 0.0)"}, {"up_days_21": q.mean("up", 21)})[0]},
+pl AS (SELECT *, row_number() OVER {q.SERIES} AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM s2)"""
+register("feature_quality", f"""{FIRST}, u AS (SELECT feature, value FROM (SELECT * FROM pl WHERE rn <= greatest(250, floor(0.6 * n))) UNPIVOT INCLUDE NULLS (value FOR feature IN (roc_1, roc_5, roc_21, up_days_21)))
+SELECT feature, round(avg(CAST(value IS NOT NULL AS DOUBLE)), 6) + 0.0 AS coverage, round(var_pop(value), 6) + 0.0 AS variance FROM u GROUP BY 1""")(
+    lambda s, d: features.feature_quality(ind.momentum(src.daily(s, d)), MOM).select("feature", (F.round("coverage", 6) + F.lit(0.0)).alias("coverage"), (F.round("variance", 6) + F.lit(0.0)).alias("variance"))
+)
+
 
+PAIRWISE = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS corr FROM s2" for k, a in enumerate(MOM) for b in MOM[k + 1 :])
+KEPT = f"""sp(feature, sd) AS ({" UNION ALL ".join(f"SELECT '{m}', stddev_pop({m}) FROM s2" for m in MOM)}), rk AS (SELECT *, row_number() OVER (ORDER BY sd DESC NULLS LAST, feature) AS r FROM sp),
+walk(r, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) UNION ALL SELECT k.r, CASE WHEN EXISTS (SELECT 1 FROM pw WHERE abs(pw.corr) >= 0.5 AND (pw.a = k.feature AND list_contains(w.kept, pw.b) OR pw.b = k.feature AND list_contains(w.kept, pw.a)))
+  THEN w.kept ELSE list_append(w.kept, k.feature) END FROM walk w JOIN rk k ON k.r = w.r + 1),
+fin AS (SELECT kept FROM walk ORDER BY r DESC LIMIT 1)"""
 
-@register("corr_prune")
+
+@register("corr_prune", f"""{FIRST.replace("WITH ", "WITH RECURSIVE ", 1)}, pw AS ({PAIRWISE}), {KEPT}
+SELECT a, b, round(corr, 6) + 0.0 AS corr, list_contains(kept, a) AS a_kept, list_contains(kept, b) AS b_kept FROM pw, fin""")
 def corr_prune(spark, sf_dir):
     rows = ind.momentum(src.daily(spark, sf_dir))
-    kept = features.prune_correlated(rows, MOM)
-    return features.corr_pairs(rows, MOM).withColumns({"a_kept": col("a").isin(kept), "b_kept": col("b").isin(kept)})
+    kept = features.prune_correlated(rows, MOM, 0.5)
+    made = features.corr_pairs(rows, MOM).withColumns({"a_kept": col("a").isin(kept), "b_kept": col("b").isin(kept)})
+    return shown(made, ["a", "b", "a_kept", "b_kept"], ["corr"])
 
 
-register("drift")(lambda s, d: trust.drift(ind.momentum(src.daily(s, d)), MOM))
+register("drift", f"""{FIRST}, u AS (SELECT symbol, rn <= floor(0.8 * n) AS early, feature, value FROM pl UNPIVOT INCLUDE NULLS (value FOR feature IN (roc_1, roc_5, roc_21, up_days_21))),
+sp AS (SELECT symbol, feature, min(value) AS lo, max(value) AS hi FROM u WHERE early GROUP BY 1, 2), l AS (SELECT u.*, lo, hi FROM u LEFT JOIN sp USING (symbol, feature) WHERE NOT early)
+SELECT feature, round(avg(CASE WHEN value IS NOT NULL THEN CAST(NOT (value BETWEEN lo AND hi) AS DOUBLE) END), 6) + 0.0 AS share_outside, round(avg(CAST(value IS NULL AS DOUBLE)), 6) + 0.0 AS share_null FROM l GROUP BY 1""")(
+    lambda s, d: shown(trust.drift(ind.momentum(src.daily(s, d)), MOM), ["feature"], ["share_outside", "share_null"])
+)
 
 
 @register("splits_walkforward", f"""WITH {q.BARS}, n AS (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol), k AS (SELECT *, (n - 500) // 8 AS size, CAST(f AS INTEGER) AS fold FROM n, range(8) r(f)),
@@ -272,12 +314,30 @@ register("cont_pnl", q.select(DAY, ["net"], (CP, "t1")))(
 )
 
 
-@register("har_coefficients")
+def _gram():
+    terms = {"1": "1.0", "d": "har_d", "w": "har_w", "m": "har_m"}
+    sums = ", ".join(f"sum({a} * {b}) AS g_{i}{j}" for i, a in terms.items() for j, b in terms.items()) + ", " + ", ".join(f"sum({a} * log_rv_next) AS b_{i}" for i, a in terms.items())
+    return f"SELECT symbol, {sums} FROM s3 WHERE har_d IS NOT NULL AND har_w IS NOT NULL AND har_m IS NOT NULL AND log_rv_next IS NOT NULL GROUP BY symbol"
+
+
+def _eliminated():
+    """Gauss-Jordan elimination of the four normal equations, one step a table."""
+    n, steps = "1dwm", []
+    last = "n0"
+    for k, p in enumerate(n):
+        g = lambda i, j: f"g_{i}{j}"
+        row = [f"{g(p, j)} / {g(p, p)} AS g_{p}{j}" for j in n] + [f"b_{p} / {g(p, p)} AS b_{p}"]
+        rest = [f"{g(i, j)} - {g(i, p)} * {g(p, j)} / {g(p, p)} AS g_{i}{j}" for i in n if i != p for j in n] + [f"b_{i} - {g(i, p)} * b_{p} / {g(p, p)} AS b_{i}" for i in n if i != p]
+        steps.append(f"n{k + 1} AS (SELECT symbol, {', '.join(row + rest)} FROM {last})")
+        last = f"n{k + 1}"
+    return f"n0 AS ({_gram()}), {', '.join(steps)}"
+
+
+@register("har_coefficients", f"""{HAR}, {_eliminated()} SELECT symbol, term, round(value, 4) + 0.0 AS value FROM (SELECT symbol, b_1 AS const, b_d AS day, b_w AS week, b_m AS month FROM n4) UNPIVOT (value FOR term IN (const, day, week, month))""")
 def har_coefficients(spark, sf_dir):
     """(symbol, term, value): the HAR regression of each symbol."""
     found = models.har_ols(trust.har(src.daily(spark, sf_dir)))
-    rows = [(s, t, v) for s, values in sorted(found.items()) for t, v in zip(("const", "day", "week", "month"), values)]
-    return spark.createDataFrame(rows, "symbol string, term string, value double")
+    return shown(found.unpivot(["symbol"], ["const", "day", "week", "month"], "term", "value"), ["symbol", "term"], ["value"], 4)
 
 
 @register("walk_forward_model")
