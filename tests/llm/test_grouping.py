@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -91,11 +92,44 @@ def test_components(spark):
     assert components.connected(df.limit(0)).count() == 0
 
 
-def test_keep_one(docs, odd):
+def test_long_components_and_hubs(spark):
+    hub = [(0, k) for k in range(1, 600)] + [(1000 + k, 2000) for k in range(400)] + [(2000, 5000)] + [(9000 + k, 9001 + k) for k in range(60)]
+    df = spark.createDataFrame(hub, "a long, b long")
+    got = {r["node"]: r["root"] for r in components.connected(df).collect()}
+    nodes = {x for e in hub for x in e}
+    assert got == roots(sorted(nodes), hub)
+    with pytest.raises(RuntimeError):
+        components.connected(df, rounds=1)
+
+
+def test_blocks_lose_no_link(spark):
+    assert [simhash.blocks_for(n, 4) for n in (0, 10**6, 10**8, 10**11, 10**14)] == [5, 5, 6, 7, 8]
+    rng = random.Random(9)
+    fps = {sum(1 << k for k in rng.sample(range(63), 3)) for _ in range(100)} | {rng.getrandbits(62) for _ in range(30)}
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    want = roots(sorted(fps), [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4])
+    for blocks in (5, 6, 8):
+        got = {r["node"]: r["root"] for r in components.connected(simhash.near_pairs(df, 4, blocks)).collect()}
+        assert {f: got.get(f, f) for f in fps} == want
+
+
+def test_keep_one(spark, docs, odd):
     kept = simhash.keep_one(docs)
     want = {r["component_id"] for r in simhash.groups(docs).collect()}
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
-    assert simhash.keep_one(odd).where("doc_id = 3").count() == 1
+    base = " ".join(f"w{k}" for k in range(60))
+    clash = [(5, base, "head"), (5, "quite another text of few words", "alone"), (8, base.upper(), "copy"), (None, base, "copy"), (None, "only here, without an id at all", "null"), (9, None, "empty"), (9, "", "empty")]
+    for df in (odd, spark.createDataFrame(clash, SCHEMA)):
+        rows = df.collect()
+        by = collections.defaultdict(list)
+        fps = sorted({finger(r["text"]) for r in rows})
+        near = roots(fps, [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 4])
+        for r in rows:
+            by[near[finger(r["text"])]].append((r["doc_id"] is None, r["doc_id"] or 0))
+        got = [(r["doc_id"] is None, r["doc_id"] or 0) for r in simhash.keep_one(df).collect()]
+        assert sorted(got) == sorted(min(v) for v in by.values())
+    assert simhash.keep_one(odd.limit(0)).count() == 0
+    assert {r["fp"] for r in simhash.keep_one(spark.createDataFrame(clash, SCHEMA)).collect()} == {"head", "alone", "null", "empty"}
 
 
 def removed(rows, length):
@@ -189,6 +223,50 @@ def test_decontamination_of_common_words():
     assert {(n, i) for n, (i, _) in enumerate(items)} <= got
 
 
+def test_decontamination_of_repetitive_text():
+    """Long repetitive texts end within seconds, and their distances are right."""
+    items = cgk_decontam.Items([(1, "aa " * 400), (2, "aa bb " * 100), (3, "one two three four five six seven"), (4, "aa " * 7)], cgk_decontam.Plan())
+    began = time.time()
+    texts = ["aa " * 20_000, "aa bb " * 100_000 + "one two three four five six seven", "aa cc " * 3000, "aa aa aa aa aa xx aa", "aa bb " * 60]
+    got = {(n, i): d for n, i, d, _ in cgk_decontam.matches(items, texts, cgk_decontam.LEAST)}
+    assert time.time() - began < 30
+    hashed = lambda t: cgk_decontam.word_hashes(t.encode())[0]
+    for n, text in enumerate(texts):
+        if len(text) < 40_000:
+            for k, i in enumerate(items.ids):
+                d = cgk_decontam.best_stretch(items.words[k], hashed(text))[0]
+                assert got.get((n, i)) == (d if d <= items.slack[k] else None), (n, i)
+    assert got[0, 1] == 0 and got[1, 2] == 0 and got[1, 3] == 0 and (2, 1) not in got and got[3, 4] == 1
+
+
+@pytest.mark.parametrize("kind", ["mixed", "substitutions", "insertions and deletions"])
+def test_decontamination_recall_by_kind_of_edit(docs, kind):
+    """Items of the benchmark table, each with exactly the allowed edits, in noise of the documents' words."""
+    bench = [(r["item_id"], r["text"]) for r in docs.sparkSession.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rng, noise = random.Random(kind), [w for r in docs.limit(20).collect() for w in r["text"].split()]
+    texts, want = [], []
+    for k in range(150):
+        i, text = rng.choice(bench)
+        words = text.split()
+        for j in sorted(rng.sample(range(len(words)), int(0.2 * len(words))), reverse=True):
+            change = {"mixed": "sid", "substitutions": "s", "insertions and deletions": "id"}[kind]
+            words[j : j + 1] = {"s": ["yyy"], "i": ["zzz", words[j]], "d": []}[rng.choice(change)]
+        texts.append(" ".join(rng.choices(noise, k=40) + words + rng.choices(noise, k=40)))
+        want.append((k, i))
+    got = {(n, i) for n, i, _, _ in cgk_decontam.matches(cgk_decontam.Items(bench, cgk_decontam.Plan()), texts, cgk_decontam.LEAST)}
+    assert set(want) <= got
+
+
+def test_drop_contaminated_by_row(spark):
+    passage = " ".join(f"b{j}" for j in range(30))
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    rows = [(1, passage, "hit"), (1, "clean text", "clean"), (None, passage + " more", "hit"), (None, None, "clean"), (2, "", "clean"), (2, "", "clean")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, distance string")
+    got = cgk_decontam.drop_contaminated(df, bench)
+    assert got.columns == df.columns and [r["distance"] for r in got.collect()] == ["clean"] * 4
+    assert cgk_decontam.drop_contaminated(df.limit(0), bench).count() == 0 and cgk_decontam.drop_contaminated(df, bench.limit(0)).count() == 6
+
+
 def test_decontamination_odd(spark, odd):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (4, " ".join(f"W{k}" for k in range(60)))], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in cgk_decontam.contaminated(odd, bench).collect()}

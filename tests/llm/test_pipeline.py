@@ -114,3 +114,34 @@ def test_run(spark, want):
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL_PATH)
     got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == {k: library.encode(t) for k, t in want[-1].items()}
+
+
+ODD = [
+    (1, None, "en", "a", 0), (2, "", "en", "a", 0), (None, "\t\n", "en", None, 2), (3, "w " * 30_000, None, "b", 60_000),
+    *[(k, " ".join(f"word{j} of text{k % 3}." for j in range(40)), "en", "c", 1) for k in (4, 4, 7, 7, 10)],
+    (5, " ".join(f"other{j} words here." for j in range(40)) + " password=abcdefgh1", "en", "d", 1), (5, " ".join(f"clash{j} of ids." for j in range(50)), "en", "d", 1),
+    (None, " ".join(f"without{j} an id." for j in range(50)), "en", "e", 1),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_odd_tables(spark, tmp_path):
+    """Every stage on nulls, empty and long texts, repeated rows, shared and missing ids, and clashing columns; then on an empty table."""
+    extra = ["q", "rid", "__rid", "fp", "key", "blob", "spans", "path", "distance", "kept", "hot", "__salt"]
+    odd = spark.createDataFrame(ODD, SCHEMA)
+    for name in extra:
+        odd = odd.withColumn(name, odd["source"])
+    odd.write.parquet(str(tmp_path / "odd"))
+    odd = spark.read.parquet(str(tmp_path / "odd"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns, name
+        rows = out.collect()
+        assert all(r[c] == r["source"] for r in rows for c in extra), name
+        assert stage(spark, odd.limit(0), SF).count() == 0, name
+    kept = corpus_pipeline.near_dedup(spark, odd, SF).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == [(False, 1), (False, 3), (False, 4), (False, 5), (False, 5), (True, 0)]
+    masked = corpus_pipeline.mask_secrets(spark, odd, SF).collect()
+    assert len(masked) == len(ODD) and sum("[SECRET]" in (r["text"] or "") for r in masked) == 1
+    tokens = corpus_pipeline.tokenize(spark, odd, SF).collect()
+    assert len(tokens) == len(ODD) and sum(r["ids"] is None for r in tokens) == 1 and sum(r["ids"] == [] for r in tokens) == 1

@@ -30,11 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from . import common
+
 LEAST = 0.8
 COMMON, RARE = 0.1, 2
 CHUNK_BYTES = 1 << 21
 #: Candidates made at a time; more of them wait, so that a segment of many items has a bound in memory.
 PAIRS = 1 << 19
+#: Places that lie this close are one row; longer rows skip the look at single words; stretches are verified in blocks.
+WIDE, BLOCK = 16, 1 << 15
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -119,12 +123,53 @@ def grams(h: np.ndarray, m: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def _pairs(starts: np.ndarray, lo: np.ndarray, hi: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """(start, *rows[k]) for every k in [lo, hi) of every start."""
-    n = hi - lo
-    ends = np.cumsum(n)
-    k = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(lo, n)
-    return np.column_stack((np.repeat(starts, n), rows[k]))
+def _runs(starts: np.ndarray, group: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, group) of the runs of starts of one group that follow each other within `gap` words."""
+    order = np.lexsort((starts, group))
+    s, g = starts[order], group[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (g[1:] != g[:-1]) | (s[1:] - s[:-1] > gap)
+    at = np.flatnonzero(new)
+    return s[at], s[np.append(at[1:] - 1, len(s) - 1)], g[at]
+
+
+class Places:
+    """Which items a signature stands for: for each (signature, item) the least and the greatest word of it there."""
+
+    def __init__(self, sig: np.ndarray, item: np.ndarray, word: np.ndarray):
+        order = np.lexsort((word, item, sig))
+        sig, item, word = sig[order], item[order], word[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (item[1:] != item[:-1])
+        at = np.flatnonzero(new)
+        last = np.append(at[1:] - 1, len(sig) - 1) if len(at) else at
+        self.item, self.low, self.high = item[at], word[at], word[last]
+        self.keys, self.first = np.unique(sig[at], return_index=True)
+        self.bits = np.zeros(1 << 16, bool)
+        self.bits[(self.keys >> np.uint64(48)).astype(np.int64)] = True
+
+    def rows(self, sig: np.ndarray, starts: np.ndarray, gap: int) -> Iterator[np.ndarray]:
+        """(first place, last place, item, start) rows: where the item would begin; about PAIRS of them at a time.
+
+        Starts of one signature that follow each other, as in repetitive text, are one run, and an item's words of
+        one signature are one range: rows grow with runs times items, not with starts times words.
+        """
+        near = np.flatnonzero(self.bits[(sig >> np.uint64(48)).astype(np.int64)])
+        if not len(near) or not len(self.keys):
+            return
+        at = np.minimum(np.searchsorted(self.keys, sig[near]), len(self.keys) - 1)
+        hit = self.keys[at] == sig[near]
+        if not hit.any():
+            return
+        first, last, key = _runs(starts[near[hit]], at[hit], gap)
+        lo = self.first[key]
+        n = np.append(self.first[1:], len(self.item))[key] - lo
+        part = np.cumsum(n) // PAIRS
+        for k in np.unique(part):
+            some = np.flatnonzero(part == k)
+            ends = np.cumsum(n[some])
+            j = np.arange(int(ends[-1])) - np.repeat(ends - n[some], n[some]) + np.repeat(lo[some], n[some])
+            yield np.column_stack((np.repeat(first[some], n[some]) - self.high[j], np.repeat(last[some], n[some]) - self.low[j], self.item[j], np.repeat(first[some], n[some])))
 
 
 class Items:
@@ -152,7 +197,7 @@ class Items:
         # windows, so a sample is kept only with RARE other words; the further samples make up for it.
         every, use = np.unique(np.concatenate([np.unique(h) for h in self.words] or [np.zeros(0, np.uint64)]), return_counts=True)
         self.common = every[use > max(2, COMMON * len(self.words))]
-        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.tables: list[Places] = []
         if entry:
             joined = np.concatenate(flat)
             rare = ~np.isin(joined, self.common) & (joined != 0)
@@ -160,22 +205,16 @@ class Items:
                 most = np.zeros(len(self.words), np.int64)
                 np.maximum.at(most, self.entry[:, 0], n)
                 kept = np.flatnonzero(n >= np.minimum(RARE, most[self.entry[:, 0]]))
-                order = kept[np.argsort(sig[kept], kind="stable")]
-                bits = np.zeros(1 << 16, bool)
-                bits[(sig[kept] >> np.uint64(48)).astype(np.int64)] = True
-                self.tables.append((sig[order], order, bits))
+                self.tables.append(Places(sig[kept], self.entry[kept, 0], self.entry[kept, 1]))
         # One segment more than the edits an item may hold: one is whole in any match.
-        self.segments: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.segments: dict[int, Places] = {}
         cuts: dict[int, list[tuple[int, int, int]]] = {}
         for i, h in enumerate(self.words):
             edge = np.linspace(0, len(h), int((1 - least) * len(h) + 1e-9) + 2).astype(int).tolist()
             for s, e in zip(edge, edge[1:]):
                 cuts.setdefault(e - s, []).append((int(grams(h[s:e], e - s)[0]), i, s))
         for m, rows in cuts.items():
-            rows.sort()
-            keys, bits = np.array([r[0] for r in rows], np.uint64), np.zeros(1 << 16, bool)
-            bits[(keys >> np.uint64(48)).astype(np.int64)] = True
-            self.segments[m] = keys, np.array([r[1:] for r in rows], np.int64), bits
+            self.segments[m] = Places(np.array([r[0] for r in rows], np.uint64), *(np.array([r[k] for r in rows], np.int64) for k in (1, 2)))
 
         # A stretch within the allowed edits holds all but `slack` of the item's distinct rare words. The
         # table knows (item, word) pairs by a short hash: it may count a word too many, never one too few.
@@ -194,43 +233,32 @@ class Items:
         return (mixed >> self.shift).astype(np.int64)
 
     def plausible(self, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Rows whose stretch holds enough of the item's words."""
-        keep = np.zeros(len(rows), bool)
-        for n in np.unique(self.size[rows[:, 1]]).tolist():
-            own = np.flatnonzero(self.size[rows[:, 1]] == n)
-            slack = int(self.slack[rows[own[0], 1]])
-            span = np.arange(-slack, n + slack)
+        """Rows whose stretch holds enough of the item's words; wide rows, which stand for many places, all stay."""
+        keep = rows[:, 1] - rows[:, 0] > WIDE
+        size = np.where(keep, 0, self.size[rows[:, 2]])
+        for n in np.unique(size[size > 0]).tolist():
+            own = np.flatnonzero(size == n)
+            slack = int(self.slack[rows[own[0], 2]])
+            wide = int((rows[own, 1] - rows[own, 0]).max())
+            span = np.arange(-slack, n + slack + wide)
             for at in range(0, len(own), 4096):
                 part = rows[own[at : at + 4096]]
-                where = np.clip((part[:, 0] - part[:, 2])[:, None] + span, 0, len(h) - 1)
-                held = self.holds[self._slot(part[:, 1].astype(np.uint64)[:, None], h[where])]
-                keep[own[at : at + 4096]] = held.sum(1) >= self.needed[part[:, 1]]
+                where = np.clip(part[:, 0, None] + span, 0, len(h) - 1)
+                held = self.holds[self._slot(part[:, 2].astype(np.uint64)[:, None], h[where])]
+                keep[own[at : at + 4096]] = held.sum(1) >= self.needed[part[:, 2]]
         return rows[keep]
 
-    def candidates(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """(position in h, item, word of the item there) rows."""
-        found = []
+    def candidates(self, h: np.ndarray, starts: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """(text, item, first place, last place) rows: where in h the item would begin; begin: where each text does."""
+        found = [np.zeros((0, 4), np.int64)]
         if self.tables:
             for n, sig, _ in signatures(h, starts, self.plan):
-                keys, order, bits = self.tables[n]
-                near = np.flatnonzero(bits[(sig >> np.uint64(48)).astype(np.int64)])
-                if not len(near):
-                    continue
-                lo, hi = np.searchsorted(keys, sig[near], "left"), np.searchsorted(keys, sig[near], "right")
-                found += self._likely(h, starts[near], lo, hi, self.entry[order])
-        for m, (keys, at, bits) in self.segments.items():
-            h_m = grams(h, m)[starts]
-            near = np.flatnonzero(bits[(h_m >> np.uint64(48)).astype(np.int64)])
-            lo, hi = np.searchsorted(keys, h_m[near], "left"), np.searchsorted(keys, h_m[near], "right")
-            found += self._likely(h, starts[near], lo, hi, at)
-        return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-
-    def _likely(self, h: np.ndarray, starts: np.ndarray, lo: np.ndarray, hi: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
-        """The plausible ones of _pairs, worked out about PAIRS at a time."""
-        part = np.cumsum(hi - lo) // PAIRS
-        for k in np.unique(part[hi > lo]):
-            some = part == k
-            yield self.plausible(h, _pairs(starts[some], lo[some], hi[some], rows))
+                found += [self.plausible(h, rows) for rows in self.tables[n].rows(sig, starts, WIDE)]
+        for m, places in self.segments.items():
+            found += [self.plausible(h, rows) for rows in places.rows(grams(h, m)[starts], starts, WIDE)]
+        rows = np.concatenate(found)
+        text = np.searchsorted(begin, rows[:, 3], "right") - 1
+        return np.unique(np.column_stack((text, rows[:, 2], rows[:, 0], rows[:, 1])), axis=0)
 
 
 def best_stretch(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
@@ -247,56 +275,61 @@ def best_stretch(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
 def matches(items: Items, texts: list[str], least: float) -> list[tuple[int, int, int, int]]:
     """(text number, item id, least distance, stretches found) of each matching text and item."""
     pad = np.zeros(items.plan.steps + 1, np.uint64)
-    flat, starts, doc, bounds, at = [], [], [], [], 0
-    for n, text in enumerate(texts):
+    flat, starts, begin, end, at = [], [], [], [], 0
+    for text in texts:
         h, _ = word_hashes((text or "").encode("utf-8", "surrogatepass"))
         flat += [h, pad]
         starts.append(np.arange(at, at + len(h)))
-        doc.append(np.full(len(h), n))
-        bounds.append((at, at + len(h)))
+        begin.append(at)
+        end.append(at + len(h))
         at += len(h) + len(pad)
     if not flat:
         return []
-    h, starts, doc = np.concatenate(flat), np.concatenate(starts), np.concatenate(doc)
-    rows = items.candidates(h, starts)
-    if not len(rows):
-        return []
-    owner = doc[np.searchsorted(starts, rows[:, 0])]
-    # Candidates of one item whose expected places overlap are one stretch to verify.
-    place = rows[:, 0] - rows[:, 2]
-    order = np.lexsort((place, rows[:, 1], owner))
+    h = np.concatenate(flat)
+    rows = items.candidates(h, np.concatenate(starts), np.array(begin))
     best: dict[tuple[int, int], list[int]] = {}
-    done: dict[tuple[int, int], int] = {}
-    for r in order.tolist():
-        n, i = int(owner[r]), int(rows[r, 1])
-        item = items.words[i]
-        slack = int((1 - least) * len(item) + 1e-9)
-        lo = max(bounds[n][0], int(place[r]) - slack)
-        hi = min(bounds[n][1], int(place[r]) + len(item) + slack)
-        if done.get((n, i), -1) >= hi:
+
+    def verify(n: int, i: int, a: int, b: int) -> None:
+        words, slack = items.words[i], int(items.slack[i])
+        reach = len(words) + slack
+        # Long stretches in blocks that overlap by as much as a match can span.
+        for at in range(a, max(a + 1, b - reach), BLOCK):
+            distance, _ = best_stretch(words, h[at : min(b, at + BLOCK + reach)])
+            if distance <= slack:
+                now = best.setdefault((n, i), [distance, 0])
+                now[0] = min(now[0], distance)
+                now[1] += 1
+
+    # Rows come by text, item and place: the stretches of one item in one text that meet are verified as one.
+    held: list[int] = []
+    for n, i, first, last in rows.tolist():
+        slack = int(items.slack[i])
+        a, b = max(begin[n], first - slack), min(end[n], last + len(items.words[i]) + slack)
+        if held and held[:2] == [n, i] and a <= held[3]:
+            held[3] = max(held[3], b)
             continue
-        done[n, i] = hi
-        distance, _ = best_stretch(item, h[lo:hi])
-        if distance <= slack:
-            now = best.setdefault((n, i), [distance, 0])
-            now[0] = min(now[0], distance)
-            now[1] += 1
+        if held:
+            verify(*held)
+        held = [n, i, a, b]
+    if held:
+        verify(*held)
     return [(n, items.ids[i], d, c) for (n, i), (d, c) in sorted(best.items())]
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-    item_text: str = "text", least: float = LEAST, plan: Plan = Plan(), block: int = 20_000,
+    item_text: str = "text", least: float = LEAST, plan: Plan = Plan(), block: int = 20_000, block_chars: int = 1 << 24,
 ) -> DataFrame:
     """(key, item_id, distance): each document with each item it holds, once for each row of docs."""
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     schema = f"doc {kind}, item {item_kind}, distance int"
     item_type = to_arrow_type(benchmark.schema[item_key].dataType)
-    n = benchmark.count()
-    blocks = max(1, -(-n // block))
+    n, chars = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()
+    blocks = max(1, -(-n // block), -(-chars // block_chars))
     bare = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     out = None
     for b in range(blocks):
+        # One block of items at a time is on the driver; only its task function, with a bounded table, goes on.
         part = benchmark.where(F.pmod(F.xxhash64(item_key, item_text), F.lit(blocks)) == b).select(item_key, item_text)
         items = [(r[0], r[1]) for r in part.orderBy(item_key).collect()]
 
@@ -327,7 +360,12 @@ def contaminated(
     return out.select(F.col("doc").alias(key), F.col("item").alias(item_key), "distance")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Rows of docs that hold no item; rows with a null key can't be named and all stay."""
-    hit = contaminated(docs.where(F.col(key).isNotNull()), benchmark, key, text, **options).select(key).distinct()
-    return docs.join(hit, key, "left_anti").select(*docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """Rows of docs that hold no item.
+
+    Rows are told apart by their place in their file: of rows that share an id, or have none, those that hold an
+    item go and the others stay.
+    """
+    rows, rid = common.with_row_id(docs)
+    hit = common.cut(contaminated(rows.select(rid, text), benchmark, rid, text, **options).select(rid))
+    return common.without_rows(rows, rid, hit).select(*docs.columns)
