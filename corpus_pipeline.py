@@ -5,6 +5,21 @@
 3 decontamination     documents that hold a benchmark item go
 4 secret scan         secrets are replaced by a mask in the text that goes on
 5 SentencePiece       (doc_id, n_tokens, ids): the texts as token ids, decodable to the text
+
+Defined results, stage by stage:
+
+* null and empty texts have no words, fail the base rule of stage 1 and go; given to a later stage alone they are one
+  near-dedup group, hold no benchmark item, have no secrets, and become null and empty ids;
+* very long texts are read whole by every stage;
+* repeated rows are judged alike in stage 1, are one group in stage 2 (one row stays) and are each treated alike after it;
+* rows that share an id, or have none, are told apart by their place in the stage's input: stage 2 keeps exactly one
+  row of each group, the smallest id first, null ids last, then the text of the smallest hash; stage 3 drops the rows
+  that hold an item, whatever their ids;
+* ties: a quality posterior of exactly a half keeps the document;
+* an empty table gives an empty table after every stage, with the same columns;
+* other columns, whatever their names, pass through the first four stages unchanged; n_chars follows a masked text.
+
+The output of a stage is deleted once the next one is written; the last one stays, and is what `run` reads.
 """
 
 from __future__ import annotations
@@ -32,8 +47,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with secrets masked; n_chars follows the text."""
-    return secret_ledger.mask(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Documents with secrets masked; n_chars, where there is such a column, follows the text."""
+    masked = secret_ledger.mask(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,4 +75,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if k:
+            common.discard(spark, f"{folder}/{k - 1}")
     return docs
