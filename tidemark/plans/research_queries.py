@@ -340,14 +340,17 @@ def har_coefficients(spark, sf_dir):
     return shown(found.unpivot(["symbol"], ["const", "day", "week", "month"], "term", "value"), ["symbol", "term"], ["value"], 4)
 
 
-@register("walk_forward_model")
-def walk_forward_model(spark, sf_dir):
-    """Out-of-sample probabilities of two model families blended, over the first and last fold."""
+def fold_rows(spark, sf_dir, **options):
+    """Daily rows with causal momentum features, labels, weights, folds and roles."""
     bars = ind.momentum(labels.build(src.daily(spark, sf_dir)))
     rows = labels.weights(features.shift_base(bars, MOM).where("valid"))
-    joined = labels.membership(rows, labels.splits(rows, least_train=200)).persist()
-    folds = [r["fold"] for r in joined.select("fold").distinct().orderBy("fold").collect()]
-    return models.walk_forward(joined, MOM, sorted({folds[0], folds[-1]}))
+    return labels.membership(rows, labels.splits(rows, least_train=200, **options))
+
+
+@register("walk_forward_model")
+def walk_forward_model(spark, sf_dir):
+    """Out-of-sample probabilities on every test row of every fold: three families, calibrated, stacked, calibrated again."""
+    return models.walk_forward(fold_rows(spark, sf_dir), MOM)[0]
 
 
 TERM = f"""WITH {q.BARS}, {q.CONTEXT}, own AS (SELECT b.symbol, b.date, x.close AS sa, y.close AS sb FROM bars b LEFT JOIN ctx x ON x.symbol = '1-URGENT' AND x.date = b.date LEFT JOIN ctx y ON y.symbol = '2-HIGH' AND y.date = b.date),
