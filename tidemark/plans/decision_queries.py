@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
 from ..functions import windows as w
-from ..operators import backtest, calibration, features, guards, journal, labels, models, trust, verdicts
+from ..operators import backtest, blocks, calibration, features, guards, labels, models, trust, verdicts
 from ..sources import bars as src
+from . import price_queries
 from . import research_queries as research
 from . import sql as q
 from .price_queries import DAY, shown
@@ -331,3 +332,75 @@ def market_clock(spark, sf_dir):
 
     made = clock.with_clock(src.table(spark, sf_dir, "events").select("event_id", "ts"), "ts")
     return shown(made, ["event_id", "day", "in_session", "late", "early", "last_closed"], ["minutes_to_close"], 4)
+
+
+LAGS = [f"ret_lag_{k}" for k in range(1, 6)]
+BASED = [*LAGS, "sma_cross_20_50", "sma_cross_50_200", "vol_ratio_5_63", "vol_z_252", "overnight_vs_intraday_21", "roc_126_z", "dist_sma_200"]
+BASE = q.staged(
+    {"ret_lag_1": q.change("close"), "s20": q.mean("close", 20), "s50": q.mean("close", 50), "s200": q.mean("close", 200), "gap": f"{q.ratio('open', q.lag('close'))} - 1", "idr": f"{q.ratio('close', 'open')} - 1", "roc_126": q.change("close", 126)},
+    {**{f"ret_lag_{k}": q.lag("ret_lag_1", k - 1) for k in range(2, 6)}, "r5": f"{q.deviation('ret_lag_1', 5)} * {YEAR}", "r21": f"{q.deviation('ret_lag_1', 21)} * {YEAR}", "r63": f"{q.deviation('ret_lag_1', 63)} * {YEAR}"},
+    {"sma_cross_20_50": f"{q.ratio('s20', 's50')} - 1", "sma_cross_50_200": f"{q.ratio('s50', 's200')} - 1", "vol_ratio_5_63": "CASE WHEN r63 > 1e-8 THEN r5 / r63 END", "vol_z_252": q.zscore("r21", 252),
+     "overnight_vs_intraday_21": f"{q.mean('gap', 21)} - {q.mean('idr', 21)}", "roc_126_z": q.zscore("roc_126", 252), "dist_sma_200": f"{q.ratio('close', 's200')} - 1"},
+)
+register("base_block", q.select(DAY, BASED, BASE, 5))(lambda s, d: shown(blocks.base_block(src.daily(s, d)), DAY, BASED, 5))
+
+PERIODIC = ["ret_1", "ret_4", "dist_sma_10", "dist_sma_30", "rvol_12", "rangepos_26"]
+for rule, tag in (("week", "wk"), ("month", "mo")):
+    bars_sql = price_queries.SQL[f"bars_{rule}ly"]
+    P = q.staged(
+        {"ret_1": q.change("close"), "ret_4": q.change("close", 4), "n": "count(*) OVER (PARTITION BY symbol)", "m10": q.mean("close", 10), "m30": q.mean("close", 30), "lo": q.rolled("min", "close", 26, 13), "hi": q.rolled("max", "close", 26, 13)},
+        {"dist_sma_10": f"{q.ratio('close', 'm10')} - 1", "dist_sma_30": f"{q.ratio('close', 'm30')} - 1", "rvol_12": q.deviation("ret_1", 12), "rangepos_26": q.clip(q.ratio("close - lo", "hi - lo"), 0.0, 1.0)},
+        base="per", head=f"{q.BARS}, per AS ({bars_sql})",
+    )
+    moved = ", ".join(f"CASE WHEN n >= 40 THEN {q.lag(c)} END AS {tag}_{c}" for c in PERIODIC)
+    names = [f"{tag}_{c}" for c in PERIODIC]
+    made = (f"{P[0]}, pm AS (SELECT symbol, date, {moved} FROM {P[1]}), j AS (SELECT b.symbol, b.date, {', '.join(names)} FROM bars b ASOF LEFT JOIN pm ON b.symbol = pm.symbol AND b.date >= pm.date)", "j")
+    register(f"{rule}ly_block", q.select(DAY, names, made))(lambda s, d, rule=rule, tag=tag, names=names: shown(blocks.period_block(src.daily(s, d), rule, tag), DAY, names))
+
+
+def _context(tag: str, symbol: str) -> str:
+    seen = f"(SELECT b.symbol, b.date, x.close AS seen FROM bars b LEFT JOIN ctx x ON x.symbol = '{symbol}' AND x.date = b.date)"
+    return f"c_{tag} AS (SELECT symbol, date, last_value(seen IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS {tag} FROM {seen})"
+
+
+CTX = {"xu": "1-URGENT", "xh": "2-HIGH", "xm": "3-MEDIUM", "xn": "4-NOT SPECIFIED", "xl": "5-LOW"}
+JOINED = " ".join(f"JOIN c_{t} USING (symbol, date)" for t in CTX)
+WITH_CTX = f"{q.BARS}, {q.CONTEXT}, {', '.join(_context(t, s) for t, s in CTX.items())}, cx AS (SELECT * FROM bars {JOINED})"
+
+
+def _beta(x: str, y: str, n: int) -> str:
+    a, b = f"(CASE WHEN {y} IS NOT NULL THEN {x} END)", f"(CASE WHEN {x} IS NOT NULL THEN {y} END)"
+    return f"(CASE WHEN count({a}) OVER {q.win(n)} >= {n // 2} THEN {q.ratio(f'covar_samp({a}, {b}) OVER {q.win(n)}', f'var_pop({b}) OVER {q.win(n)}')} END)"
+
+
+CROSSED = [f"x_{t}_{f}" for t in ("xu", "xh") for f in ("ret_1", "ret_5", "ret_21", "dist_sma50", "beta_63", "corr_63", "rs_21")] + ["x_vix_level", "x_vix_z_252", "x_vix_term"]
+CROSS = q.staged(
+    {"r": q.change("close"), "r21": q.change("close", 21), "x_vix_level": "xh", "m21": q.mean("xh", 21), "x_vix_z_252": q.zscore("xh", 252)}
+    | {f"x_{t}_ret_{n}": q.change(t, n) for t in ("xu", "xh") for n in (1, 5, 21)} | {f"m_{t}": q.mean(t, 50) for t in ("xu", "xh")},
+    {f"x_{t}_dist_sma50": f"{q.ratio(t, f'm_{t}')} - 1" for t in ("xu", "xh")} | {f"x_{t}_rs_21": f"r21 - x_{t}_ret_21" for t in ("xu", "xh")} | {"x_vix_term": f"{q.ratio('xh', 'm21')} - 1"}
+    | {f"x_{t}_corr_63": q.pair_corr("r", f"x_{t}_ret_1", 63) for t in ("xu", "xh")} | {f"x_{t}_beta_63": _beta("r", f"x_{t}_ret_1", 63) for t in ("xu", "xh")},
+    base="cx", head=WITH_CTX,
+)
+register("cross_block", q.select(DAY, CROSSED, CROSS, 5))(
+    lambda s, d: shown(blocks.cross_block(src.daily(s, d), src.context(s, d), {CTX[t]: t for t in ("xu", "xh")}, "xh"), DAY, CROSSED, 5)
+)
+SHAPE = ["vs_term_9d_1m", "vs_term_9d_1m_z", "vs_backwardation_short", "vs_term_1m_3m", "vs_term_1m_3m_z", "vs_backwardation", "vs_term_slope_chg", "vs_vix_chg_1", "vs_vix_chg_5", "vs_vix_rel_ma21", "vs_vvix_z", "vs_vvix_chg5", "vs_vvix_vix_ratio", "vs_skew_z", "vs_skew_chg5"]
+SHAPED = q.staged(
+    {"vs_term_9d_1m": "CASE WHEN xu > 1e-9 THEN xh / xu END", "vs_term_1m_3m": "CASE WHEN xm > 1e-9 THEN xu / xm END", "vs_vix_chg_1": f"xu - {q.lag('xu')}", "vs_vix_chg_5": f"xu - {q.lag('xu', 5)}", "m21": q.mean("xu", 21),
+     "vs_vvix_z": q.zscore("xn", 252), "vs_vvix_chg5": f"xn - {q.lag('xn', 5)}", "vs_vvix_vix_ratio": "CASE WHEN xu > 1e-9 THEN xn / xu END", "vs_skew_z": q.zscore("xl", 252), "vs_skew_chg5": f"xl - {q.lag('xl', 5)}"},
+    {"vs_term_9d_1m_z": q.zscore("vs_term_9d_1m", 252), "vs_backwardation_short": "coalesce(CAST(vs_term_9d_1m > 1 AS DOUBLE), 0.0)", "vs_term_1m_3m_z": q.zscore("vs_term_1m_3m", 252), "vs_backwardation": "coalesce(CAST(vs_term_1m_3m > 1 AS DOUBLE), 0.0)",
+     "vs_term_slope_chg": f"vs_term_1m_3m - {q.lag('vs_term_1m_3m', 5)}", "vs_vix_rel_ma21": f"{q.ratio('xu', 'm21')} - 1"},
+    base="cx", head=WITH_CTX,
+)
+register("volatility_structure", q.select(DAY, SHAPE, SHAPED, 4))(
+    lambda s, d: shown(blocks.volatility_structure(src.daily(s, d), src.context(s, d), *[CTX[t] for t in ("xu", "xh", "xm", "xn", "xl")]), DAY, SHAPE, 4)
+)
+for horizon, price, ahead in (("open_next", "open", 1), ("close_next2", "close", 2)):
+    before = "date" if ahead == 1 else f"lead(date, {ahead - 1}) OVER {q.SERIES}"
+    built = q.staged({"ret": q.change("close"), "nxt": f"lead({price}, {ahead}) OVER {q.SERIES}", "gap": f"date_diff('day', {before}, lead(date, {ahead}) OVER {q.SERIES})"},
+                     {"y_ret": f"{q.ratio('nxt', 'close')} - 1", "sd": q.deviation("ret", 21, 10, 1)}, {"raw": f"CASE WHEN sd IS NOT NULL THEN greatest(sd, 1e-4) * sqrt({ahead}) END"},
+                     {"sigma": "last_value(raw IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)"},
+                     {"y_norm": q.clip("y_ret / sigma", -8.0, 8.0), "valid": "y_ret IS NOT NULL AND sigma IS NOT NULL AND coalesce(gap <= 5, FALSE) AND coalesce(abs(y_ret) <= 0.6, FALSE)"})
+    register(f"labels_{horizon}", q.select([*DAY, "valid"], ["y_ret", "sigma", "y_norm"], built))(
+        lambda s, d, horizon=horizon: shown(labels.build(src.daily(s, d), horizon), [*DAY, "valid"], ["y_ret", "sigma", "y_norm"])
+    )
