@@ -162,6 +162,21 @@ def test_repeated_strings(spark, docs, length, few, monkeypatch):
         assert shown(pfp_dedup.dedup(df, length=length)) == removed([(k, (t or "").encode()) for k, t in sorted(rows)], length)
 
 
+@pytest.mark.parametrize("length, few", [(12, 64), (12, 2), (100, 64), (100, 1)])
+def test_repeated_strings_with_one_trigger_in_all_documents(spark, length, few, monkeypatch):
+    """A short passage that every document holds, amid text of its own: one trigger of as many phrases as documents."""
+    for name, value in (("FEW", few), ("HINT", 1), ("HOT_LEAST", 5), ("SALTS", 7)):
+        monkeypatch.setattr(pfp_dedup, name, value)
+    rng = random.Random(length + few)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = noise(max(8, length - 20))
+    rows = [(k, noise(rng.randint(0, 150)) + passage + (passage if k % 5 == 0 else "") + noise(rng.randint(0, 150)) + ("tail" * 40 if k % 7 == 0 else "")) for k in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    numbered, _ = pfp_dedup._numbered(df, "doc_id", "text")
+    assert length == 12 or pfp_dedup._hot_triggers(numbered, length).count() > 0
+    assert shown(pfp_dedup.dedup(df, length=length)) == removed([(k, t.encode()) for k, t in rows], length)
+
+
 def test_repeated_strings_odd_ids(spark, odd):
     out = shown(pfp_dedup.dedup(odd))
     assert len(out) == odd.count()
@@ -295,3 +310,44 @@ def test_classifier_odd(spark, odd):
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
     none = rule_ensemble.fit(odd, labels.limit(0))
     assert {r["score"] for r in rule_ensemble.classify(odd, none).collect()} == {0.5}
+
+
+def test_compiled_rules_equal_a_walk_of_the_trees(spark):
+    """Rules read from trees hold on exactly the rows that reach a node, and the compiled score is the weighted sum of them."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rng, names = random.Random(4), ["a", "b", "c"]
+    rows = [(rng.random(), rng.gauss(0, 2), float(rng.randrange(5))) for _ in range(400)]
+    rows = [(*r, float((r[0] > 0.4) != (r[1] < 0.5 and r[2] > 1) if rng.random() < 0.9 else rng.random() < 0.5)) for r in rows]
+    df = VectorAssembler(inputCols=names, outputCol="x").transform(spark.createDataFrame(rows, "a double, b double, c double, y double"))
+    forest = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=3, maxDepth=3, leafCol="leaf", seed=1).fit(df)
+    holds = lambda rule, r: all((r[n] <= t) if below else (r[n] > t) for n, below, t in rule)
+    every = set()
+    for k, tree in enumerate(forest.trees):
+        rules = rule_ensemble.tree_rules(tree.toDebugString, names)
+        every |= rules
+        assert all(len({(n, b) for n, b, _ in rule}) == len(rule) for rule in rules)
+        leaves = collections.defaultdict(set)
+        for r in forest.transform(df).collect():
+            leaves[r["leaf"][k]].add(frozenset(rule for rule in rules if holds(rule, r)))
+        # Rows of one leaf agree on every rule of the tree; rows of different leaves don't.
+        assert all(len(s) == 1 for s in leaves.values()) and len({next(iter(s)) for s in leaves.values()}) == len(leaves)
+    assert rule_ensemble.tree_rules(forest.toDebugString, names) == every
+    weights = {rule: rng.gauss(0, 1) for rule in sorted(every)}
+    model = rule_ensemble.Ensemble(0.3, tuple(weights.items()))
+    for r in df.withColumn("s", model.score()).collect():
+        z = 0.3 + sum(v for rule, v in weights.items() if holds(rule, r))
+        assert abs(r["s"] - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_training_rows_are_settled(spark):
+    """Repeated ids and tied labels train alike whatever the order of rows."""
+    text = lambda k: " ".join(f"w{j}" for j in range(60 + k)) + (" # # # $ $ %" * 20 if k % 2 else "")
+    docs = [(k // 2, text(k)) for k in range(120)]
+    labels = [(k, k % 2, 0) for k in range(60)] + [(k, 1 - k % 2, 0) for k in range(0, 60, 7)]
+    one, two = (
+        rule_ensemble.fit(spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame(x, "doc_id long, quality int, toxic int"), trees=3)
+        for d, x in ((docs, labels), (docs[::-1], labels[::-1]))
+    )
+    assert {r for r, _ in one.weights} == {r for r, _ in two.weights} and abs(one.bias - two.bias) < 1e-6

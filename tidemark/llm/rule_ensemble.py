@@ -8,9 +8,13 @@ of texts without a model object.
 Training reads at most `most` labelled rows (the bound is the parameter; rows are chosen by a hash of
 their id). Scoring reads only texts.
 
-Defined results: null and empty texts have all statistics zero and are scored like any text; no usable
+The setting (trees, depth, lasso) was compared on labelled rows whose remainder is 1, with models fitted on remainders
+0 and 3; see README. Held-out rows have no part in a fit or in that choice since.
+
+Defined results: labels other than 0 and 1 and null ids are not trained on; several labels of one id are averaged, and a
+tie counts as 1; of several texts of one id that with the smallest hash is trained on; null and empty texts have all statistics zero and are scored like any text; no usable
 labels or one class only: every score is the labelled share of class 1, or 0.5 without labels; repeated
-rows are scored alike; an empty table gives an empty result; other columns are not read.
+rows are scored alike; very long texts are read whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -95,7 +99,8 @@ def fit(
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key)))
     one = usable.groupBy(key).agg(F.round(F.avg(label)).cast("double").alias("y"))
     sample = common.cut(one.orderBy(F.xxhash64(F.col(key)), key).limit(most))  # at most `most` narrow rows
-    rows = docs.select(key, text).join(F.broadcast(sample), key).dropDuplicates([key])
+    # At most `most` keys; of different texts of one key the one with the smallest hash.
+    rows = docs.select(key, text).join(F.broadcast(sample), key).groupBy(key).agg(F.min_by(text, F.struct(F.xxhash64(text), text)).alias(text))
     train = common.cut(measured(rows, key, text).join(F.broadcast(sample), key)).drop(key)
     share = train.agg(F.avg("y"), F.count("*")).first()
     if not share[1] or share[0] in (0.0, 1.0):
