@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import common, license_scan, quality_rules, registry, ring_sharding, secret_ledger, url_filter
 
 SF = "/root/testdata/sf0.001"
+col = F.col
 ODD = [
     (1, None, "x"), (2, "", "x"), (None, "one", None), (3, "a b c a b c\nline\nline\n", "y"), (3, "a b c a b c\nline\nline\n", "y"),
     (4, "w " * 30000, "z"), (5, "\t\n \x0b", None),
@@ -318,6 +319,16 @@ def test_url_filter_matches_sql(spark):
     assert got == want
 
 
+def test_url_filter_with_many_rules(spark, monkeypatch):
+    """The way for rules too many to broadcast gives the same rows, a key of all pages included."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    pages = pages.unionByName(spark.range(500).select(col("id").alias("page_id"), F.lit("http://a.com/en/x").alias("url"))).unionByName(spark.createDataFrame([(-1, None), (-2, "")], pages.schema))
+    shown = lambda: sorted((tuple(r) for r in url_filter.classify(pages, url_filter.rules_table(spark)).collect()), key=str)
+    want = shown()
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 0)
+    assert shown() == want and len(want) == pages.count()
+
+
 def test_url_filter_odd_urls(spark):
     rows = [(1, None), (2, ""), (3, "no-scheme.com/en/"), (4, "http://A.Example.COM/en/7x?q"), (5, "x://com/en/"), (6, "http://notexample.net/de/8"), (7, "http://example.net/de/8#f"), (7, "http://example.net/de/8#f"), (8, "http://é.org?x/es/")]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumn("rule", F.lit("theirs"))

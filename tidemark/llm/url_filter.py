@@ -5,8 +5,11 @@ host, and the path's prefixes of the lengths that occur among the rules. Pairs m
 equi-join on the first four bytes of a SHA-256 digest; the full digest then confirms, and of the
 confirmed rules the one with the longest host, then the longest path, wins.
 
+Rules of up to BROADCAST_BYTES meet the pages in their tasks; more are joined by a shuffle in which keys that a large
+share of all pages have are split.
+
 Defined results: a null url, or one without `://`, has an empty host and path and matches no rule; a URL
-that no rule fits gets the default verdict; repeated rows each get a result; ties can't occur, as a rule
+that no rule fits gets the default verdict; very long urls are read whole; repeated rows each get a result; ties can't occur, as a rule
 pair is unique (a pair given twice with both verdicts blocks).
 """
 
@@ -25,7 +28,7 @@ DEFAULT_RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-BROADCAST_RULES = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 def rules_table(spark: SparkSession, rules=DEFAULT_RULES) -> DataFrame:
@@ -60,10 +63,11 @@ def classify(pages: DataFrame, rules: DataFrame, url: str = "url", default: str
         F.count("*").alias("n"),
         F.array_sort(F.collect_set(F.length("rule_path"))).alias("lengths"),
         F.max(F.size(F.split("rule_host", "\\."))).alias("depth"),
+        F.coalesce(F.sum(F.octet_length("rule_host") + F.octet_length("rule_path")), F.lit(0)).alias("bytes"),
     ).first()
     ready = ready.withColumn("rule_key", F.substring("rule_digest", 1, 8))
-    if shape["n"] <= BROADCAST_RULES:
-        ready = F.broadcast(ready)
+    # About 150 bytes a rule besides its names.
+    small = shape["bytes"] + 150 * shape["n"] <= BROADCAST_BYTES
     lengths = F.array(*[F.lit(n) for n in shape["lengths"]]).cast("array<int>")
     labels = F.split(F.col(host), "\\.")
     depth = F.least(F.size(labels), F.lit(shape["depth"] or 0))
@@ -81,11 +85,15 @@ def classify(pages: DataFrame, rules: DataFrame, url: str = "url", default: str
     split = pages.withColumns({row: F.monotonically_increasing_id(), host: host_of(F.col(url)), path: path_of(F.col(url))}).select(
         *kept, row, host, path
     )
-    hits = (
-        split.select(*kept, row, host, path, F.explode_outer(pairs).alias("pair"))
-        .withColumn("rule_key", F.substring("pair.digest", 1, 8))
-        .join(ready, "rule_key", "left")
-    )
+    keyed = split.select(*kept, row, host, path, F.explode_outer(pairs).alias("pair")).withColumn("rule_key", F.substring("pair.digest", 1, 8))
+    if small:
+        hits = keyed.join(F.broadcast(ready), "rule_key", "left")
+    else:
+        # A common suffix, such as com with /, is a key of most pages: it is dealt over many tasks. Row names must not
+        # change between the readings.
+        keyed = common.cut(keyed.withColumn("rule_key", F.coalesce("rule_key", F.hex(F.col(row)))))
+        hot = common.hot_keys(keyed.groupBy("rule_key").agg(F.count("*").alias("n")), "rule_key")
+        hits = common.salted_join(keyed, ready, "rule_key", hot)
     sound = F.col("pair.digest") == F.col("rule_digest")
     best = F.max(
         F.when(
