@@ -13,12 +13,18 @@ triggers with several distinct phrases the dictionary's phrases, not the corpus,
 array in which equal neighbours give way to the first place; with more they are dealt out by content
 and aggregated, so no task gathers them. Copies, however many, cost a row for each stretch of text.
 
+A trigger that many distinct phrases share (the edge of a passage that a large share of all documents hold) is known
+beforehand from a hint, and its phrases are dealt over many tasks; FEW and the hint decide how suffixes are dealt to
+tasks, never which are compared.
+
 What is carried to documents is the list of *first* phrases and, for opened ones, which windows repeat (few)
-or are first (many); everything else repeats. Hashes are 96 bits (trigger 32, content 64).
+or are first (many); everything else repeats. Equality of phrases and of dealt windows is that of 128 bits of hash
+(trigger 64, content 64): among n of them the chance of one false match is about n^2 / 2^129, below 1e-12 for the
+windows of 100 TB. The suffixes of few phrases are compared byte by byte.
 
-Defined results: null text is empty; documents shorter than `length` bytes keep every byte; rows that
-share an id are ordered by a hash of their text, and rows that share id and text are one document; null
-ids come first; an empty table gives an empty result; other columns are not read.
+Defined results: null text is empty; documents shorter than `length` bytes keep every byte; very long texts are parsed
+whole (up to 2^31 bytes); rows that share an id are ordered by a hash of their text, and rows that share id and text
+are one document; null ids come first; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +40,7 @@ from pyspark.sql.window import Window
 from . import common
 
 LENGTH, KGRAM, FEW = 100, 28, 64
+HINT, HOT_LEAST, HOT_SHARE, SALTS = 64, 16, 1000, 256
 _P = 0x100000001B3
 _POWERS: list[np.ndarray] = []
 
@@ -70,8 +77,9 @@ class Parse:
         low = np.minimum(low[: self.windows], low[width - span : width - span + self.windows])
         self.first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
         self.last = np.concatenate((self.first[1:] - 1, [self.windows - 1]))
-        self.trigger = low[self.first] >> np.uint64(32)
         self.place = (low[self.first] & np.uint64((1 << 32) - 1)).astype(np.int64)
+        # 32 bits choose the place; all 64 of the gram there name the trigger.
+        self.trigger = self.hashes(self.place, self.place + kgram)
 
     def hashes(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         h = (self.sums[stop] - self.sums[start]) * self.down[start]
@@ -104,7 +112,7 @@ def _phrases(length: int):
             new[1:] = (content[order][1:] != content[order][:-1]) | (trigger[order][1:] != trigger[order][:-1])
             trigger, content, doc, first = (x[order[new]] for x in (trigger, content, doc, first))
             return _batch({
-                "trigger": trigger.astype(np.uint32).view(np.int32), "content": content.view(np.int64), "doc": doc, "first": first.astype(np.int32),
+                "trigger": trigger.view(np.int64), "content": content.view(np.int64), "doc": doc, "first": first.astype(np.int32),
             })
 
         for batch in batches:
@@ -156,13 +164,13 @@ def _windows(length: int):
 
     def _row_batch(held):
         trigger, content, doc, at = (np.concatenate([h[k] for h in held]) for k in range(4))
-        return _batch({"trigger": trigger.astype(np.uint32).view(np.int32), "content": content.view(np.int64), "doc": doc, "first": at.astype(np.int32)})
+        return _batch({"trigger": trigger.view(np.int64), "content": content.view(np.int64), "doc": doc, "first": at.astype(np.int32)})
 
     return run
 
 
-ROWS = "trigger int, content long, doc long, first int"
-OPENED = "trigger int, doc long, first int, place int, phrase binary"
+ROWS = "trigger long, content long, doc long, first int"
+OPENED = "trigger long, doc long, first int, place int, phrase binary"
 
 
 def _opened(length: int):
@@ -175,9 +183,8 @@ def _opened(length: int):
                 p = Parse(raw, length)
                 for i in np.flatnonzero(np.isin(p.first, batch.column(2)[k].values.to_numpy())).tolist():
                     a = int(p.first[i])
-                    trigger = int(p.trigger[i])
-                    out.append((trigger - (1 << 32) if trigger >> 31 else trigger, doc, a, int(p.place[i]) - a, raw[a : int(p.last[i]) + length]))
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                    out.append((int(p.trigger[i].view(np.int64)), doc, a, int(p.place[i]) - a, raw[a : int(p.last[i]) + length]))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["trigger", "doc", "first", "place", "phrase"])
 
     return run
@@ -266,6 +273,17 @@ def _finish(length: int):
     return run
 
 
+def _hot_triggers(rows: DataFrame, length: int) -> DataFrame:
+    """(trigger, hot): fewer than HOT_SHARE triggers that hold over 1 / HOT_SHARE of the phrases of one document in HINT.
+
+    A hint for the dealing of work, and nothing else: a trigger's phrases give the same result whether dealt over one
+    task or many. All documents are parsed, and every phrase compared, below.
+    """
+    some = rows.where(F.pmod(F.xxhash64("doc"), F.lit(HINT)) == 0).mapInArrow(_phrases(length), ROWS)
+    counts = common.cut(some.groupBy("trigger").agg(F.count("*").alias("n")).where(F.col("n") > HOT_LEAST))
+    return common.hot_keys(counts, "trigger", least=HOT_LEAST, share=HOT_SHARE).select("trigger", F.lit(True).alias("hot"))
+
+
 def _numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
     """(doc, raw) rows with doc in document order, and the (doc, key) table where doc is not the key itself."""
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
@@ -287,11 +305,16 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     """(key, n_bytes, spans array<struct<start, stop>>, kept binary) for every row of docs."""
     rows, names = _numbered(docs, key, text)
     # One exchange by trigger serves both the dictionary and the count of a trigger's phrases; the tasks
-    # before it send each phrase once for a stretch of text, however often it is copied there.
-    phrases = rows.mapInArrow(_phrases(length), ROWS).repartition("trigger")
+    # before it send each phrase once for a stretch of text, however often it is copied there. The phrases of a
+    # trigger that is hot are dealt over many tasks by content; it needs no count.
     place = F.struct("doc", "first")
-    dictionary = phrases.groupBy("trigger", "content").agg(F.min(place).alias("at")).select("trigger", "at.doc", "at.first")
-    marked = dictionary.withColumn("n", F.count("*").over(Window.partitionBy("trigger")))
+    hot = F.broadcast(_hot_triggers(rows, length))
+    phrases = rows.mapInArrow(_phrases(length), ROWS).join(hot, "trigger", "left").withColumn("salt", F.when(F.col("hot"), F.pmod("content", F.lit(SALTS))).otherwise(F.lit(0)))
+    phrases = phrases.repartition("trigger", "salt")
+    dictionary = phrases.groupBy("trigger", "salt", "content").agg(F.min(place).alias("at"), F.max("hot").alias("hot"))
+    dictionary = dictionary.select("trigger", "salt", "hot", "at.doc", "at.first")
+    counted = F.count("*").over(Window.partitionBy("trigger", "salt"))
+    marked = dictionary.withColumn("n", F.when(F.col("hot"), F.lit(FEW + 1)).otherwise(counted))
     listed = lambda condition: F.collect_list(F.when(condition, F.col("first")))
     lists = common.cut(
         marked.groupBy("doc").agg(
