@@ -6,7 +6,7 @@ import math
 
 import pytest
 
-from tidemark.config import Config
+from tidemark.config import Config, for_run
 from tidemark.operators import anchoring, features
 from tidemark.sources import files
 
@@ -22,11 +22,15 @@ def test_config():
     c = Config().checked()
     d = c.changed({"labels.horizon": "open_next", "costs.spread_bps": 3.0})
     assert d.labels.horizon == "open_next" and d.costs.one_way_bps == 6.0 and len(c.fingerprint()) == 12 and c.fingerprint() != d.fingerprint()
-    for bad in ({"labels.horizon": "never"}, {"splits.purge": 0}, {"costs.spread_bps": -1.0}):
+    for bad in ({"labels.horizon": "never"}, {"splits.purge": 0}, {"splits.purge": 1}, {"labels.horizon": "close_next2"}, {"costs.spread_bps": -1.0}, {"trust.blocks": 7}, {"trading.threshold": 1.0}, {"trading.least_position": 0.5}, {"models.trials": 2}):
         with pytest.raises(ValueError):
             c.changed(bad)
     with pytest.raises(KeyError):
         c.changed({"labels.nothing": 1})
+    assert c.changed({"splits.purge": 3, "labels.horizon": "close_next2"}).splits.purge == 3
+    universe = {"symbols": ["A", "B"], "config": {"splits.folds": 4, "_note": 1}, "variants": {"open": {"labels.horizon": "open_next", "splits.folds": 5}}, "overrides": {"B": {"splits.folds": 6}}}
+    folds = lambda s, v=None: for_run(c, universe, s, v).splits.folds
+    assert (folds("A"), folds("A", "open"), folds("B", "open")) == (4, 5, 6) and for_run(c, universe, "A", "open").labels.horizon == "open_next"
 
 
 def test_bars_round_trip(spark, tmp_path):

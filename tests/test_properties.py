@@ -148,16 +148,28 @@ def test_overfitting_probability_of_noise_and_of_an_edge(spark):
     assert out["B"] < 0.1 < out["A"]
 
 
-def test_deflated_sharpe_falls_with_trials():
-    values = [trust.deflated_sharpe(0.1, 1000, k, 0.001) for k in (2, 10, 100)]
+def test_deflated_sharpe_falls_with_trials(spark):
+    values = [trust.deflated_sharpe(0.1, 1000, k, 0.001)[0] for k in (2, 10, 100)]
     assert values == sorted(values, reverse=True) and 0 <= values[-1] <= values[0] <= 1
-    assert trust.probabilistic_sharpe(0.0, 100) == pytest.approx(0.5)
+    assert trust.probabilistic_sharpe(0.0, 100) == pytest.approx(0.5) and trust.probabilistic_sharpe(0.5, 9) is None
+    assert trust.deflated_sharpe(0.1, 1000, 1, 0.001) == (trust.probabilistic_sharpe(0.1, 1000), 0.0)
+    assert trust.probabilistic_sharpe(0.1, 500, -1.0, 6.0) < trust.probabilistic_sharpe(0.1, 500)
+    df = spark.createDataFrame([("a", 0.1, 1000, 10, 0.001, 0.0, 3.0), ("b", None, 1000, 10, None, 0.0, 3.0)], "symbol string, sr double, n long, trials long, variance double, skew double, kurt double")
+    got = {r["symbol"]: r["deflated"] for r in trust.deflated(df).collect()}
+    assert got["a"] == pytest.approx(values[1]) and got["b"] is None
 
 
 def test_block_permutation_keeps_rows_and_values(bars):
-    rows = trust.block_permute(labels.build(bars).where("y_ret IS NOT NULL")).where("symbol = 'S'").collect()
-    assert len(rows) == 419 and sorted(r["y_ret"] for r in rows) == sorted(r["y_permuted"] for r in rows)
-    assert [r["y_ret"] for r in rows] != [r["y_permuted"] for r in rows]
+    live = labels.build(bars).where("y_ret IS NOT NULL")
+    rows = trust.block_permute(live, sims=3).where("symbol = 'S'").orderBy("sim", "__rn").collect()
+    plain = [r["y_ret"] for r in live.where("symbol = 'S'").orderBy("date").collect()]
+    for k in range(3):
+        moved = [r["y_ret"] for r in rows if r["sim"] == k]
+        assert len(moved) == 419 and sorted(moved) == sorted(plain) and moved != plain
+        place = {v: i for i, v in enumerate(plain)}
+        assert sum(place[b] - place[a] == 1 for a, b in zip(moved, moved[1:])) >= 419 - 22  # neighbours stay but at edges of blocks
+    small = trust.block_permute(live.where("symbol = 'S'").limit(12), block=100)  # a block is a quarter of the rows at most
+    assert small.count() == 12
 
 
 def test_blend_is_symmetric_and_between(spark):
@@ -169,7 +181,11 @@ def test_har_finds_planted_coefficients(spark):
     rng = random.Random(9)
     rows = [("S", *(d := (rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1))), 0.5 + 0.4 * d[0] + 0.3 * d[1] - 0.2 * d[2]) for _ in range(200)]
     df = spark.createDataFrame(rows, "symbol string, har_d double, har_w double, har_m double, log_rv_next double")
-    assert models.har_ols(df)["S"] == pytest.approx([0.5, 0.4, 0.3, -0.2])
+    r = models.har_ols(df).first()
+    assert [r[c] for c in ("const", "day", "week", "month")] == pytest.approx([0.5, 0.4, 0.3, -0.2])
+    lacking = df.limit(3).withColumn("har_d", F.lit(None).cast("double"))
+    made = models.har_predict(df.unionByName(lacking), models.har_ols(df))
+    assert made.where("har IS NULL").count() == 0 and made.count() == 203
 
 
 def test_upsert_replaces_days_and_keeps_the_latest(spark):

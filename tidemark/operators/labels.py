@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import windows as w
@@ -60,17 +60,19 @@ def walk_forward(n: int, folds: int = 8, purge: int = 2, embargo: int = 5, least
     return out
 
 
-def splits(rows: DataFrame, **options) -> DataFrame:
-    """(symbol, fold, train_lo, train_hi, test_lo, test_hi) by each symbol's number of rows."""
-    spark: SparkSession = rows.sparkSession
-    sizes = rows.groupBy("symbol").agg(F.count("*").alias("n")).collect()
-    made = [(r["symbol"], *s) for r in sorted(sizes) for s in walk_forward(r["n"], **options)]
-    return spark.createDataFrame(made, "symbol string, fold int, train_lo long, train_hi long, test_lo long, test_hi long")
+def splits(rows: DataFrame, folds: int = 8, purge: int = 2, embargo: int = 5, least_train: int = 500, anchored: bool = True, train_rows: int = 1500) -> DataFrame:
+    """(symbol, fold, train_lo, train_hi, test_lo, test_hi) by each symbol's number of rows: walk_forward as columns."""
+    size = F.floor((col("n") - least_train) / folds)
+    made = rows.groupBy("symbol").agg(F.count("*").alias("n")).withColumn("__size", size).where(col("__size") > 0)
+    made = made.select("*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold")).withColumn("test_lo", least_train + col("fold") * col("__size"))
+    made = made.withColumns({"test_hi": F.when(col("fold") == folds - 1, col("n")).otherwise(col("test_lo") + col("__size")), "train_hi": col("test_lo") - purge - embargo})
+    made = made.withColumn("train_lo", F.lit(0) if anchored else F.greatest(F.lit(0), col("train_hi") - train_rows))
+    return made.where(col("train_hi") - col("train_lo") >= least_train // 2).select("symbol", "fold", *[col(c).cast("long").alias(c) for c in ("train_lo", "train_hi", "test_lo", "test_hi")])
 
 
 def membership(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """rows with fold and role (train or test), by row position within the symbol; a range join on the few splits."""
+    """rows with fold and role (train or test), by row position within the symbol: each row meets the few splits of its symbol."""
     placed = rows.withColumn("__rn", (F.row_number().over(w.series()) - 1).cast("long"))
-    joined = placed.join(F.broadcast(parts), "symbol")
+    joined = placed.join(parts, "symbol")
     role = F.when(col("__rn").between(col("train_lo"), col("train_hi") - 1), "train").when(col("__rn").between(col("test_lo"), col("test_hi") - 1), "test")
     return joined.withColumn("role", role).where(col("role").isNotNull()).drop("__rn", "train_lo", "train_hi", "test_lo", "test_hi")

@@ -71,3 +71,47 @@ def publish(df: DataFrame, path: str) -> None:
 def business_days(spark: SparkSession, first: str, last: str) -> DataFrame:
     days = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).alias("date"))
     return days.where(F.weekday("date") < 5)
+
+
+def read_universe(spark: SparkSession, path: str) -> dict:
+    """A universe file (JSON: symbols, and maybe config, variants and overrides) from any store; one without symbols is an error."""
+    import json
+
+    text = "\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())  # one small file
+    found = json.loads(text)
+    if not found.get("symbols"):
+        raise ValueError(f"{path} names no symbols")
+    return found
+
+
+def market(bars: DataFrame, symbols: list[str], context: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(bars of the symbols, bars of the context series, context series without any bar): one scan by partition-prunable filters.
+
+    Bars of a day that come twice give way to the last read; a context series that is missing is named, not an error.
+    """
+    one = bars.dropDuplicates(["symbol", "date"])
+    own, other = one.where(F.col("symbol").isin(symbols)), one.where(F.col("symbol").isin(context))
+    seen = {r["symbol"] for r in other.select("symbol").distinct().collect()}
+    return own, other, sorted(set(context) - seen)
+
+
+def write_result(folder: str, name: str, predictions: DataFrame, figures: DataFrame, lines: list[str]) -> None:
+    """One run's results under <folder>/<name>: out-of-sample rows as CSV, figures as JSON lines, a text summary."""
+    spark = predictions.sparkSession
+    predictions.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}/oos")
+    publish(figures, f"{folder}/{name}/figures")
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}/summary")
+
+
+def write_manifest(parts: DataFrame, path: str) -> None:
+    """parts(symbol, variant, status, ...): what a run made, one JSON line for each part, in order."""
+    publish(parts.orderBy("symbol", "variant"), path)
+
+
+def stored_models(spark: SparkSession, folder: str) -> DataFrame:
+    """(base, variant) of the models stored under a folder as <symbol>[__<variant>]."""
+    about = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder)
+    name = F.regexp_extract(F.input_file_name(), "/([^/]+)/about/[^/]*$", 1)
+    named = about.select(name.alias("n")).where("n <> ''").distinct()
+    cut = F.split("n", "__", 2)
+    return named.select(cut[0].alias("base"), F.coalesce(F.get(cut, F.lit(1)), F.lit("close")).alias("variant"))
