@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -100,16 +104,37 @@ def leak_check(rows: DataFrame, names: list[str], y: str = "y_ret", least: int =
 
 
 def corr_pairs(rows: DataFrame, names: list[str]) -> DataFrame:
-    """(a, b, corr) for each pair of features, over rows that have both; one aggregate."""
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-
-    def one(a, b):
-        x, y = F.when(col(b).isNotNull(), col(a)), F.when(col(a).isNotNull(), col(b))
-        sd = F.stddev_pop(x) * F.stddev_pop(y)
-        return F.when(sd > 1e-12, F.covar_pop(x, y) / sd)
+    """(a, b, corr) for each pair of features, over rows that have both.
 
-    made = rows.agg(*[one(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
-    return made.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), col(f"c{k}").alias("corr")) for k, (a, b) in enumerate(pairs)])))
+    Sums over pairs are products of matrices, one for each batch, and a task sends one row for each pair, so that
+    hundreds of features neither make a plan of tens of thousands of aggregates nor a row for each row and pair.
+    """
+    k = len(names)
+    # Values are taken from their means, so that the sums below lose no digits.
+    mids = [v or 0.0 for v in rows.agg(*[F.avg(col(c).cast("double")).alias(c) for c in names]).first()]
+    left, right = np.triu_indices(k, 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, sums = np.zeros((k, k)), np.zeros((3, k, k))
+        for batch in batches:
+            x = batch.to_numpy(float, na_value=np.nan) - mids
+            seen = (~np.isnan(x)).astype(float)
+            x = np.where(seen > 0, x, 0.0)
+            n += seen.T @ seen
+            sums += np.stack((x.T @ seen, (x * x).T @ seen, x.T @ x))
+        at = lambda m: m[left, right]
+        yield pd.DataFrame(
+            {"i": left, "j": right, "n": at(n), "sx": at(sums[0]), "sy": at(sums[0].T), "sxx": at(sums[1]), "syy": at(sums[1].T), "sxy": at(sums[2])}
+        )
+
+    kinds = "i int, j int, " + ", ".join(f"{c} double" for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))
+    parts = rows.select(*[col(c).cast("double").alias(c) for c in names]).mapInPandas(run, kinds)
+    total = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    spread = lambda ss, s: F.sqrt(F.greatest(col(ss) / col("n") - F.pow(col(s) / col("n"), 2), F.lit(0.0)))
+    sd = spread("sxx", "sx") * spread("syy", "sy")
+    corr = F.when((col("n") > 0) & (sd > 1e-12), (col("sxy") / col("n") - col("sx") * col("sy") / (col("n") * col("n"))) / sd)
+    label = lambda c: F.element_at(F.array(*map(F.lit, names)), col(c) + 1)
+    return total.select(label("i").alias("a"), label("j").alias("b"), corr.alias("corr"))
 
 
 def prune_correlated(rows: DataFrame, names: list[str], most: float = 0.95) -> list[str]:
