@@ -13,8 +13,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from tidemark import cli
-from tidemark.functions import indicators as ind
-from tidemark.operators import blocks, calibration, features, guards, labels, models, trust, verdicts
+from tidemark.operators import anchoring, backtest, blocks, calibration, guards, labels, models, trust, verdicts
 from tidemark.sources import files
 from tidemark.streaming import clock, quotes
 
@@ -321,3 +320,21 @@ def test_variant_choice_and_best_trials(spark):
     t = spark.createDataFrame([("f", 0, 0.5), ("f", 1, 0.5), ("f", 2, None), ("g", 0, float("nan")), ("g", 1, -1.0), ("h", 3, None)], "family string, trial int, score double")
     assert {(r["family"], r["trial"]) for r in verdicts.best_trials(t).collect()} == {("f", 0), ("g", 1), ("h", 3)}
     assert verdicts.trial_stats(t).first()["n"] == 3
+
+
+def test_coherence_gate(spark):
+    rows = [(0.2, 0.01), (0.2, -0.01), (-0.2, 0.01), (0.2, None), (0.0, -0.01), (-0.2, -0.01)]
+    got = [r["p"] for r in spark.createDataFrame(rows, "pos double, mid double").select(backtest.coherent(F.col("pos"), F.col("mid")).alias("p")).collect()]
+    assert got == [0.2, 0.0, 0.0, 0.2, 0.0, -0.2]
+
+
+def test_snapshot(spark, bars):
+    day, now = dt.date(2016, 3, 1), dt.datetime(2016, 3, 1, 20, 0)
+    quote = lambda s, p, minutes: (s, "one", 1, now - dt.timedelta(minutes=minutes), p, 10.0)
+    schema = "symbol string, source string, priority int, ts timestamp, price double, volume double"
+    quotes_ = spark.createDataFrame([quote("S", 100.0, 300), quote("S", 101.0, 10), quote("T", 50.0, 200), quote("T", 51.0, 20)], schema)
+    out = {r["symbol"]: r for r in anchoring.snapshot(bars, quotes_, day, now, ["tdy_gap", "tdy_anchor_ret"]).collect()}
+    assert set(out) == {"S", "T"} and out["S"]["open"] == 100.0 and out["S"]["anchor"] == 101.0
+    assert out["S"]["tdy_anchor_vs_open"] == pytest.approx(0.01)
+    with pytest.raises(guards.StaleQuoteError):
+        anchoring.snapshot(bars, quotes_.where("ts < '2016-03-01 19:00:00'"), day, now, [])

@@ -54,3 +54,18 @@ def with_today(bars: DataFrame, quotes: DataFrame, day) -> DataFrame:
     )
     rest = bars.join(made.select("symbol", "date"), ["symbol", "date"], "left_anti")
     return rest.unionByName(made)
+
+
+def snapshot(bars: DataFrame, quotes: DataFrame, day, now, names: list[str], most_minutes: int = 90) -> DataFrame:
+    """Today's row of each symbol with the TODAY features: the best fresh quote of the day in place of the bar that is not closed yet.
+
+    quotes as in first_available. A quote that is stale or impossible, or a feature that is missing, stops it.
+    """
+    from ..streaming import quotes as live
+    from . import features, guards
+
+    best = first_available(quotes, day).withColumn("last", col("price"))
+    guards.require_fresh(live.fresh(best, now, most_minutes))
+    rows = with_today(bars, best, day).join(best.select("symbol", F.lit(day).cast("date").alias("date"), col("price").alias("anchor")), ["symbol", "date"], "left")
+    made = features.today(rows.withColumn("anchor", F.coalesce("anchor", "close"))).where(col("date") == F.lit(day))
+    return guards.require_columns(made, names)
