@@ -93,7 +93,7 @@ class Ensemble:
 
 def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = 20_000,
-    trees: int = 20, depth: int = 4, lasso: float = 1e-3, seed: int = 7,
+    trees: int = 20, depth: int = 4, lasso: float = 5e-4, seed: int = 7,
 ) -> Ensemble:
     """Fit on labelled rows that are not held out."""
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key)))
