@@ -26,7 +26,8 @@ from . import calibration, features, guards, trust
 col = F.col
 #: The version of stored models; others are refused.
 FORMAT = 2
-THREADS = 4
+#: Fits side by side, and rows for each task of a fit: iterative fits pay for each task in every step.
+THREADS, TASK_ROWS = 8, 200_000
 
 
 def preparation(train: DataFrame, names: list[str], keys: list[str] = ["fold"], q: float = 0.001, slack: float = 0.25) -> DataFrame:
@@ -106,6 +107,10 @@ def sample_params(family: str, n: int, seed: int = 7) -> list[dict]:
     return [one() for _ in range(n)]
 
 
+def tasks_for(rows: DataFrame) -> int:
+    return max(1, -(-rows.count() // TASK_ROWS))
+
+
 def in_threads(spark: SparkSession, tasks: list) -> list:
     """The results of functions that run Spark jobs, a few of them side by side."""
     with ThreadPoolExecutor(THREADS) as pool:
@@ -191,10 +196,10 @@ def walk_forward(
     keep = ["symbol", "date", "fold", "part", "half", "block", "y_ret", "y_cls", "weight"]
     ready = (store or _kept)(prepared(parted, fitted, names).select(*keep, "x"))
     folds = sorted(r["fold"] for r in ready.select("fold").distinct().collect())
-    best = best or {}
+    best, few = best or {}, tasks_for(ready)
 
     def fit(fold: int, family: str):
-        train = ready.where((col("fold") == fold) & (col("part") == "core")).select("x", "y_cls", "weight").coalesce(THREADS)
+        train = ready.where((col("fold") == fold) & (col("part") == "core")).select("x", "y_cls", "weight").coalesce(few)
         return estimator(family, best.get(family, {}), len(names)).fit(train)
 
     jobs = [(fold, family) for fold in folds for family in families]
@@ -242,11 +247,11 @@ def search(rows: DataFrame, names: list[str], families: tuple[str, ...] = FAMILI
     fitted = preparation(train, names)
     ready = (store or _kept)(prepared(rows, fitted, names).select("symbol", "date", "fold", "role", "y_ret", "y_cls", "weight", "x"))
     folds = sorted(r["fold"] for r in ready.select("fold").distinct().collect())
-    settings = [(f, k, p) for f in families for k, p in enumerate(sample_params(f, trials, seed))]
+    settings, few = [(f, k, p) for f in families for k, p in enumerate(sample_params(f, trials, seed))], tasks_for(ready)
 
     def one(family: str, trial: int, params: dict, fold: int) -> DataFrame:
         own = ready.where(col("fold") == fold)
-        model = estimator(family, params, len(names), seed + trial).fit(own.where("role = 'train'").select("x", "y_cls", "weight").coalesce(THREADS))
+        model = estimator(family, params, len(names), seed + trial).fit(own.where("role = 'train'").select("x", "y_cls", "weight").coalesce(few))
         made = model.transform(own.where("role = 'test'")).select("symbol", "date", "fold", "y_ret", "y_cls", probability().alias("p"))
         return made.select(F.lit(family).alias("family"), F.lit(trial).alias("trial"), "fold", col("y_cls").alias("y"), "p", "y_ret")
 
@@ -449,11 +454,11 @@ def volatility_experiment(rows: DataFrame, names: list[str], alphas: tuple[float
     base = har_predict(parted, core, keys).withColumn("resid", col(y) - col("har"))
     fitted = preparation(parted.where("part = 'core'"), names)
     ready = (store or _kept)(prepared(base, fitted, names).select("symbol", "date", "fold", "part", "role", y, "har", "resid", "x"))
-    folds = sorted(r["fold"] for r in ready.select("fold").distinct().collect())
+    folds, few = sorted(r["fold"] for r in ready.select("fold").distinct().collect()), tasks_for(ready)
 
     def one(fold: int) -> DataFrame:
         own = ready.where(col("fold") == fold)
-        train = own.where((col("part") == "core") & col("resid").isNotNull()).select("x", col("resid").alias("label"))
+        train = own.where((col("part") == "core") & col("resid").isNotNull()).select("x", col("resid").alias("label")).coalesce(few)
         ridges = [LinearRegression(featuresCol="x", regParam=a, elasticNetParam=0.0, solver="normal").fit(train) for a in alphas]
         cal = own.where("part = 'cal' AND resid IS NOT NULL")
         loss = cal

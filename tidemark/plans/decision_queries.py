@@ -404,3 +404,6 @@ for horizon, price, ahead in (("open_next", "open", 1), ("close_next2", "close",
     register(f"labels_{horizon}", q.select([*DAY, "valid"], ["y_ret", "sigma", "y_norm"], built))(
         lambda s, d, horizon=horizon: shown(labels.build(src.daily(s, d), horizon), [*DAY, "valid"], ["y_ret", "sigma", "y_norm"])
     )
+AHEAD5 = "(PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)"
+HAR5 = f"{research.HAR}, h5 AS (SELECT symbol, date, har_d, har_w, har_m, CASE WHEN count(rv) OVER {AHEAD5} = 5 THEN ln(sqrt(avg(rv * rv) OVER {AHEAD5})) END AS log_rv_next FROM s3)"
+register("har_design_5", q.select(DAY, research.HARS, (HAR5, "h5")))(lambda s, d: shown(trust.har(src.daily(s, d), 5), DAY, research.HARS))
