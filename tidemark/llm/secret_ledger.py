@@ -213,7 +213,7 @@ def mask(docs: DataFrame, rules=RULES, text: str = "text", ledger: Ledger | None
     """
     blob, spans = common.free_name(docs, "blob"), common.free_name(docs, "spans")
     open_ = F.coalesce(reduce(or_, [_gate(r, F.col(text)) for r in rules]), F.lit(False))
-    likely = docs.where(open_)
+    likely = common.stored(docs.where(open_))  # few rows; read twice below
     rows = likely.select(F.lit(None).cast("int").alias("path"), blob_id(F.col(text)).alias("blob"), F.col(text).alias("text"))
     found = common.cut(_hits(update(rows, ledger, rules), rules))
     hot = common.hot_keys(found, "blob", "copies").select(F.col("blob").alias(blob))
