@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from . import (
     cgk_decontam,
     common,
+    divergence,
+    hard_negatives,
     license_scan,
     pfp_dedup,
     quality_rules,
@@ -109,6 +111,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(common.table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is moved on by one, anchors are every hundredth row; both are the query's own rules."""
+    relabel = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.quantised(common.table(spark, sf_dir, "embeddings"), relabel=relabel)
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
 OP10_SQL = """
 WITH parts AS (
   SELECT page_id,
@@ -130,6 +143,54 @@ FROM split LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts
 GROUP BY page_id, host, path
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT id, lang, source,
+         translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+totals AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+whole AS (SELECT lang, sum(total) AS total FROM totals GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (t.total + 5 * v.v)::HUGEINT AS p
+  FROM g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang JOIN totals t ON t.lang = g.lang AND t.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (any_value(whole.total) + 5 * any_value(v.v))::HUGEINT AS q
+  FROM c JOIN whole USING (lang) JOIN v USING (lang) GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(any_value(f.value), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) f
+  ON f.lang = a.lang AND f.source = a.source AND f.item = b.source GROUP BY a.lang, a.source, b.source),
+terms AS (SELECT p.lang, p.source, p.term AS item, p.p - q.q AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q),
+both_parts AS (
+  SELECT *, 'pair' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL BY NAME
+  SELECT *, 'term' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms QUALIFY rank <= 50)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM both_parts
+"""
+
+OP13_SQL = """
+WITH e AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.id AS anchor, a.label = b.label AS same, b.id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id),
+pos AS (SELECT anchor, id AS positive_id, score AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5)
+SELECT anchor AS anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, ps AS positive_score, score AS negative_score
+FROM pos JOIN s USING (anchor) WHERE NOT same AND 30 * ps <= 100 * score AND 100 * score <= 90 * ps
+QUALIFY rank <= 10
+"""
+
 QUERIES = {
     "op1_rule_ensemble": op1_rule_ensemble,
     "op2_ring_sharding": op2_ring_sharding,
@@ -141,5 +202,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_url_filter": op10_url_filter,
+    "op11_source_divergence": op11_source_divergence,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLE_SQL = {"op10_url_filter": OP10_SQL}
+ORACLE_SQL = {"op10_url_filter": OP10_SQL, "op11_source_divergence": OP11_SQL, "op13_hard_negatives": OP13_SQL}
