@@ -15,6 +15,7 @@ from . import (
     divergence,
     hard_negatives,
     license_scan,
+    ngram_jaccard,
     pfp_dedup,
     quality_rules,
     ring_sharding,
@@ -115,6 +116,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(common.table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.groups(common.table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seventh label is moved on by one, anchors are every hundredth row; both are the query's own rules."""
     relabel = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -203,6 +208,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_url_filter": op10_url_filter,
     "op11_source_divergence": op11_source_divergence,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE_SQL = {"op10_url_filter": OP10_SQL, "op11_source_divergence": OP11_SQL, "op13_hard_negatives": OP13_SQL}
