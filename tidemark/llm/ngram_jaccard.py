@@ -22,7 +22,7 @@ A link left out in both rounds joins two sets that are connected already. Hot ke
 (HOT of them, which decide the order of shingles and how rows are dealt, never which links are found) and are dealt over
 many tasks; in round 2 a large bucket becomes cells of two stretches each.
 
-Equality of shingles is equality of 64-bit hashes: for a pair of sets of n elements the chance of any error is some n * n / 2**64.
+Equality of shingles is equality of 64-bit hashes (`word_hashes`): for a pair of sets of n elements the chance of any error is some n * n / 2**64.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are their own component; fewer
 words than three are one element; very long texts are read whole; repeated rows are one class and get a result each; a
@@ -41,50 +41,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, components
+from . import common, components, word_hashes
 
 WIDTH, PERCENT = 3, 90
 #: Shingles known as frequent; the least documents of a block that make one so; elements counted in one go.
-HOT, HOT_DOCS, HELD = 100_000, 8, 2_000_000
+HOT, HOT_DOCS, HELD = 400_000, 4, 2_000_000
 #: Sets up to this size are kept whole, so that the boundary can be put anywhere below.
 SMALL = 40
 #: Rows of a bucket that are compared with each other in round 1, and of a stretch in round 2.
 CHUNK = 1024
-SKETCH_BITS = (256, 2048)
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+SKETCH_BITS = (64, 2048)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 col = F.col
 
 
-class _Hashes(dict):
-    """XXH3 of words, remembered."""
+def _poly() -> word_hashes.Polynomial:
+    return word_hashes.Polynomial(12, lower=True)
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
-
-def shingles(text: str | None, known: dict[bytes, int]) -> np.ndarray:
-    """The sorted distinct hashes of one text's set."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def shingles(h: np.ndarray) -> np.ndarray:
+    """The sorted distinct hashes of a text's set, from the hashes of its words."""
     if not len(h):
         return h
     width = min(WIDTH, len(h))
     x = np.full(len(h) - width + 1, width, np.uint64)
     for k in range(width):
         x += h[k : len(h) - width + 1 + k] * _ODD[k]
-    return np.unique(_mixed(x))
+    x = np.sort(word_hashes.mixed(x))
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
 def need(a: int, b: int, percent: int = PERCENT) -> int:
@@ -115,7 +99,7 @@ def boundary_of(sizes: dict[int, tuple[int, float]], percent: int = PERCENT) ->
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, n): shingles in at least HOT_DOCS documents of a block of HELD elements."""
-    known, held, size = _Hashes(), [], 0
+    poly, held, size = _poly(), [], 0
 
     def found() -> pa.RecordBatch:
         h, n = np.unique(np.concatenate(held), return_counts=True)
@@ -123,8 +107,8 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["h", "n"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            held.append(shingles(text, known))
+        for words in word_hashes.by_text(batch.column(0), poly):
+            held.append(shingles(words))
             size += len(held[-1])
             if size >= HELD:
                 yield found()
@@ -167,11 +151,11 @@ def _described(order, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        known = _Hashes()
+        poly = _poly()
         for batch in batches:
             n, name, items, lists = [], [], [], []
-            for text in batch.column(2).to_pylist():
-                x = shingles(text, known)
+            for words in word_hashes.by_text(batch.column(2), poly):
+                x = shingles(words)
                 n.append(len(x))
                 name.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
                 x, often = order.value.sort(x)
@@ -194,7 +178,7 @@ def _keys(boundary: int, percent: int):
             whole = x.sum(dtype=np.uint64)
             for c in subset_sizes(n, percent):
                 gone = np.array(list(combinations(range(n), n - c)), np.int64).reshape(comb(n, c), n - c)
-                h = _mixed(whole - x[gone].sum(1, dtype=np.uint64) + np.uint64(c) * _ODD[0])
+                h = word_hashes.mixed(whole - x[gone].sum(1, dtype=np.uint64) + np.uint64(c) * _ODD[0])
                 yield h, np.full(len(h), -1, np.int32)
         if n > boundary or percent * (boundary + 1) <= 100 * n:
             k = prefix(n, percent)
@@ -204,53 +188,80 @@ def _keys(boundary: int, percent: int):
 
 
 def _rows(boundary: int, percent: int, order):
-    """(h, id) of the keys not known as frequent, and (null, id) where a class has one that is."""
+    """(h, n, id, pos) of the keys not known as frequent, and (null, .., id, ..) where a class has one that is."""
     keys = _keys(boundary, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, h, hot = [], [], []
-            for name, n, items in zip(*(c.to_pylist() for c in batch.columns)):
-                x = np.concatenate([k for k, _ in keys(n, items)])
-                often = order.value.lengths(x) > CHUNK
-                hot += [name] if often.any() else []
-                h.append(x[~often])
-                own.append(np.full(len(h[-1]), name, np.int64))
-            if h:
-                x, ids = np.concatenate(h).view(np.int64), np.concatenate(own)
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(ids)], names=["h", "id"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(hot), pa.int64()), pa.array(hot, pa.int64())], names=["h", "id"])
+            for s in range(0, batch.num_rows, 1000):
+                own, size, hot, h, pos = [], [], [], [], []
+                for name, n, items in zip(*(c.to_pylist() for c in batch.slice(s, 1000).columns)):
+                    x, at = (np.concatenate(p) for p in zip(*keys(n, items)))
+                    h.append(x)
+                    pos.append(at)
+                    own.append(np.full(len(x), name, np.int64))
+                    size.append(np.full(len(x), n, np.int32))
+                h, pos, own, size = (np.concatenate(c) for c in (h, pos, own, size))
+                often = order.value.lengths(h) > CHUNK
+                hot = np.unique(own[often])
+                kept = ~often
+                yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (h.view(np.int64), size, own, pos)], names=["h", "n", "id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(hot), pa.int64()), pa.nulls(len(hot), pa.int32()), pa.array(hot), pa.nulls(len(hot), pa.int32())], names=["h", "n", "id", "pos"])
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by h: ids of rows that share their h with another one."""
-    last, held = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        h, ids = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        same = h[1:] == h[:-1]
-        both = np.concatenate([[last is not None and last == h[0]], same]) | np.concatenate([same, [False]])
-        out = ids[both]
-        if last is not None and last == h[0] and held is not None:
-            out = np.concatenate([[held], out])
-        # The last row's own fate may depend on the next batch.
-        last, held = h[-1], None if both[-1] else ids[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(out).astype(np.int64))], names=["id"])
+#: Rows of one key that a task holds to find out which of them have a partner; a key of more keeps all its rows.
+WAITING = 20_000
+
+
+def _shared(percent: int):
+    """Rows come sorted by (h, n): (id, h) of those whose key another set of admissible size has too."""
+
+    def live(h, n, ids, pos) -> pa.RecordBatch:
+        bucket = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]])).astype(np.int64)
+        place = (bucket << 32) + n
+        low = np.searchsorted(place, (bucket << 32) + -(-percent * n // 100))
+        # The smallest partner of admissible size, which asks for the least; none below: the next row.
+        me = np.arange(len(h))
+        other = np.where(low < me, low, np.minimum(me + 1, len(h) - 1))
+        m = n[other]
+        fits = (other != me) & (bucket[other] == bucket) & (percent * m <= 100 * n) & (percent * n <= 100 * m)
+        common_least = -(-percent * (n + m) // (100 + percent))
+        fits &= (pos < 0) | (n - pos >= common_least)
+        return pa.RecordBatch.from_arrays([pa.array(ids[fits]), pa.array(h[fits])], names=["id", "h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            if held:
+                cols = [np.concatenate([a, b]) for a, b in zip(held, cols)]
+            last = int(np.searchsorted(cols[0] != cols[0][-1], False)) if cols[0][0] != cols[0][-1] else 0
+            if last:
+                yield live(*(c[:last] for c in cols))
+            held = [c[last:] for c in cols]
+            if len(held[0]) > WAITING:
+                yield pa.RecordBatch.from_arrays([pa.array(held[2][:-1]), pa.array(held[0][:-1])], names=["id", "h"])
+                held = [c[-1:] for c in held]
+        if held:
+            yield live(*held)
+
+    return run
 
 
 def _sketch(x: np.ndarray) -> np.ndarray:
-    bits = min(max(1 << int(1.5 * len(x)).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+    bits = min(max(1 << (len(x) // 2).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
     odd = np.bincount((x % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _Hashes()
+    poly = _poly()
     for batch in batches:
-        found = [shingles(t, known) for t in batch.column(1).to_pylist()]
+        found = [shingles(words) for words in word_hashes.by_text(batch.column(1), poly)]
         yield pa.RecordBatch.from_arrays([batch.column(0), _binary([_sketch(x) for x in found]), _binary(found)], names=["id", "sketch", "elements"])
 
 
@@ -260,9 +271,12 @@ def _exploded(boundary: int, percent: int, order):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, n, items, comp, sketch in zip(*(c.to_pylist() for c in batch.columns)):
+            for name, n, items, live, comp, sketch in zip(*(c.to_pylist() for c in batch.columns)):
                 h, pos = (np.concatenate(p) for p in zip(*keys(n, items)))
-                deal = np.maximum(1, -(-order.value.lengths(h) // CHUNK)).astype(np.int32)
+                often = order.value.lengths(h)
+                kept = (often > CHUNK) | np.isin(h, np.array(live, np.int64).view(np.uint64))
+                h, pos, often = h[kept], pos[kept], often[kept]
+                deal = np.maximum(1, -(-often // CHUNK)).astype(np.int32)
                 k = len(h)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), pa.array(deal), pa.array(np.full(k, name, np.int64)), pa.array(np.full(k, n, np.int32)), pa.array(pos), pa.array(np.full(k, comp, np.int64)), pa.array([sketch] * k, pa.binary())],
@@ -465,16 +479,17 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     sizes = {r["n"]: (r["sets"], r["lists"]) for r in classes.where(col("n") <= SMALL).groupBy("n").agg(F.count("*").alias("sets"), F.sum("lists").alias("lists")).collect()}
     boundary = boundary_of(sizes, percent)
 
-    narrow = classes.select("id", "n", "items").mapInArrow(_rows(boundary, percent, order), "h long, id long")
-    sure = narrow.where("h is null").select("id")
-    shared = narrow.where("h is not null").repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "id long")
-    involved = common.stored(shared.unionByName(sure).distinct())
-    asked = _sent(classes.join(involved, "id").select("id", col("rid").alias(rid)))
+    narrow = classes.select("id", "n", "items").mapInArrow(_rows(boundary, percent, order), "h long, n int, id long, pos int")
+    sure = narrow.where("h is null").select("id", "h")
+    shared = narrow.where("h is not null").repartition("h").sortWithinPartitions("h", "n").mapInArrow(_shared(percent), "id long, h long")
+    # A class has no more of them than keys of its own.
+    involved = common.stored(shared.unionByName(sure).groupBy("id").agg(F.collect_list("h").alias("live")))
+    asked = _sent(classes.join(involved.select("id"), "id").select("id", col("rid").alias(rid)))
     sets = common.stored(rows.join(asked, rid).select("id", text).mapInArrow(_sets, "id long, sketch binary, elements binary"))
-    members = common.stored(classes.select("id", "n", "items").join(sets.select("id", "sketch"), "id"))
+    members = common.stored(classes.select("id", "n", "items").join(involved, "id").join(sets.select("id", "sketch"), "id"))
 
     shape = "h long, deal int, id long, n int, pos int, comp long, sketch binary"
-    exploded = members.select("id", "n", "items", col("id").alias("comp"), "sketch").mapInArrow(_exploded(boundary, percent, order), shape)
+    exploded = members.select("id", "n", "items", "live", col("id").alias("comp"), "sketch").mapInArrow(_exploded(boundary, percent, order), shape)
     dealt = exploded.select("h", F.pmod(F.xxhash64("id"), col("deal")).cast("int").alias("x"), "deal", "id", "n", "pos", "comp", "sketch").repartition("h", "x").sortWithinPartitions("h", "x", "n")
     first = common.stored(dealt.mapInArrow(_first_round(boundary, percent), "kind int, a long, b long").distinct())
     tested = first.where("kind = 0").select("a", "b")
@@ -482,7 +497,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     comps = common.stored(_labelled(links))
 
     marked = first.where("kind = 1").select(col("a").alias("h"))
-    now = members.join(comps, "id", "left").select("id", "n", "items", F.coalesce("comp", "id").alias("comp"), F.lit(b"").alias("sketch"))
+    now = members.join(comps, "id", "left").select("id", "n", "items", "live", F.coalesce("comp", "id").alias("comp"), F.lit(b"").alias("sketch"))
     place = now.mapInArrow(_exploded(boundary, percent, order), shape).drop("sketch", "deal").join(marked, "h", "left_semi")
     open_keys = place.groupBy("h").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h", "m")
     open_keys = common.stored(open_keys)
