@@ -6,11 +6,13 @@ need(a, b) = ceil(percent * (a + b) / (100 + percent)) common elements.
 
 * Light sets, of `boundary` elements or fewer, enumerate their subsets of every size c = need(n, m) that a partner
   may ask for; two light sets link only if they have such a subset in common.
-* Heavy sets scan inverted lists. In one order of all shingles, frequent ones last, two sets that link share an element of their
+* Heavy sets scan inverted lists. In one order of all shingles, rare ones first, two sets that link share an element of their
   first n - ceil(percent * n / 100) + 1 ones, so lists hold those alone; light sets close to the boundary are in them too.
+  How rare a shingle is, is counted exactly for a fixed SLICE of all hashes; a set with enough elements of the slice that
+  no other set has fills its first ones with them, links with nothing and is done. Most sets are.
 * The boundary follows from the cost of both: subsets to be made against lengths of the lists to be read, size by size.
 
-Both ways give keys, and rows of one key are a bucket. Rows whose key nobody else has go. In a bucket, pairs are
+Both ways give keys, and rows of one key are a bucket. In a bucket, pairs are
 held against lossless bounds: sizes, places of the key in both orders, and parity sketches (each element flips one bit, so
 that sketches differ in no more bits than sets in elements). What survives is verified on whole sets, in two rounds,
 so that a family of n near copies costs some n verifications and not n squared:
@@ -46,11 +48,13 @@ from . import common, components, word_hashes
 WIDTH, PERCENT = 3, 90
 #: Shingles known as frequent; the least documents of a block that make one so; elements counted in one go.
 HOT, HOT_DOCS, HELD = 400_000, 4, 2_000_000
+#: Hashes below this one are counted exactly: a quarter.
+SLICE = np.uint64(1 << 62)
 #: Sets up to this size are kept whole, so that the boundary can be put anywhere below.
 SMALL = 40
 #: Rows of a bucket that are compared with each other in round 1, and of a stretch in round 2.
 CHUNK = 1024
-SKETCH_BITS = (64, 2048)
+SKETCH_BITS = (256, 2048)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 col = F.col
 
@@ -118,7 +122,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Order:
-    """The order of shingles: by hash, the frequent ones last, least frequent first."""
+    """What is known of frequent shingles."""
 
     def __init__(self, h: np.ndarray, n: np.ndarray):
         at = np.argsort(h)
@@ -131,11 +135,6 @@ class Order:
         at = np.minimum(np.searchsorted(self.h, x), len(self.h) - 1)
         return np.where(self.h[at] == x, self.n[at], 0)
 
-    def sort(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = self.lengths(x)
-        at = np.lexsort((x, n)) if n.any() else np.arange(len(x))
-        return x[at], n[at]
-
 
 def frequent(docs: DataFrame, text: str = "text") -> Order:
     """The HOT most frequent shingles of the corpus with their counts: a table of that bound for every task."""
@@ -147,113 +146,142 @@ def _binary(rows: list[np.ndarray]) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
 
-def _described(order, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
 
-        poly = _poly()
-        for batch in batches:
-            n, name, items, lists = [], [], [], []
-            for words in word_hashes.by_text(batch.column(2), poly):
-                x = shingles(words)
-                n.append(len(x))
-                name.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
-                x, often = order.value.sort(x)
-                k = prefix(len(x), percent) if len(x) else 0
-                items.append(x if len(x) <= SMALL else x[:k])
-                lists.append(float(np.maximum(often[:k], 1).sum()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(name, pa.binary()), _binary(items), pa.array(lists, pa.float64())],
-                names=["rid", "key", "n", "name", "items", "lists"])
+    poly = _poly()
+    for batch in batches:
+        found = [shingles(words) for words in word_hashes.by_text(batch.column(2), poly)]
+        names = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int32()), pa.array(names, pa.binary())], names=["rid", "key", "n", "name"])
 
-    return run
 
+def _in_slice(x: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Elements whose sets are counted; those of frequent keys are known to be shared."""
+    return (x < SLICE) & (often <= CHUNK)
 
-def _keys(boundary: int, percent: int):
-    """A class's keys and their places: subsets (place -1) and the first elements of its order."""
-
-    def of(n: int, items: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        x = np.frombuffer(items, np.uint64)
-        if n <= boundary:
-            whole = x.sum(dtype=np.uint64)
-            for c in subset_sizes(n, percent):
-                gone = np.array(list(combinations(range(n), n - c)), np.int64).reshape(comb(n, c), n - c)
-                h = word_hashes.mixed(whole - x[gone].sum(1, dtype=np.uint64) + np.uint64(c) * _ODD[0])
-                yield h, np.full(len(h), -1, np.int32)
-        if n > boundary or percent * (boundary + 1) <= 100 * n:
-            k = prefix(n, percent)
-            yield x[:k], np.arange(k, dtype=np.int32)
-
-    return of
 
+def _sliced(order, percent: int):
+    """(h, id, spare): a set's elements of the slice; it is done if no more than `spare` of them are shared.
 
-def _rows(boundary: int, percent: int, order):
-    """(h, n, id, pos) of the keys not known as frequent, and (null, .., id, ..) where a class has one that is."""
-    keys = _keys(boundary, percent)
+    Sets that have too few elements there whatever is shared come as (null, id, spare).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        poly = _poly()
         for batch in batches:
             for s in range(0, batch.num_rows, 1000):
-                own, size, hot, h, pos = [], [], [], [], []
-                for name, n, items in zip(*(c.to_pylist() for c in batch.slice(s, 1000).columns)):
-                    x, at = (np.concatenate(p) for p in zip(*keys(n, items)))
+                part = batch.slice(s, 1000)
+                h, ids, spare, sure = [], [], [], []
+                for name, words in zip(part.column(0).to_pylist(), word_hashes.by_text(part.column(1), poly)):
+                    x = shingles(words)
+                    k = prefix(len(x), percent)
+                    x = x[_in_slice(x, order.value.lengths(x))]
+                    if len(x) < k:
+                        sure.append(name)
                     h.append(x)
-                    pos.append(at)
-                    own.append(np.full(len(x), name, np.int64))
-                    size.append(np.full(len(x), n, np.int32))
-                h, pos, own, size = (np.concatenate(c) for c in (h, pos, own, size))
-                often = order.value.lengths(h) > CHUNK
-                hot = np.unique(own[often])
-                kept = ~often
-                yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (h.view(np.int64), size, own, pos)], names=["h", "n", "id", "pos"])
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(hot), pa.int64()), pa.nulls(len(hot), pa.int32()), pa.array(hot), pa.nulls(len(hot), pa.int32())], names=["h", "n", "id", "pos"])
+                    ids.append(np.full(len(x), name, np.int64))
+                    spare.append(np.full(len(x), len(x) - k, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ([x.view(np.int64) for x in h], ids, spare)], names=["h", "id", "spare"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(sure), pa.int64()), pa.array(sure, pa.int64()), pa.array([-1] * len(sure), pa.int32())], names=["h", "id", "spare"])
 
     return run
 
 
-#: Rows of one key that a task holds to find out which of them have a partner; a key of more keeps all its rows.
+#: Rows of one key that a task holds to count them; a key of more counts as WAITING.
 WAITING = 20_000
 
 
-def _shared(percent: int):
-    """Rows come sorted by (h, n): (id, h) of those whose key another set of admissible size has too."""
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by h: (id, h, n, spare) of those whose h several sets have, n of them."""
+
+    def counted(h, ids, spare, known=None) -> pa.RecordBatch:
+        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        n = np.repeat(np.diff(np.append(new, len(h))), np.diff(np.append(new, len(h)))) if known is None else np.full(len(h), known)
+        kept = n > 1
+        return pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (ids, h, n.astype(np.int32), spare.astype(np.int32))], names=["id", "h", "n", "spare"])
 
-    def live(h, n, ids, pos) -> pa.RecordBatch:
-        bucket = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]])).astype(np.int64)
-        place = (bucket << 32) + n
-        low = np.searchsorted(place, (bucket << 32) + -(-percent * n // 100))
-        # The smallest partner of admissible size, which asks for the least; none below: the next row.
-        me = np.arange(len(h))
-        other = np.where(low < me, low, np.minimum(me + 1, len(h) - 1))
-        m = n[other]
-        fits = (other != me) & (bucket[other] == bucket) & (percent * m <= 100 * n) & (percent * n <= 100 * m)
-        common_least = -(-percent * (n + m) // (100 + percent))
-        fits &= (pos < 0) | (n - pos >= common_least)
-        return pa.RecordBatch.from_arrays([pa.array(ids[fits]), pa.array(h[fits])], names=["id", "h"])
+    held, going = None, None
+    for batch in batches:
+        # Rows without a hash come first and pass through.
+        alone = batch.column(0).null_count
+        if alone:
+            yield pa.RecordBatch.from_arrays([batch.column(1)[:alone], batch.column(0)[:alone], pa.nulls(alone, pa.int32()), batch.column(2)[:alone]], names=["id", "h", "n", "spare"])
+        batch = batch.slice(alone)
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if going is not None:
+            k = int(np.argmin(cols[0] == going)) if (cols[0] != going).any() else len(cols[0])
+            if k:
+                yield counted(*(c[:k] for c in cols), known=WAITING)
+            cols = [c[k:] for c in cols]
+            if not len(cols[0]):
+                continue
+            going = None
+        if held is not None:
+            cols = [np.concatenate(c) for c in zip(held, cols)]
+        last = int(np.argmax(cols[0] == cols[0][-1]))
+        if last:
+            yield counted(*(c[:last] for c in cols))
+        held = [c[last:] for c in cols]
+        if len(held[0]) >= WAITING:
+            yield counted(*held, known=WAITING)
+            held, going = None, held[0][0]
+    if held is not None:
+        yield counted(*held)
+
+
+def _ordered(order, percent: int):
+    """A set's first elements, rare ones first (the whole set if small), which of them others may have, and how long their lists are.
+
+    Elements of the slice weigh as many as sets have them, others by the table of frequent ones, 2 at least.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-            if held:
-                cols = [np.concatenate([a, b]) for a, b in zip(held, cols)]
-            last = int(np.searchsorted(cols[0] != cols[0][-1], False)) if cols[0][0] != cols[0][-1] else 0
-            if last:
-                yield live(*(c[:last] for c in cols))
-            held = [c[last:] for c in cols]
-            if len(held[0]) > WAITING:
-                yield pa.RecordBatch.from_arrays([pa.array(held[2][:-1]), pa.array(held[0][:-1])], names=["id", "h"])
-                held = [c[-1:] for c in held]
-        if held:
-            yield live(*held)
+            out = [], [], [], []
+            for elements, live in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                x = np.frombuffer(elements, np.uint64)
+                often = order.value.lengths(x)
+                weight = np.where(_in_slice(x, often), 1, np.maximum(often, 2))
+                if live:
+                    weight[np.searchsorted(x, np.array([r["h"] for r in live], np.int64).view(np.uint64))] = [r["n"] for r in live]
+                at = np.lexsort((x, weight))
+                k = prefix(len(x), percent)
+                at = at if len(x) <= SMALL else at[:k]
+                out[0].append(len(x))
+                out[1].append(x[at])
+                out[2].append((weight[at] > 1).astype(np.uint8))
+                out[3].append(float(weight[at[:k]].sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int32()), _binary(out[1]), _binary(out[2]), pa.array(out[3], pa.float64())], names=["id", "n", "items", "live", "lists"])
 
     return run
 
 
+def _keys(boundary: int, percent: int):
+    """A class's keys and their places: subsets (place -1) and the first elements of its order that others may have."""
+
+    def of(n: int, items: bytes, live: bytes) -> tuple[np.ndarray, np.ndarray]:
+        x = np.frombuffer(items, np.uint64)
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))]
+        if n <= boundary:
+            whole = x.sum(dtype=np.uint64)
+            for c in subset_sizes(n, percent):
+                gone = np.array(list(combinations(range(n), n - c)), np.int64).reshape(comb(n, c), n - c)
+                h = word_hashes.mixed(whole - x[gone].sum(1, dtype=np.uint64) + np.uint64(c) * _ODD[0])
+                found.append((h, np.full(len(h), -1, np.int32)))
+        if n > boundary or percent * (boundary + 1) <= 100 * n:
+            at = np.flatnonzero(np.frombuffer(live, np.uint8)[: prefix(n, percent)]).astype(np.int32)
+            found.append((x[at], at))
+        h, pos = (np.concatenate(p) for p in zip(*found))
+        return h, pos
+
+    return of
+
+
 def _sketch(x: np.ndarray) -> np.ndarray:
-    bits = min(max(1 << (len(x) // 2).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+    bits = min(max(1 << len(x).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
     odd = np.bincount((x % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little")
 
@@ -272,11 +300,8 @@ def _exploded(boundary: int, percent: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, n, items, live, comp, sketch in zip(*(c.to_pylist() for c in batch.columns)):
-                h, pos = (np.concatenate(p) for p in zip(*keys(n, items)))
-                often = order.value.lengths(h)
-                kept = (often > CHUNK) | np.isin(h, np.array(live, np.int64).view(np.uint64))
-                h, pos, often = h[kept], pos[kept], often[kept]
-                deal = np.maximum(1, -(-often // CHUNK)).astype(np.int32)
+                h, pos = keys(n, items, live)
+                deal = np.maximum(1, -(-order.value.lengths(h) // CHUNK)).astype(np.int32)
                 k = len(h)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), pa.array(deal), pa.array(np.full(k, name, np.int64)), pa.array(np.full(k, n, np.int32)), pa.array(pos), pa.array(np.full(k, comp, np.int64)), pa.array([sketch] * k, pa.binary())],
@@ -473,20 +498,24 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     order = spark.sparkContext.broadcast(frequent(docs, text))
     kind = docs.schema[key].dataType.simpleString()
     given = rows.select(col(rid).alias("rid"), col(key).alias("key"), text)
-    described = common.stored(given.mapInArrow(_described(order, percent), f"rid string, key {kind}, n int, name binary, items binary, lists double"))
-    named = described.where("n > 0").groupBy("name").agg(F.min("rid").alias("rid"), F.min("key").alias("least"), F.first("n").alias("n"), F.first("items").alias("items"), F.first("lists").alias("lists"), F.count("*").alias("rows"))
+    described = common.stored(given.mapInArrow(_described, f"rid string, key {kind}, n int, name binary"))
+    named = described.where("n > 0").groupBy("name").agg(F.min("rid").alias("rid"), F.min("key").alias("least"), F.first("n").alias("n"), F.count("*").alias("rows"))
     classes = common.stored(named.withColumn("id", F.monotonically_increasing_id()))
-    sizes = {r["n"]: (r["sets"], r["lists"]) for r in classes.where(col("n") <= SMALL).groupBy("n").agg(F.count("*").alias("sets"), F.sum("lists").alias("lists")).collect()}
-    boundary = boundary_of(sizes, percent)
 
-    narrow = classes.select("id", "n", "items").mapInArrow(_rows(boundary, percent, order), "h long, n int, id long, pos int")
-    sure = narrow.where("h is null").select("id", "h")
-    shared = narrow.where("h is not null").repartition("h").sortWithinPartitions("h", "n").mapInArrow(_shared(percent), "id long, h long")
-    # A class has no more of them than keys of its own.
-    involved = common.stored(shared.unionByName(sure).groupBy("id").agg(F.collect_list("h").alias("live")))
-    asked = _sent(classes.join(involved.select("id"), "id").select("id", col("rid").alias(rid)))
-    sets = common.stored(rows.join(asked, rid).select("id", text).mapInArrow(_sets, "id long, sketch binary, elements binary"))
-    members = common.stored(classes.select("id", "n", "items").join(involved, "id").join(sets.select("id", "sketch"), "id"))
+    one_each = lambda of: rows.join(_sent(of.select("id", col("rid").alias(rid))), rid).select("id", text)
+    sliced = one_each(classes).mapInArrow(_sliced(order, percent), "h long, id long, spare int")
+    # Rows without a hash are dealt by their id and pass through.
+    met = sliced.repartition(F.coalesce("h", F.xxhash64("id"))).sortWithinPartitions("h")
+    shared = common.stored(met.mapInArrow(_shared, "id long, h long, n int, spare int"))
+    few_alone = shared.groupBy("id").agg(F.count("h").alias("n"), F.min("spare").alias("spare")).where(col("n") > col("spare")).select("id")
+    involved = common.stored(few_alone)
+    sets = common.stored(one_each(classes.join(involved, "id")).mapInArrow(_sets, "id long, sketch binary, elements binary"))
+    # No more of them than a set has elements.
+    lists = shared.where("h is not null").join(_sent(involved), "id").groupBy("id").agg(F.collect_list(F.struct("h", "n")).alias("live"))
+    ordered = common.stored(sets.join(lists, "id", "left").select("id", "elements", "live").mapInArrow(_ordered(order, percent), "id long, n int, items binary, live binary, lists double"))
+    sizes = {r["n"]: (r["sets"], r["lists"]) for r in ordered.where(col("n") <= SMALL).groupBy("n").agg(F.count("*").alias("sets"), F.sum("lists").alias("lists")).collect()}
+    boundary = boundary_of(sizes, percent)
+    members = common.stored(ordered.drop("lists").join(sets.select("id", "sketch"), "id"))
 
     shape = "h long, deal int, id long, n int, pos int, comp long, sketch binary"
     exploded = members.select("id", "n", "items", "live", col("id").alias("comp"), "sketch").mapInArrow(_exploded(boundary, percent, order), shape)
