@@ -539,7 +539,12 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
         more = more.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
         added = common.stored(verified(more, sets, percent))
         if not added.isEmpty():
-            comps = common.stored(_labelled(links.unionByName(added)))
+            # Components of components: what is linked already counts as one node.
+            of = lambda c, name: comps.select(col("id").alias(c), col("comp").alias(name))
+            between = added.join(of("a", "u"), "a", "left").join(of("b", "v"), "b", "left").select(F.coalesce("u", "a").alias("a"), F.coalesce("v", "b").alias("b"))
+            joined = common.stored(_labelled(between).select(col("id").alias("comp"), col("comp").alias("root")))
+            everyone = comps.unionByName(joined.select(col("comp").alias("id"), "comp").join(comps, "id", "left_anti"))
+            comps = common.stored(everyone.join(joined, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")))
 
     labelled = common.stored(classes.select("name", "id", "least", "rows").join(comps, "id", "left").select("name", "rows", "least", F.coalesce("comp", "id").alias("comp")))
     least = common.stored(labelled.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
