@@ -184,7 +184,7 @@ def test_har_finds_planted_coefficients(spark):
     r = models.har_ols(df).first()
     assert [r[c] for c in ("const", "day", "week", "month")] == pytest.approx([0.5, 0.4, 0.3, -0.2])
     lacking = df.limit(3).withColumn("har_d", F.lit(None).cast("double"))
-    made = models.har_predict(df.unionByName(lacking), models.har_ols(df))
+    made = models.har_predict(df.unionByName(lacking), models.har_ols(df), df)
     assert made.where("har IS NULL").count() == 0 and made.count() == 203
 
 

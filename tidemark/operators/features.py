@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import sketches
 from ..functions import windows as w
 from ..sources import bars as src
 
@@ -168,7 +169,8 @@ def sequences(rows: DataFrame, names: list[str], length: int = 20) -> DataFrame:
 
 def winsorised(rows: DataFrame, names: list[str], sigmas: float = 6.0) -> DataFrame:
     """Values within `sigmas` population deviations of the median of their column; nulls stay."""
-    stats = rows.agg(*[F.struct(F.median(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in names]).first()
+    made = rows.agg(*[sketches.sketch(c, sketches.FINE).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names])
+    stats = made.select(*[F.struct(sketches.quantile(col(f"m_{c}"), 0.5).alias("m"), col(f"s_{c}").alias("s")).alias(c) for c in names]).first()
     bound = lambda c: w.clip(col(c), stats[c]["m"] - sigmas * stats[c]["s"], stats[c]["m"] + sigmas * stats[c]["s"])
     return rows.withColumns({c: bound(c) for c in names if stats[c]["m"] is not None})
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import sketches
 from ..functions import windows as w
 from . import calibration, features, guards, trust
 
@@ -36,7 +37,9 @@ def preparation(train: DataFrame, names: list[str], keys: list[str] = ["fold"],
     mid fills gaps; lo and hi are the outer quantiles with `slack` of their distance added; mean and sd are of the
     filled and clipped values.
     """
-    ends = train.groupBy(*keys).agg(*[F.percentile(c, F.array(F.lit(q), F.lit(0.5), F.lit(1 - q))).alias(f"__{c}") for c in names])
+    # Sketches, so that no task holds a fold's values; materialised once before three quantiles are read off each.
+    ends = train.groupBy(*keys).agg(*[sketches.sketch(c).alias(f"__{c}") for c in names])
+    ends = ends.select(*keys, *[sketches.quantiles(col(f"__{c}"), [q, 0.5, 1 - q]).alias(f"__{c}") for c in names])
     bound = lambda c: F.struct(
         F.coalesce(F.get(f"__{c}", F.lit(1)), F.lit(0.0)).alias("mid"), F.coalesce(F.get(f"__{c}", F.lit(0)) - slack * (F.get(f"__{c}", F.lit(2)) - F.get(f"__{c}", F.lit(0))), F.lit(0.0)).alias("lo"),
         F.coalesce(F.get(f"__{c}", F.lit(2)) + slack * (F.get(f"__{c}", F.lit(2)) - F.get(f"__{c}", F.lit(0))), F.lit(0.0)).alias("hi"),
@@ -61,9 +64,9 @@ def prepared(rows: DataFrame, fitted: DataFrame, names: list[str], keys: list[st
 
 def normal_scores(rows: DataFrame, names: list[str], keys: list[str] = ["fold"], train: Column | None = None, cuts: int = 101) -> DataFrame:
     """rows with each feature as the normal score of its place among the training rows' quantiles (the quantile scaler)."""
-    at = F.array(*[F.lit(k / (cuts - 1)) for k in range(cuts)])
     own = rows if train is None else rows.where(train)
-    table = own.groupBy(*keys).agg(*[F.percentile(c, at).alias(f"__q_{c}") for c in names])
+    table = own.groupBy(*keys).agg(*[sketches.sketch(c).alias(f"__q_{c}") for c in names])
+    table = table.select(*keys, *[sketches.quantiles(col(f"__q_{c}"), [k / (cuts - 1) for k in range(cuts)]).alias(f"__q_{c}") for c in names])
     joined = rows.join(F.broadcast(table), keys)  # `cuts` values for each fold and feature
     place = lambda c: F.size(F.filter(f"__q_{c}", lambda v: v <= col(c))) / float(cuts)
     u = lambda c: F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), place(c)))
@@ -411,16 +414,19 @@ def har_ols(rows: DataFrame, y: str = "log_rv_next", xs: tuple[str, ...] = ("har
     made = live.groupBy(*keys).agg(
         *[F.sum(a * b).alias(f"g{i}_{j}") for i, a in enumerate(terms) for j, b in enumerate(terms)], *[F.sum(a * col(y)).alias(f"g{i}_{k}") for i, a in enumerate(terms)]
     )
+    # One array column for each equation: the elimination stays small code, however many terms there are.
+    made = made.select(*keys, *[F.array(*[f"g{i}_{j}" for j in range(k + 1)]).alias(f"r{i}") for i in range(k)])
     for p in range(k):
-        pivot = F.when(F.abs(f"g{p}_{p}") > 1e-12, col(f"g{p}_{p}"))
-        lead = {j: col(f"g{p}_{j}") / pivot for j in range(k + 1)}
-        made = made.select(*keys, *[(lead[j] if i == p else col(f"g{i}_{j}") - col(f"g{i}_{p}") * lead[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k + 1)])
-    return made.select(*keys, *[col(f"g{i}_{k}").alias(n) for i, n in enumerate(names)])
+        pivot = F.get(f"r{p}", F.lit(p))
+        lead = F.transform(f"r{p}", lambda v: v / F.when(F.abs(pivot) > 1e-12, pivot))
+        made = made.withColumn(f"r{p}", lead)
+        made = made.select(*keys, *[col(f"r{i}") if i == p else F.zip_with(f"r{i}", f"r{p}", lambda a, b: a - b * F.get(f"r{i}", F.lit(p))).alias(f"r{i}") for i in range(k)])
+    return made.select(*keys, *[F.get(f"r{i}", F.lit(k)).alias(n) for i, n in enumerate(names)])
 
 
-def har_predict(rows: DataFrame, coefficients: DataFrame, keys: list[str] = ["symbol"], xs: tuple[str, ...] = ("har_d", "har_w", "har_m")) -> DataFrame:
-    """rows plus har: the regression's forecast; a missing input is its group's median over the rows given."""
-    mids = rows.groupBy(*keys).agg(*[F.median(x).alias(f"__{x}") for x in xs])
+def har_predict(rows: DataFrame, coefficients: DataFrame, train: DataFrame, keys: list[str] = ["symbol"], xs: tuple[str, ...] = ("har_d", "har_w", "har_m")) -> DataFrame:
+    """rows plus har: the regression's forecast; a missing input is its group's median over the training rows, so that no later row is seen."""
+    mids = train.groupBy(*keys).agg(*[sketches.sketch(x).alias(f"__{x}") for x in xs]).select(*keys, *[sketches.quantile(col(f"__{x}"), 0.5).alias(f"__{x}") for x in xs])
     joined = rows.join(mids, keys).join(coefficients, keys)
     fill = lambda x: F.coalesce(col(x), col(f"__{x}"))
     made = joined.withColumn("har", col("const") + sum((col(c) * fill(x) for c, x in zip(("day", "week", "month"), xs)), F.lit(0.0)))
@@ -442,7 +448,7 @@ def corrected(har: Column, forecast: Column, shrink: Column, most: float = 0.5)
 
 
 def volatility_experiment(rows: DataFrame, names: list[str], alphas: tuple[float, ...] = (0.01, 0.1, 1.0), purge: int = 2, store=None) -> DataFrame:
-    """(symbol, date, fold, y, har, ml): forecasts of log volatility on every test row, by HAR alone and with a residual model.
+    """(symbol, date, fold, y, har, ml, mu): forecasts of log volatility on every test row, by HAR alone, with a residual model, and by the training mean.
 
     rows carry trust.har's columns, fold and role. HAR is fitted by symbol and fold on core rows and refitted on all train rows
     for use; what it leaves is fitted by ridge (the alpha that does best on cal rows) and boosted trees, for all symbols
@@ -450,9 +456,10 @@ def volatility_experiment(rows: DataFrame, names: list[str], alphas: tuple[float
     """
     keys, y = ["symbol", "fold"], "log_rv_next"
     parted = (store or _kept)(roles(rows.where(col(y).isNotNull()), purge))
-    core = har_ols(parted.where("part = 'core'"), keys=keys)
-    base = har_predict(parted, core, keys).withColumn("resid", col(y) - col("har"))
-    fitted = preparation(parted.where("part = 'core'"), names)
+    within = parted.where("part = 'core'")
+    core = har_ols(within, keys=keys)
+    base = har_predict(parted, core, within, keys).withColumn("resid", col(y) - col("har"))
+    fitted = preparation(within, names)
     ready = (store or _kept)(prepared(base, fitted, names).select("symbol", "date", "fold", "part", "role", y, "har", "resid", "x"))
     folds, few = sorted(r["fold"] for r in ready.select("fold").distinct().collect()), tasks_for(ready)
 
@@ -475,6 +482,8 @@ def volatility_experiment(rows: DataFrame, names: list[str], alphas: tuple[float
         made = part if made is None else made.unionByName(part)
     made = (store or _kept)(made)
     weight = shrinkage(made.where("part = 'cal'"), "resid", "guess", keys)
-    final = har_predict(parted.where("part = 'test'"), har_ols(parted.where("role = 'train'"), keys=keys), keys).select("symbol", "date", "fold", y, col("har"))
+    train = parted.where("role = 'train'")
+    mean = train.groupBy(*keys).agg(F.avg(y).alias("mu"))
+    final = har_predict(parted.where("part = 'test'"), har_ols(train, keys=keys), train, keys).join(mean, keys).select("symbol", "date", "fold", y, "har", "mu")
     out = final.join(made.where("part = 'test'").select("symbol", "date", "fold", "guess"), ["symbol", "date", "fold"]).join(weight, keys)
-    return out.select("symbol", "date", "fold", col(y).alias("y"), "har", corrected(col("har"), col("guess"), col("shrink")).alias("ml"))
+    return out.select("symbol", "date", "fold", col(y).alias("y"), "har", "mu", corrected(col("har"), col("guess"), col("shrink")).alias("ml"))

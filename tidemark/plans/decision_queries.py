@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
 from ..functions import windows as w
-from ..operators import backtest, blocks, calibration, features, guards, labels, models, trust, verdicts
+from ..operators import backtest, blocks, calibration, features, guards, labels, models, quantiles, trust, verdicts
 from ..sources import bars as src
 from . import price_queries
 from . import research_queries as research
@@ -172,7 +172,7 @@ def har_walk_forward(spark, sf_dir):
     rows, keys = har_folds(spark, sf_dir), ["symbol", "fold"]
     train, test = rows.where("role = 'train'"), rows.where("role = 'test'")
     mean = train.groupBy(*keys).agg(F.avg("log_rv_next").alias("mu"))
-    made = models.har_predict(test, models.har_ols(train, keys=keys), keys).join(mean, keys)
+    made = models.har_predict(test, models.har_ols(train, keys=keys), train, keys).join(mean, keys)
     scores = trust.forecast_scores(made, "log_rv_next", "har", "mu", keys).withColumnRenamed("r2_oos", "r2_mean")
     return shown(scores, [*keys, "n"], ["r2_mean", "qlike"], 4)
 
@@ -183,7 +183,7 @@ def volatility_experiment(spark, sf_dir):
     bars = src.daily(spark, sf_dir)
     base = features.shift_base(ind.volatility(bars).select(*DAY, "rvol_5", "rvol_21", "pvol_21"), ["rvol_5", "rvol_21", "pvol_21"])
     rows = har_folds(spark, sf_dir).join(base, DAY)
-    made = models.volatility_experiment(rows, ["rvol_5", "rvol_21", "pvol_21"]).withColumn("mu", F.avg("y").over(w.Window.partitionBy("symbol")))
+    made = models.volatility_experiment(rows, ["rvol_5", "rvol_21", "pvol_21"])
     by_fold = trust.forecast_scores(made, "y", "ml", "har", ["symbol", "fold"]).groupBy("symbol").agg(F.avg((col("r2_oos") > 0).cast("double")).alias("share_better"))
     gain = trust.forecast_scores(made, "y", "ml", "har", ["symbol"]).select("symbol", "n", col("r2_oos").alias("r2_har"), "qlike", col("qlike_benchmark").alias("qlike_har"), "mz_beta")
     mean = trust.forecast_scores(made, "y", "ml", "mu", ["symbol"]).select("symbol", col("r2_oos").alias("r2_mean"))
@@ -193,6 +193,42 @@ def volatility_experiment(spark, sf_dir):
     return verdicts.decide(figures, verdicts.volatility_checks(), 1).drop("checks")
 
 
+STEPS = 12
+QROWS = q.staged(
+    {"ret": q.change("close"), "nxt": f"lead(close) OVER {q.SERIES}", "rn": f"row_number() OVER {q.SERIES} - 1", "rows": "count(*) OVER (PARTITION BY symbol)"},
+    {"y": f"{q.ratio('nxt', 'close')} - 1", "sd": q.deviation("ret", 21, 10, 1)}, {"raw": "CASE WHEN sd IS NOT NULL THEN greatest(sd, 1e-4) END"},
+    {"x": "last_value(raw IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)", "p": "CASE WHEN ret > 0 THEN 0.6 ELSE 0.4 END"},
+)
+QFOLDS = f"""{QROWS[0]}, qk AS (SELECT *, CAST(f AS INTEGER) AS fold, (rows - 500) // 8 AS size FROM {QROWS[1]}, range(8) r(f) WHERE y IS NOT NULL AND x IS NOT NULL AND rows >= 508),
+tr AS (SELECT * FROM qk WHERE rn < 500 + fold * size - 7), te AS (SELECT * FROM qk WHERE rn >= 500 + fold * size AND rn < CASE WHEN fold = 7 THEN rows ELSE 500 + (fold + 1) * size END),
+b0 AS (SELECT symbol, fold, l, 0.01 * avg(abs(y)) AS e, 0.0 AS c, 0.0 AS d FROM tr, (VALUES (0.1), (0.5), (0.9)) v(l) GROUP BY ALL), """ + ", ".join(
+    f"""b{k} AS MATERIALIZED (SELECT symbol, fold, l, e, (g * hxx - gx * hx) / (h * hxx - hx * hx) AS c, (h * gx - hx * g) / (h * hxx - hx * hx) AS d FROM (
+SELECT symbol, fold, l, e, sum(v) AS h, sum(v * x) AS hx, sum(v * x * x) AS hxx, sum(v * y + 2 * l - 1) AS g, sum((v * y + 2 * l - 1) * x) AS gx
+FROM (SELECT *, 1 / (e + abs(y - c - d * x)) AS v FROM tr JOIN b{k - 1} USING (symbol, fold)) GROUP BY ALL))"""
+    for k in range(1, STEPS + 1)
+) + f""", qs AS (SELECT te.symbol, te.date, te.fold, any_value(y) AS y, any_value(x) AS x, any_value(p) AS p, list_sort(list(c + d * x)) AS qs FROM te JOIN b{STEPS} USING (symbol, fold) GROUP BY 1, 2, 3),
+o AS (SELECT symbol, fold, count(*) AS n, avg(CAST(y BETWEEN qs[1] AND qs[3] AS DOUBLE)) AS coverage, avg(qs[3] - qs[1]) AS width,
+  avg(greatest(0.5 * (y - qs[2]), -0.5 * (y - qs[2]))) AS loss_q50, avg(CAST(sign(p - 0.5) <> sign(qs[2]) AS DOUBLE)) AS gated,
+  avg(abs(greatest(-1.0, least(1.0, qs[2] / greatest(x * x, 1e-8) * 0.25)))) AS kelly FROM qs GROUP BY 1, 2)"""
+QSHOWN = ["coverage", "width", "loss_q50", "gated", "kelly"]
+
+
+@register("quantile_forecasts", q.select(["symbol", "fold", "n"], QSHOWN, (QFOLDS, "o"), 5))
+def quantile_forecasts(spark, sf_dir):
+    """Forecast quantiles of the next return by symbol and fold: coverage of P10 to P90, loss of the median, the share of positions that the
+    median takes away, and what Kelly sizing makes of it. Test rows only; fitted on each fold's training rows."""
+    keys = ["symbol", "fold"]
+    daily = labels.build(src.daily(spark, sf_dir))
+    rows = labels.membership(daily.withColumn("p", F.when(w.change(col("close")) > 0, 0.6).otherwise(0.4)), labels.splits(daily))
+    rows = models._kept(rows.where("y_ret IS NOT NULL AND sigma IS NOT NULL").select("symbol", "date", "fold", "role", "y_ret", "sigma", "p"))
+    fitted = quantiles.fit(rows.where("role = 'train'"), ["sigma"], keys, rounds=STEPS, tolerance=0.0)
+    made = quantiles.forecasts(rows.where("role = 'test'"), fitted, ["sigma"], keys)
+    before = backtest.position(col("p"))
+    made = made.withColumns({"gated": ((before != 0) & (backtest.coherent(before, col("q50")) == 0)).cast("double"), "kelly": F.abs(backtest.position(col("p"), "kelly", expected=col("q50"), sigma=col("sigma")))})
+    more = made.groupBy(*keys).agg(F.avg("gated").alias("gated"), F.avg("kelly").alias("kelly"))
+    return shown(quantiles.quality(made, keys).join(more, keys), [*keys, "n"], QSHOWN, 5)
+
+
 @register("model_search")
 def model_search(spark, sf_dir):
     """Random settings of four families over two inner folds, with the best of each family marked."""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bars import keep_last
+
 BAR = "symbol string, date date, open double, high double, low double, close double, volume double"
 #: Provider spellings of the bar columns.
 SPELLINGS = {"adj close": "close", "adjclose": "close", "datetime": "date", "ticker": "symbol"}
@@ -84,12 +87,19 @@ def read_universe(spark: SparkSession, path: str) -> dict:
     return found
 
 
-def market(bars: DataFrame, symbols: list[str], context: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+def market(bars: DataFrame, symbols: list[str], context: list[str], order: str | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
     """(bars of the symbols, bars of the context series, context series without any bar): one scan by partition-prunable filters.
 
-    Bars of a day that come twice give way to the last read; a context series that is missing is named, not an error.
+    Of bars of one day the one with the highest `order` stays; without such a column, the last in the order of the files' paths and
+    of the rows in them, or, for a table that is not read from files, the largest by its columns. A context series that is
+    missing is named, not an error.
     """
-    one = bars.dropDuplicates(["symbol", "date"])
+    try:
+        latest = F.struct("_metadata.file_path", "_metadata.row_index") if order is None else F.col(order)
+        one = bars.withColumn("__order", latest)
+    except AnalysisException:
+        one = bars.withColumn("__order", F.struct(*[c for c in bars.columns if c not in ("symbol", "date")]))
+    one = keep_last(one, ["symbol", "date"], ["__order"]).drop("__order")
     own, other = one.where(F.col("symbol").isin(symbols)), one.where(F.col("symbol").isin(context))
     seen = {r["symbol"] for r in other.select("symbol").distinct().collect()}
     return own, other, sorted(set(context) - seen)
