@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .config import Config
 from .functions import indicators as ind
-from .operators import backtest, features, guards, labels, models, trust, verdicts
+from .operators import backtest, evidence, features, guards, labels, models, verdicts
 from .sources import files
 
 FEATURES = ["roc_1", "roc_5", "roc_21", "up_days_21", "rvol_21"]
@@ -36,19 +36,13 @@ def run(spark: SparkSession, bars: DataFrame, config: Config, out: str) -> DataF
     guards.require_no_leak(rows, FEATURES)
     parts = labels.splits(rows, folds=config.splits.folds, purge=config.splits.purge, embargo=config.splits.embargo, least_train=config.splits.least_train, anchored=config.splits.anchored)
     guards.require_no_overlap(parts, config.splits.purge)
-    scored, learned = models.walk_forward(labels.membership(rows, parts), FEATURES, config.models.families, purge=config.splits.purge, refit=True)
+    placed = models._kept(labels.membership(rows, parts))
+    scored, learned = models.walk_forward(placed, FEATURES, config.models.families, purge=config.splits.purge, refit=True)
     oos = models._kept(verdicts.keep_first(scored, ["symbol", "date"]))
     t = config.trading
     size = backtest.position(F.col("prob_up"), t.sizing, t.threshold, cap=t.most_position, least=t.least_position, leverage=t.leverage)
     trades = backtest.run(oos.withColumn("position", size), config.costs.one_way_bps)
-    hold = backtest.metrics(backtest.buy_and_hold(oos), ["symbol"]).select("symbol", F.col("sharpe").alias("hold_sharpe"))
-    area = trust.auc(oos.select("symbol", F.col("y_cls").alias("y"), F.col("prob_up").alias("p")), ["symbol"]).select("symbol", "auc")
-    steady = verdicts.fold_figures(trades, ["symbol", "fold"]).groupBy("symbol").agg(F.avg((F.col("sharpe") > 0).cast("double")).alias("share_positive"))
-    none = F.lit(None).cast("double")
-    figures = backtest.metrics(trades, ["symbol"]).join(hold, "symbol", "left").join(area, "symbol", "left").join(steady, "symbol", "left")
-    figures = figures.join(verdicts.base_rates(trades, ["symbol"]).select("symbol", "base_rate"), "symbol", "left")
-    figures = figures.join(trust.permutation_test(trades, config.trust.permutations).select("symbol", F.col("p_value").alias("p_sharpe")), "symbol", "left")
-    figures = figures.withColumns({c: none for c in ("pbo", "skill", "continuous_n", "continuous_sharpe", "stress_p05", "deflated")})
+    figures = evidence.figures(bars, placed, oos, trades, FEATURES, config.trust.permutations, config.costs.one_way_bps)
     judged = models._kept(verdicts.decide(figures, verdicts.trading_checks(config.trust.least_trades, config.trust.pbo_alarm, config.trust.dsr_alarm)))
     models.save(learned, spark, f"{out}/model")
     lines = [f"{r['symbol']}: {r['verdict']}, {r['n_failed']} of {r['n_critical']} critical checks failed" for r in judged.orderBy("symbol").collect()]
