@@ -15,14 +15,14 @@ from dataclasses import dataclass
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import sketches
 from ..functions import windows as w
-from . import calibration, features, guards, trust
+from . import calibration, features, guards, ridge, trust
 
 col = F.col
 #: The version of stored models; others are refused.
@@ -447,11 +447,11 @@ def corrected(har: Column, forecast: Column, shrink: Column, most: float = 0.5)
     return w.clip(har + F.coalesce(shrink * forecast, F.lit(0.0)), har - most, har + most)
 
 
-def volatility_experiment(rows: DataFrame, names: list[str], alphas: tuple[float, ...] = (0.01, 0.1, 1.0), purge: int = 2, store=None) -> DataFrame:
+def volatility_experiment(rows: DataFrame, names: list[str], alphas: tuple[float, ...] = ridge.ALPHAS, purge: int = 2, store=None) -> DataFrame:
     """(symbol, date, fold, y, har, ml, mu): forecasts of log volatility on every test row, by HAR alone, with a residual model, and by the training mean.
 
     rows carry trust.har's columns, fold and role. HAR is fitted by symbol and fold on core rows and refitted on all train rows
-    for use; what it leaves is fitted by ridge (the alpha that does best on cal rows) and boosted trees, for all symbols
+    for use; what it leaves is fitted by ridge (the penalty of 30 with the least cross-validation score) and boosted trees, for all symbols
     together; their mean is shrunk by what it is worth on cal rows, which it has not seen.
     """
     keys, y = ["symbol", "fold"], "log_rv_next"
@@ -463,19 +463,18 @@ def volatility_experiment(rows: DataFrame, names: list[str], alphas: tuple[float
     ready = (store or _kept)(prepared(base, fitted, names).select("symbol", "date", "fold", "part", "role", y, "har", "resid", "x"))
     folds, few = sorted(r["fold"] for r in ready.select("fold").distinct().collect()), tasks_for(ready)
 
+    # All folds and penalties from one aggregate.
+    xs = vector_to_array("x")
+    wide = ready.where("part = 'core'").select("fold", "resid", *[xs[k].alias(f"x{k}") for k in range(len(names))])
+    linear = ridge.paths(wide, [f"x{k}" for k in range(len(names))], ["fold"], "resid", alphas)
+
     def one(fold: int) -> DataFrame:
         own = ready.where(col("fold") == fold)
         train = own.where((col("part") == "core") & col("resid").isNotNull()).select("x", col("resid").alias("label")).coalesce(few)
-        ridges = [LinearRegression(featuresCol="x", regParam=a, elasticNetParam=0.0, solver="normal").fit(train) for a in alphas]
-        cal = own.where("part = 'cal' AND resid IS NOT NULL")
-        loss = cal
-        for k, m in enumerate(ridges):
-            loss = m.transform(loss).withColumnRenamed("prediction", f"__r{k}")
-        errors = loss.agg(*[F.avg(F.pow(col("resid") - col(f"__r{k}"), 2)).alias(f"e{k}") for k in range(len(ridges))]).first()
-        ridge = ridges[min(range(len(ridges)), key=lambda k: errors[f"e{k}"] if errors[f"e{k}"] is not None else float("inf"))]
         trees = GBTRegressor(featuresCol="x", maxIter=5, maxDepth=3, stepSize=0.1, minInstancesPerNode=20, seed=7 + fold).fit(train)
-        out = trees.transform(ridge.transform(own.where("part IN ('cal', 'test')")).withColumnRenamed("prediction", "__a")).withColumnRenamed("prediction", "__b")
-        return out.withColumn("guess", (col("__a") + col("__b")) / 2).drop("__a", "__b", "x")
+        out = trees.transform(own.where("part IN ('cal', 'test')")).withColumnRenamed("prediction", "__b")
+        out = out.withColumn("__a", ridge.predicted(xs, [col("fold")], {k: p for k, p in linear.items() if k == (fold,)}))
+        return out.withColumn("guess", (F.coalesce("__a", "__b") + col("__b")) / 2).drop("__a", "__b", "x")
 
     made = None
     for part in in_threads(rows.sparkSession, [lambda f=f: one(f) for f in folds]):
