@@ -1,4 +1,4 @@
-"""Exact removal of repeated 100-byte strings by prefix-free parsing.
+"""Removal of repeated 100-byte strings by prefix-free parsing.
 
 A document is parsed at triggers: a trigger is the place of the least rolling hash among the KGRAM-byte
 grams of some `length`-byte window (leftmost on ties), so every window holds a trigger of its own and
@@ -10,8 +10,9 @@ The dictionary is the table of distinct phrases with the first place of each. Ph
 one phrase only are settled: windows of a first phrase are new, windows of its copies are repeats. For
 triggers with several distinct phrases the dictionary's phrases, not the corpus, are opened into suffixes
 (windows): with at most FEW phrases a trigger's suffixes are sorted to depth `length` in one task, a suffix
-array in which equal neighbours give way to the first place; with more they are dealt out by content
-and aggregated, so no task gathers them. Copies, however many, cost a row for each stretch of text.
+array in which equal neighbours give way to the first place (a phrase has at most `length` - KGRAM + 1 windows, so an
+array has a bounded size, some 20 MB); with more they are dealt out by content and aggregated, so no task gathers
+them. Copies, however many, cost a row for each stretch of text.
 
 A trigger that many distinct phrases share (the edge of a passage that a large share of all documents hold) is known
 beforehand from a hint, and its phrases are dealt over many tasks; FEW and the hint decide how suffixes are dealt to
@@ -39,7 +40,7 @@ from pyspark.sql.window import Window
 
 from . import common
 
-LENGTH, KGRAM, FEW = 100, 28, 64
+LENGTH, KGRAM, FEW = 100, 28, 1024
 HINT, HOT_LEAST, HOT_SHARE, SALTS = 64, 16, 1000, 256
 _P = 0x100000001B3
 _POWERS: list[np.ndarray] = []
@@ -321,8 +322,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
             listed(F.col("n") <= FEW).alias("settled"), listed(F.col("n").between(2, FEW)).alias("few"), listed(F.col("n") > FEW).alias("many")
         )
     )
-    # Texts move once, compressed: both joins below read the same exchange by document.
-    rows = rows.where("doc IS NOT NULL").mapInArrow(_packed, "doc long, raw binary")
+    # Texts move once, compressed: all three joins below read the same exchange by document. The filter stands after the
+    # packing, where inner joins would put one of their own, so that the left join's plan is equal to theirs.
+    rows = rows.mapInArrow(_packed, "doc long, raw binary").where("doc IS NOT NULL")
     some = lambda c: rows.join(lists.where(F.size(c) > 0).select("doc", c), "doc").select("doc", "raw", c)
     opened = some("few").mapInArrow(_opened(length), OPENED).repartition("trigger").sortWithinPartitions("trigger")
     runs = opened.mapInArrow(_sorted_suffixes(length), "doc long, start int, stop int")
