@@ -229,6 +229,26 @@ def test_decontamination_at_full_damage(size):
     assert want == set(got) and max(got.values()) <= slack
 
 
+@pytest.mark.parametrize("size", [17, 18, 19, 20, 21, 24, 28, 29, 40, 59])
+@pytest.mark.parametrize("where", ["head", "tail", "spread", "anywhere"])
+def test_walks_alone_at_full_damage(size, where):
+    """Without segments, walks find nearly every passage with exactly the allowed edits, wherever they are."""
+    rng, slack = random.Random(size), size // 5
+    names = [[f"i{k}w{j}" if j % 3 else f"c{j}" for j in range(size)] for k in range(6)]
+    ready = cgk_decontam.Items([(k, " ".join(x)) for k, x in enumerate(names)], cgk_decontam.Plan())
+    ready.segments = {}
+    texts, want = [], set()
+    for k in range(120):
+        passage = list(names[k % 6])
+        at = {"head": range(slack), "tail": range(size - slack, size), "spread": [(j * size + size // 2) // slack for j in range(slack)], "anywhere": rng.sample(range(size), slack)}[where]
+        for j in sorted(at, reverse=True):
+            passage[j : j + 1] = [[f"x{j}"], [], [f"x{j}", passage[j]]][rng.randrange(3)]
+        texts.append(" ".join([f"n{j}" for j in range(30)] + passage + [f"m{j}" for j in range(30)]))
+        want.add((k, k % 6))
+    got = {(n, i) for n, i, _, _ in cgk_decontam.matches(ready, texts, cgk_decontam.LEAST)}
+    assert got <= want and len(got) >= 0.95 * len(want), len(got)
+
+
 def test_decontamination_of_common_words():
     """Items of words that most items share match as well."""
     words = [f"c{j}" for j in range(30)]

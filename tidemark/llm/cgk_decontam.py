@@ -6,17 +6,19 @@ near in edit distance give embeddings near in Hamming distance. An embedding of
 window's start alone as long as the walk stays inside it, so one walk serves windows of every item's
 size. Each of `walks` embeddings is sampled `samples` times at `coordinates` steps (bit sampling), and a
 window that shares a sample with an item is a candidate of that item. Items are also entered from inner
-starts (every `stride` words). Walks are a matter of chance and read only part of an item, so they miss
-some matches. So every item is also cut into one segment more than the edits it may hold: at least one
-segment is whole in any match, so equal segments lose no match, at the head or elsewhere, and candidates
-are complete. Candidates are verified exactly: the least edit distance, in words, between the item and any
+starts, up to their end (every word of items of up to SHORT words, every `stride` words of longer ones); a sample counts
+where the last word it reads is the item's own, so the windows of all starts together span the item. Walks are a
+matter of chance, so they miss some matches. So every item is also cut into one segment more than the edits it may
+hold: at least one segment is whole in any match, so equal segments lose no match, at the head or elsewhere, and
+candidates are complete. Candidates are verified exactly: the least edit distance, in words, between the item and any
 stretch of the document around the candidate place, must be at most (1 - least) of the item's words.
 
 Items go to the tasks in blocks of at most `block` items, so what is sent has a fixed bound; each block is
 one pass over the documents.
 
-Defined results: null or empty texts and items match nothing; repeated rows each get their rows; an empty
-table gives an empty result; extra columns are not read.
+Defined results: null or empty texts and items match nothing; very long texts are read whole, their stretches verified
+in blocks that overlap; of stretches at the same distance any gives the row, which carries the distance alone; repeated
+rows each get their rows; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from . import common
 
 LEAST = 0.8
 COMMON, RARE = 0.1, 2
+#: Items of up to so many words are entered at every word, as few of their windows are free of edits.
+SHORT = 28
 CHUNK_BYTES = 1 << 21
 #: Candidates made at a time; more of them wait, so that a segment of many items has a bound in memory.
 PAIRS = 1 << 19
@@ -91,10 +95,10 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return h * np.uint64(0xBF58476D1CE4E5B9) ^ (ends - starts).astype(np.uint64), starts
 
 
-def signatures(h: np.ndarray, starts: np.ndarray, plan: Plan, rare: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(sample number, signature of the window at each start, rare words among its samples).
+def signatures(h: np.ndarray, starts: np.ndarray, plan: Plan, rare: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(sample number, signature of the window at each start, rare words among its samples, last place sampled).
 
-    h ends with padding of over plan.steps words. rare marks words; without it the count is left out.
+    h ends with padding of over plan.steps words. rare marks words; without it counts and places are left out.
     """
     for walk, draws in enumerate(plan.draws()):
         at = starts.copy()
@@ -111,7 +115,7 @@ def signatures(h: np.ndarray, starts: np.ndarray, plan: Plan, rare: np.ndarray |
             coin = (word * np.uint64((0xD6E8FEB86659FD93 + 2 * (walk * 1000 + step) * 0x9E3779B97F4A7C15) & (1 << 64) - 1)) >> np.uint64(63)
             at += coin.astype(at.dtype)
         for k, s in enumerate(sums):
-            yield walk * plan.samples + k, s ^ (s >> np.uint64(31)), counts[k]
+            yield walk * plan.samples + k, s ^ (s >> np.uint64(31)), counts[k], seen[k]
 
 
 def grams(h: np.ndarray, m: int) -> np.ndarray:
@@ -184,12 +188,12 @@ class Items:
                 self.words.append(h)
         pad = np.zeros(plan.steps + 1, np.uint64)
         entry: list[tuple[int, int]] = []
-        flat, starts, at = [], [], 0
+        flat, starts, ends, at = [], [], [], 0
         for i, h in enumerate(self.words):
-            # The walk from an inner start must stay inside the item, or it reads words the document need not have.
-            for s in range(0, max(1, len(h) - plan.steps), plan.stride):
+            for s in range(0, len(h), 1 if len(h) <= SHORT else plan.stride):
                 entry.append((i, s))
                 starts.append(at + s)
+                ends.append(at + len(h))
             flat += [h, pad]
             at += len(h) + len(pad)
         self.entry = np.array(entry, np.int64).reshape(-1, 2)
@@ -201,10 +205,12 @@ class Items:
         if entry:
             joined = np.concatenate(flat)
             rare = ~np.isin(joined, self.common) & (joined != 0)
-            for _, sig, n in signatures(joined, np.array(starts, np.int64), plan, rare):
+            for _, sig, n, last in signatures(joined, np.array(starts, np.int64), plan, rare):
+                # A sample that reads past the item's end holds words the document need not have.
+                inside = last < np.array(ends, np.int64)
                 most = np.zeros(len(self.words), np.int64)
-                np.maximum.at(most, self.entry[:, 0], n)
-                kept = np.flatnonzero(n >= np.minimum(RARE, most[self.entry[:, 0]]))
+                np.maximum.at(most, self.entry[inside, 0], n[inside])
+                kept = np.flatnonzero(inside & (n >= np.minimum(RARE, most[self.entry[:, 0]])))
                 self.tables.append(Places(sig[kept], self.entry[kept, 0], self.entry[kept, 1]))
         # One segment more than the edits an item may hold: one is whole in any match.
         self.segments: dict[int, Places] = {}
@@ -252,7 +258,7 @@ class Items:
         """(text, item, first place, last place) rows: where in h the item would begin; begin: where each text does."""
         found = [np.zeros((0, 4), np.int64)]
         if self.tables:
-            for n, sig, _ in signatures(h, starts, self.plan):
+            for n, sig, *_ in signatures(h, starts, self.plan):
                 found += [self.plausible(h, rows) for rows in self.tables[n].rows(sig, starts, WIDE)]
         for m, places in self.segments.items():
             found += [self.plausible(h, rows) for rows in places.rows(grams(h, m)[starts], starts, WIDE)]
