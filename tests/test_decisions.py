@@ -13,7 +13,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from tidemark import cli
-from tidemark.operators import anchoring, backtest, blocks, calibration, guards, labels, models, trust, verdicts
+from tidemark.operators import anchoring, backtest, blocks, calibration, guards, labels, models, trust, tuning, verdicts
 from tidemark.sources import files
 from tidemark.streaming import clock, quotes
 
@@ -280,6 +280,32 @@ def test_command_line(spark, bars, tmp_path):
     assert files.stored_models(spark, str(tmp_path / "out")).collect() == [("model", "close")]
 
 
+def test_search_and_selection_feed_training(spark):
+    """The planted feature is chosen in every fold and a constant one in none; the winners are what the models were made with."""
+    rows = made_folds(spark, 1.0).withColumns({"flat": F.lit(1.0), "noise": F.pmod(F.xxhash64("symbol", "date"), F.lit(1000)) / 1000.0})
+    names = ["a", "b", "flat", "noise"]
+    out, found = tuning.tuned(rows, names, ("elastic_net", "forest"), trials=4, most=2, inner=2, refit=True)
+    out = out.persist()
+    assert out.count() == rows.where("role = 'test'").count() and out.where("prob_up IS NULL").count() == 0
+    picks = {k: {r["feature"] for r in found.picks.where(F.col("fold") == k).collect()} for k in (0, 1)}
+    assert all("a" in p and "flat" not in p and len(p) == 2 for p in picks.values())
+    trials = found.trials.collect()
+    assert len(trials) == 4 and set(found.best) == {"elastic_net", "forest"}
+    for family, params in found.best.items():
+        own = [r for r in trials if r["family"] == family and r["score"] is not None]
+        assert params == json.loads(max(own, key=lambda r: (r["score"], -r["trial"]))["params"])
+    for fold, chosen in picks.items():
+        weights = found.learned.models[fold, "elastic_net"].coefficients.toArray()
+        assert all(v == 0 for n, v in zip(names, weights) if n not in chosen)
+        assert found.learned.models[fold, "forest"].getNumTrees == found.best["forest"]["trees"]
+    assert trust.auc(out.select(F.col("y_cls").alias("y"), F.col("prob_up").alias("p"))).first()["auc"] > 0.7
+    # Inner folds hold rows of the first fold's training part alone.
+    last = rows.where("fold = 0 AND role = 'train'").agg(F.max("date")).first()[0]
+    assert tuning.inner_folds(rows, 2).agg(F.max("date")).first()[0] <= last
+    with pytest.raises(guards.DataIntegrityError, match="no trial"):
+        tuning.tuned(rows.withColumn("y_ret", F.lit(None).cast("double")), ["a"], ("elastic_net",), trials=1, inner=2)
+
+
 def test_universe_and_market(spark, bars, tmp_path):
     path = tmp_path / "u.json"
     path.write_text(json.dumps({"symbols": ["S"], "config": {}}))

@@ -4,7 +4,7 @@
     python -m tidemark.cli predict --bars BARS --models FOLDER --symbols A,B [--back 0]
     python -m tidemark.cli scan    --bars BARS --symbols A,B
 
-`run` trains on every fold, writes predictions, figures and the model; `predict` scores each symbol's last row with a stored
+`run` searches settings on inner folds, chooses features in each fold, trains on every fold, writes predictions, figures and the model; `predict` scores each symbol's last row with a stored
 model; `scan` reports what is wrong with the bars. Paths may lie in any store that Spark reads.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .config import Config
 from .functions import indicators as ind
-from .operators import backtest, evidence, features, guards, labels, models, verdicts
+from .operators import backtest, evidence, features, guards, labels, models, tuning, verdicts
 from .sources import files
 
 FEATURES = ["roc_1", "roc_5", "roc_21", "up_days_21", "rvol_21"]
@@ -30,23 +30,26 @@ def design(bars: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, bars: DataFrame, config: Config, out: str) -> DataFrame:
-    """Train, backtest and judge; the figures by symbol, with their verdict."""
+    """Search, select, train, backtest and judge; the figures by symbol, with their verdict."""
     guards.require_valid(bars, config.data.least_rows)
     rows = labels.weights(labels.build(design(bars), config.labels.horizon, max_gap=config.labels.max_gap).where("valid"), halflife=config.labels.halflife)
     guards.require_no_leak(rows, FEATURES)
     parts = labels.splits(rows, folds=config.splits.folds, purge=config.splits.purge, embargo=config.splits.embargo, least_train=config.splits.least_train, anchored=config.splits.anchored)
     guards.require_no_overlap(parts, config.splits.purge)
     placed = models._kept(labels.membership(rows, parts))
-    scored, learned = models.walk_forward(placed, FEATURES, config.models.families, purge=config.splits.purge, refit=True)
+    m, s = config.models, config.splits
+    scored, found = tuning.tuned(
+        placed, FEATURES, m.families, m.trials, m.most_features, purge=s.purge, embargo=s.embargo, seed=m.seed, threshold=config.trading.threshold, cost_bps=config.costs.one_way_bps, refit=True
+    )
     oos = models._kept(verdicts.keep_first(scored, ["symbol", "date"]))
     t = config.trading
     size = backtest.position(F.col("prob_up"), t.sizing, t.threshold, cap=t.most_position, least=t.least_position, leverage=t.leverage)
     trades = backtest.run(oos.withColumn("position", size), config.costs.one_way_bps)
     figures = evidence.figures(bars, placed, oos, trades, FEATURES, config.trust.permutations, config.costs.one_way_bps)
     judged = models._kept(verdicts.decide(figures, verdicts.trading_checks(config.trust.least_trades, config.trust.pbo_alarm, config.trust.dsr_alarm)))
-    models.save(learned, spark, f"{out}/model")
+    models.save(found.learned, spark, f"{out}/model")
     lines = [f"{r['symbol']}: {r['verdict']}, {r['n_failed']} of {r['n_critical']} critical checks failed" for r in judged.orderBy("symbol").collect()]
-    files.write_result(out, "run", trades.select("symbol", "date", "fold", "prob_up", "position", "y_ret", "net"), judged, [f"settings {config.fingerprint()}", *lines])
+    files.write_result(out, "run", trades.select("symbol", "date", "fold", "prob_up", "position", "y_ret", "net"), judged, [f"settings {config.fingerprint()}", *[f"{f}: {json.dumps(p, sort_keys=True)}" for f, p in sorted(found.best.items())], *lines])
     return judged
 
 

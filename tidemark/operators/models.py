@@ -183,7 +183,8 @@ class Trained:
 
 
 def walk_forward(
-    rows: DataFrame, names: list[str], families: tuple[str, ...] = FAMILIES, best: dict[str, dict] | None = None, purge: int = 2, store=None, refit: bool = False
+    rows: DataFrame, names: list[str], families: tuple[str, ...] = FAMILIES, best: dict[str, dict] | None = None, purge: int = 2, store=None, refit: bool = False,
+    fitted: DataFrame | None = None,
 ) -> tuple[DataFrame, Trained]:
     """(symbol, date, fold, y_ret, y_cls, prob_up) for every test row of every fold, and what was learned.
 
@@ -191,11 +192,12 @@ def walk_forward(
     family, fitted on its core rows; calibrators and stacking weights come from the rows kept for that; nothing
     of a fold's test rows is seen. refit: the last fold's models are fitted anew on all its train rows, for use.
     store: how the prepared rows are kept (a function of a table); by default a checkpoint or, without a folder for them, cache.
+    best: settings by family; fitted: the preparation of the core rows, where it is not the plain one (tuning.tuned gives both).
     """
     guards.require_columns(rows, [*names, "fold", "role", "y_ret", "y_cls", "weight"])
     parted = roles(rows, purge)
     core = parted.where("part = 'core'")
-    fitted = preparation(core, names)
+    fitted = preparation(core, names) if fitted is None else fitted
     keep = ["symbol", "date", "fold", "part", "half", "block", "y_ret", "y_cls", "weight"]
     ready = (store or _kept)(prepared(parted, fitted, names).select(*keep, "x"))
     folds = sorted(r["fold"] for r in ready.select("fold").distinct().collect())
@@ -241,13 +243,12 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def search(rows: DataFrame, names: list[str], families: tuple[str, ...] = FAMILIES, trials: int = 2, seed: int = 7, threshold: float = 0.55, cost_bps: float = 4.0, store=None) -> DataFrame:
+def search(rows: DataFrame, names: list[str], families: tuple[str, ...] = FAMILIES, trials: int = 2, seed: int = 7, threshold: float = 0.55, cost_bps: float = 4.0, store=None, fitted: DataFrame | None = None) -> DataFrame:
     """(family, trial, params, score, auc): random settings, each judged over inner folds by the yearly Sharpe of its trades.
 
-    rows carry the inner folds as fold and role. verdicts.best_trials and verdicts.trial_stats read the result.
+    rows carry the inner folds as fold and role; fitted is their preparation, where it is not the plain one. verdicts.best_trials and verdicts.trial_stats read the result.
     """
-    train = rows.where("role = 'train'")
-    fitted = preparation(train, names)
+    fitted = preparation(rows.where("role = 'train'"), names) if fitted is None else fitted
     ready = (store or _kept)(prepared(rows, fitted, names).select("symbol", "date", "fold", "role", "y_ret", "y_cls", "weight", "x"))
     folds = sorted(r["fold"] for r in ready.select("fold").distinct().collect())
     settings, few = [(f, k, p) for f in families for k, p in enumerate(sample_params(f, trials, seed))], tasks_for(ready)

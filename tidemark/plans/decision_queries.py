@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
 from ..functions import windows as w
-from ..operators import backtest, blocks, calibration, features, guards, labels, models, quantiles, trust, verdicts
+from ..operators import backtest, blocks, calibration, features, guards, labels, models, quantiles, trust, tuning, verdicts
 from ..sources import bars as src
 from . import price_queries
 from . import research_queries as research
@@ -238,6 +238,13 @@ def model_search(spark, sf_dir):
     return trials.join(best, ["family", "trial"], "left").withColumn("best", F.coalesce("best", F.lit(False)))
 
 
+@register("tuned_walk_forward")
+def tuned_walk_forward(spark, sf_dir):
+    """Out-of-sample probabilities of every fold after search and selection: settings from inner folds of the first fold's
+    training rows, the three best features of each fold by a probe model, every test row scored."""
+    return tuning.tuned(research.fold_rows(spark, sf_dir, folds=4), research.MOM, trials=6, most=len(research.MOM) - 1)[0]
+
+
 @register("label_permutation")
 def label_permutation(spark, sf_dir):
     """p-values of Sharpe and AUC against refits on permuted labels."""
