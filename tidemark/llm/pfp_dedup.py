@@ -11,7 +11,7 @@ one phrase only are settled: windows of a first phrase are new, windows of its c
 triggers with several distinct phrases the dictionary's phrases, not the corpus, are opened into suffixes
 (windows): with at most FEW phrases a trigger's suffixes are sorted to depth `length` in one task, a suffix
 array in which equal neighbours give way to the first place (a phrase has at most `length` - KGRAM + 1 windows, so an
-array has a bounded size, some 20 MB); with more they are dealt out by content and aggregated, so no task gathers
+array has a bounded size, some 1 MB); with more they are dealt out by content and aggregated, so no task gathers
 them. Copies, however many, cost a row for each stretch of text.
 
 A trigger that many distinct phrases share (the edge of a passage that a large share of all documents hold) is known
@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 
 from . import common
 
-LENGTH, KGRAM, FEW = 100, 28, 1024
+LENGTH, KGRAM, FEW = 100, 28, 64
 HINT, HOT_LEAST, HOT_SHARE, SALTS = 64, 16, 1000, 256
 _P = 0x100000001B3
 _POWERS: list[np.ndarray] = []
