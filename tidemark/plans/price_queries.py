@@ -13,6 +13,8 @@ from ..functions import recursive
 from ..functions import windows as w
 from ..operators import features, labels
 from ..sources import bars as src
+from ..streaming import anchors as live
+from ..streaming import sink
 from . import sql as q
 
 QUERIES, SQL = {}, {}
@@ -66,6 +68,22 @@ r AS (SELECT symbol, date, partial_volume, o * (1 - part) + c * part AS anchor F
 register("anchor_30m", q.select([*DAY, "partial_volume"], ["anchor"], (ANCHOR, "r")))(
     lambda s, d: shown(src.anchors(src.intraday(s, d)), [*DAY, "partial_volume"], ["anchor"])
 )
+STREAMED = ANCHOR.replace("max(minute + 30) OVER (PARTITION BY symbol, day) - 60 AS cutoff", "900 AS cutoff").replace(
+    "HAVING count(*) >= 2", "HAVING count(*) >= 2 AND day + INTERVAL 930 MINUTE <= (SELECT max(lt) - INTERVAL 90 MINUTE FROM ticks)"
+)
+
+
+@register("anchor_stream", q.select([*DAY, "partial_volume"], ["anchor"], (STREAMED, "r")))
+def anchor_stream(spark, sf_dir):
+    """Anchors from the table of ticks read as a stream, as far as its watermark gets."""
+    out = sink.scratch(spark, "anchors")
+    ticks = spark.readStream.schema(src.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")  # a glob: a stream takes no single file
+    made = live.anchors(ticks.withColumn("ts", F.col("ts").cast("timestamp")))
+    query = made.writeStream.option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start(f"{out}/rows", format="parquet")
+    query.awaitTermination()
+    return shown(spark.read.schema(made.schema).parquet(f"{out}/rows"), [*DAY, "partial_volume"], ["anchor"])
+
+
 CHECKS = ["n_rows", "n_repeated", "n_not_positive", "n_inverted", "n_outside", "n_jumps", "n_gaps"]
 register(
     "validate_bars",

@@ -11,6 +11,7 @@ from ..functions import windows as w
 from ..operators import anchoring, backtest, features, journal, labels, models, trust
 from ..sources import bars as src
 from ..sources import files
+from ..streaming import sink
 from . import sql as q
 from .price_queries import DAY, shown
 
@@ -282,6 +283,19 @@ def journal_upsert(spark, sf_dir):
     return shown(journal.upsert(old, new), ["date", "symbol"], ["prob"])
 
 
+@register("journal_sink", SQL["journal_upsert"])
+def journal_sink(spark, sf_dir):
+    """The upsert as batches of a stream's sink, the last of them delivered twice."""
+    signals = journal.daily_signals(src.daily(spark, sf_dir)).select("date", "symbol", "prob")
+    folder = sink.scratch(spark, "journal")
+    write = sink.writer(folder)
+    new = signals.where("date >= DATE '2001-05-01'").withColumn("prob", col("prob") + 0.01)
+    for number, batch in enumerate([signals.where("date < DATE '2001-06-01'"), new]):
+        write(batch, number)
+    write(new, 1)
+    return shown(sink.journal(spark, folder, "date date, symbol string, prob double"), ["date", "symbol"], ["prob"])
+
+
 register("journal_entries", f"""{SIG} SELECT date, to_json(list({{'symbol': symbol, 'prob': round(prob, 4)}} ORDER BY prob DESC, symbol))::VARCHAR AS signals FROM sig GROUP BY date""")(
     lambda s, d: journal.entries(journal.daily_signals(src.daily(s, d))).select("date", F.to_json(F.transform("signals", lambda x: F.struct(x["symbol"].alias("symbol"), F.round(x["prob"], 4).alias("prob")))).alias("signals"))
 )

@@ -71,22 +71,27 @@ def intraday(spark: SparkSession, sf_dir: str, minutes: int = 30) -> DataFrame:
     )
 
 
-def anchors(bars: DataFrame, offset: int = 60, minutes: int = 30) -> DataFrame:
+def anchor_price(cutoff, minutes: int):
+    """The price at minute `cutoff` along the open-to-close line of `bar`."""
+    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cutoff - F.col("bar.minute")) / F.lit(float(minutes))))
+    return F.col("bar.open") * (1 - part) + F.col("bar.close") * part
+
+
+def anchors(bars: DataFrame, offset: int = 60, minutes: int = 30, close: int | None = None) -> DataFrame:
     """Price `offset` minutes before each day's close, within the last bar that had started by then.
 
-    The price moves along the bar's open-to-close line; days with fewer than two eligible bars have none.
+    The price moves along the bar's open-to-close line; days with fewer than two eligible bars have none. The close is the end of
+    a day's last bar, or minute `close` of every day, as it is known while the day still runs.
     """
     day = Window.partitionBy("symbol", "day")
     cutoff = F.col("session_end") - offset
-    seen = bars.withColumn("session_end", F.max(F.col("minute") + minutes).over(day)).where(F.col("minute") <= cutoff)
+    end = F.max(F.col("minute") + minutes).over(day) if close is None else F.lit(close)
+    seen = bars.withColumn("session_end", end).where(F.col("minute") <= cutoff)
     last = seen.groupBy("symbol", "day").agg(
         F.max_by(F.struct("open", "close", "minute"), "minute").alias("bar"), F.max("session_end").alias("session_end"),
         F.sum("volume").alias("partial_volume"), F.count("*").alias("n_bars"),
     )
-    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cutoff - F.col("bar.minute")) / F.lit(float(minutes))))
-    return last.where("n_bars >= 2").select(
-        "symbol", F.col("day").alias("date"), (F.col("bar.open") * (1 - part) + F.col("bar.close") * part).alias("anchor"), "partial_volume"
-    )
+    return last.where("n_bars >= 2").select("symbol", F.col("day").alias("date"), anchor_price(cutoff, minutes).alias("anchor"), "partial_volume")
 
 
 def validation(bars: DataFrame, jump: float = 0.5, gap_days: int = 7) -> DataFrame:
